@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, sharding
+from tessera.llm import licenses, linededup, mixing, packing, quality, sharding
 from tessera.plans import Catalog, table
 
 
 def build() -> Catalog:
     found = Catalog()
+    found.add("op2_line_dedup", linededup.LINES_SQL)(lambda spark, d: linededup.line_dedup_digest(table(spark, d, "documents")))
     found.add("op3_sharding")(lambda spark, d: sharding.shard_documents(table(spark, d, "documents")))
     found.add("op6_mixing", mixing.MIX_SQL)(lambda spark, d: mixing.mix_documents(table(spark, d, "documents")))
+    found.add("op7_licenses")(lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")).drop("spans"))
+    found.add("op9_quality")(lambda spark, d: quality.quality_rules(table(spark, d, "documents")))
+    found.add("op10_packing")(lambda spark, d: packing.pack_documents(table(spark, d, "documents")))
     return found
