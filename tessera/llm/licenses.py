@@ -38,6 +38,7 @@ TEMPLATES = [
     ("apache-2", "licensed under the Apache License 2.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
