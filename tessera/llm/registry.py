@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, licenses, linededup, lm, mixing, packing, quality, sharding
+from tessera.llm import fingerprints, licenses, linededup, lm, mixing, packing, quality, sharding, toxicity
 from tessera.plans import Catalog, table
 
 
@@ -11,6 +11,7 @@ def build() -> Catalog:
     found.add("op1_lm_score")(lambda spark, d: lm.score_corpus(table(spark, d, "documents")))
     found.add("op2_line_dedup", linededup.LINES_SQL)(lambda spark, d: linededup.line_dedup_digest(table(spark, d, "documents")))
     found.add("op3_sharding")(lambda spark, d: sharding.shard_documents(table(spark, d, "documents")))
+    found.add("op4_toxicity")(lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")))
     found.add("op5_fingerprints")(lambda spark, d: fingerprints.fingerprint_documents(table(spark, d, "documents")))
     found.add("op6_mixing", mixing.MIX_SQL)(lambda spark, d: mixing.mix_documents(table(spark, d, "documents")))
     found.add("op7_licenses")(lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")).drop("spans"))
