@@ -59,7 +59,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes:
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = written(rows.withColumn("place", hash52(F.col("doc_id"), F.lit("mix"))), "mix")
-    bits = max(0, (max(1, rows.count()) // rows_per_bucket).bit_length())
+    bits = max(rows.count() // rows_per_bucket, parallelism(spark)).bit_length()
     rows = rows.withColumn("bucket", F.shiftright("place", 52 - bits).cast("int"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sums = written(sums, "mix-sums")
