@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+
 from tessera.plans import Catalog
 
+FAMILIES = (
+    "tessera.operators.search",
+    "tessera.operators.catalogue",
+    "tessera.operators.aggregates",
+)
+
 
 def build() -> Catalog:
-    return Catalog()
+    found = Catalog()
+    for name in FAMILIES:
+        found.merge(importlib.import_module(name).catalog)
+    return found
