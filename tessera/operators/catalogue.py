@@ -220,8 +220,8 @@ RULES = [("(?i)license|copyright", "legal"), ("(?i)token|password|key", "secret"
 catalog.add("category_rules", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 'legal' WHEN regexp_matches(text, '(?i)token|password|key') THEN 'secret' WHEN regexp_matches(text, '\|') THEN 'table' WHEN regexp_matches(text, '!!') THEN 'shout' ELSE 'other' END AS category FROM documents")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", t.first_match(F.col("text"), RULES, "other").alias("category"))
 )
-catalog.add("tags_from_list", "SELECT p_partkey, list_distinct(list_transform(string_split(p_name || ' ' || p_type || ' ' || p_name, ' '), lambda x: lower(trim(x))))[1:10] AS tags, 1 AS n FROM part ORDER BY 1 LIMIT 0")(
-    lambda spark, d: table(spark, d, "part").select("p_partkey", t.listed_tags(F.replace(F.concat_ws(" ", "p_name", "p_type", "p_name"), F.lit(" "), F.lit(", "))).alias("tags"), F.lit(1).alias("n")).filter("size(tags) > 10")
+catalog.add("tags_from_list", "SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' '))) AS tags FROM part")(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", F.array_sort(t.listed_tags(F.replace(F.concat_ws(" ", "p_name", "p_type", "p_name"), F.lit(" "), F.lit(", ")))).alias("tags"))
 )
 catalog.add("section_from_alias_keys", "SELECT event_id, coalesce(props->>'$.findings', props->>'$.summary', props->>'$.k') AS section FROM events")(
     lambda spark, d: table(spark, d, "events").select("event_id", F.coalesce(*[F.get_json_object("props", f"$.{k}") for k in ("findings", "summary", "k")]).alias("section"))

@@ -10,6 +10,7 @@ FAMILIES = (
     "tessera.operators.search",
     "tessera.operators.catalogue",
     "tessera.operators.aggregates",
+    "tessera.operators.linking",
 )
 
 
