@@ -11,6 +11,9 @@ FAMILIES = (
     "tessera.operators.catalogue",
     "tessera.operators.aggregates",
     "tessera.operators.linking",
+    "tessera.operators.graph",
+    "tessera.operators.quality",
+    "tessera.operators.series",
 )
 
 
