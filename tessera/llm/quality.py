@@ -29,6 +29,8 @@ _SYMBOLS = b"#*$%&|<>"
 _NOT_STARTS = bytes(range(0x80, 0xC0))
 #: Words whose measures a worker keeps at a time.
 KEPT_WORDS = 300_000
+#: At most so many languages' bands are sent to all workers; more meet their documents by a shuffled join.
+BROADCAST_LANGUAGES = 10_000
 #: Least half-width of a band, by measure.
 FLOORS = {"chars_per_piece": 0.5, "chars_per_byte_token": 0.5, "fallback_share": 0.05, "entropy_share": 0.05}
 
@@ -160,7 +162,9 @@ def quality_rules(docs: DataFrame, spread: float = 8.0) -> DataFrame:
     m = measure_documents(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     m = written(m, "fertility")
     quartiles = [F.percentile_approx(name, [0.25, 0.75], 10_000).alias(f"{name}_q") for name in FLOORS]
-    bands = m.filter("NOT base_failed").groupBy("lang_key").agg(*quartiles)
+    bands = written(m.filter("NOT base_failed").groupBy("lang_key").agg(*quartiles), "bands")
+    if bands.count() <= BROADCAST_LANGUAGES:
+        bands = F.broadcast(bands)
     outside = F.lit(False)
     for name, floor in FLOORS.items():
         low, high = F.col(f"{name}_q")[0], F.col(f"{name}_q")[1]
