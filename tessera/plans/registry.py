@@ -14,6 +14,7 @@ FAMILIES = (
     "tessera.operators.graph",
     "tessera.operators.quality",
     "tessera.operators.series",
+    "tessera.streaming.monitors",
 )
 
 
