@@ -65,11 +65,11 @@ def best_paths(e: DataFrame, start, target, score: Column, hops: int = 3, beam:
 _P2 = "SELECT [a.src, a.dst, b.dst] AS path, {s} AS score, 2 AS hops FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 0 AND b.dst = 5 AND a.dst NOT IN (0, 5)"
 _P1 = "SELECT [src, dst] AS path, {s} AS score, 1 AS hops FROM edges WHERE src = 0 AND dst = 5"
 for _name, _score, _one, _two in (
-    ("graph_best_path_weight", F.col("weight"), "weight", "a.weight + b.weight"),
-    ("graph_best_path_strength", F.when(F.col("strength") == "strong", 3).when(F.col("strength") == "medium", 2).otherwise(1), "CASE strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END", "CASE a.strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END + CASE b.strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"),
+    ("graph_best_path_weight", lambda: F.col("weight"), "weight", "a.weight + b.weight"),
+    ("graph_best_path_strength", lambda: F.when(F.col("strength") == "strong", 3).when(F.col("strength") == "medium", 2).otherwise(1), "CASE strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END", "CASE a.strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END + CASE b.strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"),
 ):
     catalog.add(_name, f"WITH {GRAPH}, p AS ({_P1.format(s=_one)} UNION ALL {_P2.format(s=_two)}) SELECT path, score::DOUBLE AS score, hops FROM p QUALIFY row_number() OVER (PARTITION BY hops ORDER BY score DESC, path) = 1")(
-        lambda s, d, x=_score: best_paths(edges(s, d), 0, 5, x, 2)
+        lambda s, d, x=_score: best_paths(edges(s, d), 0, 5, x(), 2)
     )
 
 

@@ -9,11 +9,14 @@ from tessera.plans import Catalog, table
 from tessera.plans.bind import PRICES, prices
 
 catalog = Catalog()
-BY = Window.partitionBy("ticker").orderBy("month")
+
+
+def by():
+    return Window.partitionBy("ticker").orderBy("month")
 
 
 def last(n: int):
-    return BY.rowsBetween(-n + 1, 0)
+    return by().rowsBetween(-n + 1, 0)
 
 
 def sma(value: str, n: int) -> Column:
@@ -24,7 +27,7 @@ def sma(value: str, n: int) -> Column:
 def crosses(p: DataFrame, short: int = 3, long: int = 12) -> DataFrame:
     """Golden and death crosses: the short mean moves above or below the long one."""
     x = p.select("ticker", "month", (sma("close", short) - sma("close", long)).alias("gap"))
-    x = x.withColumn("before", F.lag("gap").over(BY))
+    x = x.withColumn("before", F.lag("gap").over(by()))
     return x.select("ticker", "month", F.when((F.col("before") <= 0) & (F.col("gap") > 0), "golden").when((F.col("before") >= 0) & (F.col("gap") < 0), "death").alias("cross")).filter("cross IS NOT NULL")
 
 
@@ -51,7 +54,7 @@ catalog.add("ema_macd")(lambda s, d: emas(prices(s, d), "close", (12, 20, 26)).s
 
 
 def rsi(p: DataFrame, n: int = 14) -> DataFrame:
-    x = p.select("ticker", "month", (F.col("close") - F.lag("close").over(BY)).alias("d"))
+    x = p.select("ticker", "month", (F.col("close") - F.lag("close").over(by())).alias("d"))
     gain, loss = F.sum(F.greatest("d", F.lit(0.0))).over(last(n)), F.sum(F.greatest(-F.col("d"), F.lit(0.0))).over(last(n))
     return x.select("ticker", "month", F.when(F.count("d").over(last(n)) == n, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss))).alias("rsi")).filter("rsi IS NOT NULL")
 
@@ -64,8 +67,8 @@ catalog.add("stochastic", f"WITH {PRICES}, x AS (SELECT ticker, month, close, mi
     lambda s, d: prices(s, d).select("ticker", "month", "close", F.min("low").over(last(14)).alias("lo"), F.max("high").over(last(14)).alias("hi"), F.count("*").over(last(14)).alias("n")).filter("n = 14 AND hi > lo").select("ticker", "month", F.round(100 * (F.col("close") - F.col("lo")) / (F.col("hi") - F.col("lo")), 4).alias("k"))
 )
 catalog.add("obv_breakouts", f"WITH {PRICES}, x AS (SELECT *, lag(close) OVER w AS p, max(high) OVER (PARTITION BY ticker ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS prior, avg(volume) OVER (PARTITION BY ticker ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS mean FROM prices {_W}) SELECT ticker, month, round(sum(CASE WHEN close > p THEN volume WHEN close < p THEN -volume ELSE 0 END) OVER w, 2) AS obv, coalesce(close > prior, false) AS breakout, coalesce(volume > 2 * mean, false) AS spike FROM x {_W}")(
-    lambda s, d: prices(s, d).withColumns({"p": F.lag("close").over(BY), "prior": F.max("high").over(BY.rowsBetween(-12, -1)), "mean": F.avg("volume").over(BY.rowsBetween(-12, -1))})
-    .select("ticker", "month", F.round(F.sum(F.when(F.col("close") > F.col("p"), F.col("volume")).when(F.col("close") < F.col("p"), -F.col("volume")).otherwise(0.0)).over(BY.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("obv"), F.coalesce(F.col("close") > F.col("prior"), F.lit(False)).alias("breakout"), F.coalesce(F.col("volume") > 2 * F.col("mean"), F.lit(False)).alias("spike"))
+    lambda s, d: prices(s, d).withColumns({"p": F.lag("close").over(by()), "prior": F.max("high").over(by().rowsBetween(-12, -1)), "mean": F.avg("volume").over(by().rowsBetween(-12, -1))})
+    .select("ticker", "month", F.round(F.sum(F.when(F.col("close") > F.col("p"), F.col("volume")).when(F.col("close") < F.col("p"), -F.col("volume")).otherwise(0.0)).over(by().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("obv"), F.coalesce(F.col("close") > F.col("prior"), F.lit(False)).alias("breakout"), F.coalesce(F.col("volume") > 2 * F.col("mean"), F.lit(False)).alias("spike"))
 )
 catalog.add("fibonacci_levels", f"WITH {PRICES} SELECT ticker, round(max(high) - 0.382 * (max(high) - min(low)), 4) AS l382, round(max(high) - 0.618 * (max(high) - min(low)), 4) AS l618 FROM prices GROUP BY ticker")(
     lambda s, d: prices(s, d).groupBy("ticker").agg(*[F.round(F.max("high") - x * (F.max("high") - F.min("low")), 4).alias(n) for n, x in (("l382", 0.382), ("l618", 0.618))])
@@ -86,13 +89,13 @@ catalog.add("pair_correlation", f"WITH {PRICES} SELECT a.ticker AS a, b.ticker A
     lambda s, d: prices(s, d).alias("a").join(prices(s, d).alias("b"), (F.col("a.month") == F.col("b.month")) & (F.col("a.ticker") < F.col("b.ticker"))).groupBy(F.col("a.ticker").alias("a"), F.col("b.ticker").alias("b")).agg(F.round(F.corr("a.close", "b.close"), 6).alias("corr"), F.count("*").alias("n"))
 )
 catalog.add("momentum_rank", f"WITH {PRICES}, x AS (SELECT ticker, month, lag(close, 1) OVER w / lag(close, 12) OVER w - 1 AS mom FROM prices {_W}) SELECT ticker, month, round(mom, 6) AS mom, round(percent_rank() OVER (PARTITION BY month ORDER BY mom), 6) AS rank FROM x WHERE mom IS NOT NULL")(
-    lambda s, d: prices(s, d).select("ticker", "month", (F.lag("close", 1).over(BY) / F.lag("close", 12).over(BY) - 1).alias("m")).filter("m IS NOT NULL").select("ticker", "month", F.round("m", 6).alias("mom"), F.round(F.percent_rank().over(Window.partitionBy("month").orderBy("m")), 6).alias("rank"))
+    lambda s, d: prices(s, d).select("ticker", "month", (F.lag("close", 1).over(by()) / F.lag("close", 12).over(by()) - 1).alias("m")).filter("m IS NOT NULL").select("ticker", "month", F.round("m", 6).alias("mom"), F.round(F.percent_rank().over(Window.partitionBy("month").orderBy("m")), 6).alias("rank"))
 )
 catalog.add("mean_reversion", f"WITH {PRICES}, x AS (SELECT ticker, month, close, avg(close) {_L} AS a, stddev_samp(close) {_L} AS sd, count(*) {_L} AS n FROM prices) SELECT ticker, month, round((close - a) / sd, 4) AS z, CASE WHEN close - a > sd THEN 'high' WHEN close - a < -sd THEN 'low' ELSE 'mid' END AS regime FROM x WHERE n = 14 AND sd > 0")(
     lambda s, d: prices(s, d).select("ticker", "month", "close", F.avg("close").over(last(14)).alias("a"), F.stddev_samp("close").over(last(14)).alias("sd"), F.count("*").over(last(14)).alias("n")).filter("n = 14 AND sd > 0").select("ticker", "month", F.round((F.col("close") - F.col("a")) / F.col("sd"), 4).alias("z"), F.when(F.col("close") - F.col("a") > F.col("sd"), "high").when(F.col("close") - F.col("a") < -F.col("sd"), "low").otherwise("mid").alias("regime"))
 )
 catalog.add("drawdown_sharpe", f"WITH {PRICES}, x AS (SELECT ticker, month, close, close / lag(close) OVER w - 1 AS r, max(close) OVER (PARTITION BY ticker ORDER BY month ROWS UNBOUNDED PRECEDING) AS peak FROM prices {_W}) SELECT ticker, round(min(close / peak - 1), 6) AS drawdown, round(avg(r) / stddev_samp(r) * sqrt(12), 6) AS sharpe, round(avg((r > 0)::INT), 6) AS win_rate FROM x GROUP BY ticker")(
-    lambda s, d: prices(s, d).select("ticker", "close", (F.col("close") / F.lag("close").over(BY) - 1).alias("r"), F.max("close").over(BY.rowsBetween(Window.unboundedPreceding, 0)).alias("peak")).groupBy("ticker").agg(F.round(F.min(F.col("close") / F.col("peak") - 1), 6).alias("drawdown"), F.round(F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(12.0)), 6).alias("sharpe"), F.round(F.avg((F.col("r") > 0).cast("double")), 6).alias("win_rate"))
+    lambda s, d: prices(s, d).select("ticker", "close", (F.col("close") / F.lag("close").over(by()) - 1).alias("r"), F.max("close").over(by().rowsBetween(Window.unboundedPreceding, 0)).alias("peak")).groupBy("ticker").agg(F.round(F.min(F.col("close") / F.col("peak") - 1), 6).alias("drawdown"), F.round(F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(12.0)), 6).alias("sharpe"), F.round(F.avg((F.col("r") > 0).cast("double")), 6).alias("win_rate"))
 )
 catalog.add("ratio_screen", "WITH x AS (SELECT s_suppkey, s_nationkey, s_acctbal, sum(l_extendedprice) AS sales FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2, 3), m AS (SELECT s_nationkey, median(sales / s_acctbal) AS med FROM x WHERE s_acctbal > 0 GROUP BY 1) SELECT s_suppkey, round(sales / s_acctbal, 4) AS ratio FROM x JOIN m USING (s_nationkey) WHERE s_acctbal > 0 AND sales / s_acctbal < med")(
     lambda s, d: ratio_screen(table(s, d, "supplier").join(table(s, d, "lineitem"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("s_suppkey", "s_nationkey", "s_acctbal").agg(F.sum("l_extendedprice").alias("sales")).filter("s_acctbal > 0"))

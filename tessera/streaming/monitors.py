@@ -194,7 +194,7 @@ def snapshots(m: DataFrame) -> DataFrame:
     return m.groupBy("channel", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(e, 6).alias("error_rate"), F.when(e > 0.3, "critical").when(e > 0.2, "warning").otherwise("ok").alias("level")).select("channel", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "mean", "error_rate", "level")
 
 
-catalog.add("bus_key_values", f"WITH {MESSAGES}, l AS (SELECT team AS ns, channel AS key, arg_max(body, (ts, id)) AS value, arg_max(ttl, (ts, id)) AS ttl, max(ts) AS at FROM messages GROUP BY 1, 2) SELECT ns, key, value FROM l WHERE at + to_seconds(ttl * 20) >= {_ASOF}")(
+catalog.add("bus_key_values", f"WITH {MESSAGES}, l AS (SELECT team AS ns, channel AS key, arg_max(body, (ts, id)) AS value, arg_max(ttl, (ts, id)) AS ttl, max(ts) AS seen FROM messages GROUP BY 1, 2) SELECT ns, key, value FROM l WHERE seen + to_seconds(ttl * 20) >= {_ASOF}")(
     lambda s, d: (lambda m: m.groupBy(F.col("team").alias("ns"), F.col("channel").alias("key")).agg(F.max_by("body", F.struct("ts", "id")).alias("value"), F.max_by("ttl", F.struct("ts", "id")).alias("ttl"), F.max("ts").alias("at")).join(as_of(m)).filter(F.unix_micros("at") + F.col("ttl").cast("long") * 20_000_000 >= F.unix_micros("as_of")).select("ns", "key", "value"))(messages(s, d))
 )
 catalog.add("bus_lifecycle_feed", f"WITH {MESSAGES} SELECT id, type, agent_id FROM messages WHERE type IN ('signup', 'error') ORDER BY ts DESC, id DESC LIMIT 50")(
