@@ -3,9 +3,11 @@
 1. Documents of equal shingle sets form a class (a 128-bit digest of the sorted set);
    from here on each class stands for all its copies.
 2. Two sets of similarity t or more share one of the first |A| - ceil(t |A|) + 1
-   shingles of each, in any order that all sets follow (prefix filter). The
-   order puts shingles last that many documents hold, and shingles of
-   common words behind those of rare words; frequencies only decide the cost.
+   shingles of each, in any order that all sets follow (prefix filter). Two fifths of the hash
+   range are counted over all documents, and the order is: counted shingles of
+   one document alone, then uncounted ones, then those that more documents hold, the
+   hottest last. The first kind can't be shared, so only the prefix's
+   others are posted: next to nothing for a document without near copies.
 3. Classes that share a prefix shingle are chained to one of them, and the
    components of these chains are blocks: no link leaves a block, and no pairs are made.
 4. Each block meets in one task with its whole sets; blocks beyond `tile` shingles are dealt
@@ -38,10 +40,10 @@ from tessera.llm.common import id_text, parallelism, python_path, written
 
 SHINGLE = 5
 PERCENT = 75
-#: Frequent shingles and words that order the prefixes: bounded tables, sent to all workers.
-HOT_SHINGLES, COMMON_WORDS = 200_000, 1_000
-#: Postings of one shingle per chain; hotter shingles are chained in parts.
-CHAIN = 4_096
+#: Share of the hash range that is counted, in fifths.
+COUNTED = 2
+#: Bits of the bitmap of repeated shingles, and hot shingles whose counts order the prefixes: bounded tables, sent to all workers.
+REPEATED_BITS, HOT_SHINGLES = 27, 200_000
 #: Shingles per chunk of a block (8 bytes each).
 TILE = 4_000_000
 #: At most so many classes are sent to all workers to pick their documents.
@@ -61,13 +63,12 @@ class Words:
 
     KEPT = 400_000
 
-    def __init__(self, common: np.ndarray | None = None) -> None:
-        self.common = np.zeros(0, np.uint64) if common is None else common
+    def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.hash, self.is_common = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.hash = np.zeros(0, np.uint64)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.number) > self.KEPT:
@@ -88,130 +89,184 @@ class Words:
         if fresh:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
             self.hash = np.concatenate([self.hash, h])
-            self.is_common = np.concatenate([self.is_common, np.isin(h, self.common).astype(np.int8)])
         return out
 
-    def shingles(self, ids: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct shingle hashes, and how many common words each has."""
+    def shingles(self, ids: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+        """Sorted distinct shingle hashes."""
         if not len(ids):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        w, c = self.hash[ids], self.is_common[ids]
+            return np.zeros(0, np.uint64)
+        w = self.hash[ids]
         width = min(width, len(ids))
         n = len(ids) - width + 1
-        h, common = np.zeros(n, np.uint64), np.zeros(n, np.int8)
+        h = np.zeros(n, np.uint64)
         for k in range(width):
             h += w[k : k + n] * _POWERS[k]
-            common += c[k : k + n]
-        h, first = np.unique(_mix(h), return_index=True)
-        return h, common[first]
+        h = np.sort(_mix(h))
+        new = np.ones(n, bool)
+        new[1:] = h[1:] != h[:-1]
+        return h[new]
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and counts of frequent shingles (sorted by hash), and hashes of common words, from all documents."""
+def _counted(h: np.ndarray) -> np.ndarray:
+    return h % np.uint64(5) < COUNTED
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What all documents tell of the counted shingles: a bitmap of those that more than one document holds, keys and counts of hot ones, and the bits of a key.
+
+    A key is the upper 32 bits of a hash and as many below as there are blocks
+    for; each batch sends every block's keys once, or twice if two of its documents hold them.
+    """
+    spark = docs.sparkSession
+    block_bits = max(6, parallelism(spark).bit_length())
+    key_bits = 32 + block_bits
+    hot_per_block = max(16, HOT_SHINGLES >> block_bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            ids = words.ids([t for _, t in id_text(batch)])
-            sets = [words.shingles(i)[0] for i in ids]
-            all_ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            used, times = np.unique(all_ids, return_counts=True)
-            top = np.argsort(-times, kind="stable")[: 2 * COMMON_WORDS]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= 3
-            kind = np.repeat([1, 0], [len(top), often.sum()]).astype(np.int32)
-            hashes = np.concatenate([words.hash[used[top]], h[often]])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(_signed(hashes)), pa.array(np.concatenate([times[top], n[often]]).astype(np.int64))], ["kind", "h", "n"])
-
-    counts = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(count, "kind int, h long, n long")
-    counts = written(counts.groupBy("kind", "h").agg(F.sum("n").alias("n")), "frequent")
-
-    def top(kind: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = counts.filter(f"kind = {kind}").orderBy(F.desc("n"), "h").limit(most).toArrow()  # bounded by the parameter
-        h, n = rows.column("h").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
-        order = np.argsort(h)
-        return h[order], n[order]
-
-    return *top(0, HOT_SHINGLES), top(1, COMMON_WORDS)[0]
-
-
-def _heat(h: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Known counts of the shingles, 0 for others."""
+            sets = [words.shingles(i) for i in words.ids([t for _, t in id_text(batch)])]
+            h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            key = np.sort(h[_counted(h)] >> np.uint64(64 - key_bits))
+            third = np.zeros(len(key), bool)
+            third[2:] = key[2:] == key[:-2]
+            key = key[~third]
+            block = (key >> np.uint64(32)).astype(np.int64)
+            ends = np.searchsorted(block, np.arange((1 << block_bits) + 1))
+            low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+            used = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([low[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary())], ["block", "keys"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            key = np.sort(np.concatenate(held))
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint32(1)))
+            n = np.diff(starts, append=len(key))
+            key, n = key[starts][n > 1], n[n > 1]
+            hot = np.argsort(-n, kind="stable")[:hot_per_block]
+            hot = hot[n[hot] > 4]
+            bits = np.zeros(1 << (REPEATED_BITS - block_bits), bool)
+            bits[key >> np.uint32(32 - REPEATED_BITS + block_bits)] = True
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([key[hot].tobytes()], pa.binary()), pa.array([n[hot].astype("<i8").tobytes()], pa.binary())], ["block", "bits", "hot", "n"])
+
+        for batch in batches:
+            for block, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != now:
+                    if held:
+                        yield out()
+                    now, held = block, []
+                held.append(np.frombuffer(keys, "<u4"))
+        if held:
+            yield out()
+
+    sent = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(send, "block int, keys binary")
+    dealt = sent.repartition(parallelism(spark), "block").sortWithinPartitions("block")
+    rows = dealt.mapInArrow(count, "block int, bits binary, hot binary, n binary").collect()  # a bitmap of REPEATED_BITS and the hot shingles: bounded
+    size = 1 << (REPEATED_BITS - block_bits - 3)
+    bitmap, hot, times = np.zeros(1 << (REPEATED_BITS - 3), np.uint8), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for r in sorted(rows, key=lambda r: r["block"]):
+        bitmap[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+        keys = np.frombuffer(r["hot"], "<u4").astype(np.uint64) + np.uint64(r["block"] << 32)
+        order = np.argsort(keys)
+        hot.append(keys[order])
+        times.append(np.frombuffer(r["n"], "<i8")[order])
+    return bitmap, np.concatenate(hot), np.concatenate(times), key_bits
+
+
+def _places(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each shingle (0 of one document, 1 not counted, 2 repeated), and the power of two of its known count."""
+    bitmap, hot, times, key_bits = tables
+    at = h >> np.uint64(64 - REPEATED_BITS)
+    repeated = (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+    kind = np.where(_counted(h), 2 * repeated, 1).astype(np.int8)
     if not len(hot):
-        return np.zeros(len(h), np.int64)
-    at = np.searchsorted(hot, h).clip(max=len(hot) - 1)
-    return np.where(hot[at] == h, times[at], 0)
+        return kind, np.zeros(len(h), np.int64)
+    key = h >> np.uint64(64 - key_bits)
+    found = np.searchsorted(hot, key).clip(max=len(hot) - 1)
+    return kind, np.frexp(np.where((hot[found] == key) & (kind == 2), times[found], 0))[1]
 
 
-def shingle_sets(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, and its prefix (hashes as bytes) of each row."""
+def shingle_sets(docs: DataFrame, tables: tuple, percent: int) -> DataFrame:
+    """doc_id, n, digest of the set, and the posted part of its prefix (hashes as bytes) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(tables)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, times, common = sent.value
-        words = Words(common)
+        tables, words = sent.value, Words()
         for batch in batches:
             size, digest, prefix = [], [], []
             for ids in words.ids([t for _, t in id_text(batch)]):
-                h, c = words.shingles(ids)
+                h = words.shingles(ids)
                 n = len(h)
                 keep = n - -(-n * percent // 100) + 1 if n else 0
-                order = np.lexsort((h, c, np.frexp(_heat(h, hot, times))[1]))[:keep]
+                kind, heat = _places(h, tables)
+                alone = int((kind == 0).sum())
+                posted = h[:0]
+                if alone < keep:
+                    order = np.lexsort((h, heat, kind))[alone:keep]
+                    posted = h[order]
                 size.append(n)
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if n else None)
-                prefix.append(h[order].tobytes())
+                prefix.append(posted.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, f"doc_id {kind}, n long, digest binary, prefix binary")
 
 
-def chains(classes: DataFrame, hot: np.ndarray, times: np.ndarray) -> DataFrame:
-    """Edges (a, b) that connect all classes with a common prefix shingle; parts of a hot shingle's chain meet in a node of its own, below 0."""
+def _runs(h: np.ndarray, cid: np.ndarray, last: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted h: whether a run of equal values begins, and each run's first cid; last is the value and first cid of the run before."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[0] = h[0] != last[0]
+    first, run = cid[np.flatnonzero(new)], np.cumsum(new) - 1
+    if not new[0]:
+        first, run = np.concatenate([[last[1]], first]), run + 1
+    return new, first[run]
+
+
+def chains(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all classes with a common posted shingle: first within each batch, which then posts the shingle once, then between batches."""
     spark = classes.sparkSession
-    sent = spark.sparkContext.broadcast((hot, times))
+
+    def edges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, times = sent.value
         for batch in batches:
             prefixes = batch.column(1).to_pylist()
             h = np.frombuffer(b"".join(prefixes), np.uint64)
+            if not len(h):
+                continue
             cid = np.repeat(batch.column(0).to_numpy(), [len(p) // 8 for p in prefixes])
-            parts = -(-_heat(h, hot, times) // CHAIN)
-            part = np.where(parts > 1, cid % np.maximum(parts, 1), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(part.astype(np.int32)), pa.array(cid)], ["h", "part", "cid"])
+            order = np.argsort(h, kind="stable")
+            h, cid = h[order], cid[order]
+            new, first = _runs(h, cid, (h[0] ^ np.uint64(1), -1))
+            pairs = edges(cid[~new], first[~new])
+            shingle = pa.concat_arrays([pa.array(_signed(h[new])), pa.nulls(len(pairs), pa.int64())])
+            a = np.concatenate([cid[new], pairs[:, 0]])
+            b = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(pairs[:, 1])])
+            yield pa.RecordBatch.from_arrays([shingle, pa.array(a), b], ["h", "a", "b"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)  # shingle, part and first class of the run at the end of the batch before
+        last: tuple = (None, None)
         for batch in batches:
-            h, part, cid = (batch.column(k).to_numpy() for k in range(3))
+            h, cid = (batch.column(k).to_numpy() for k in range(2))
             if not len(h):
                 continue
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-            new[0] = (h[0], part[0]) != last[:2]
-            starts = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            first = cid[starts]
-            if not new[0]:
-                first, run = np.concatenate([[last[2]], first]), run + 1
-            rep = first[run]
-            last = (h[-1], part[-1], rep[-1])
-            a, b = cid[~new], rep[~new]
-            split = new & (part >= 0)
-            a = np.concatenate([a, cid[split]])
-            b = np.concatenate([b, -1 - (h[split].view(np.uint64) >> np.uint64(1)).astype(np.int64)])
-            other = a != b
-            pairs = np.unique(np.stack([a[other], b[other]], axis=1), axis=0)
+            new, first = _runs(h, cid, last)
+            last = (h[-1], first[-1])
+            pairs = edges(cid[~new], first[~new])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    postings = classes.select("cid", "prefix").mapInArrow(post, "h long, part int, cid long")
-    dealt = postings.repartition(parallelism(spark), "h", "part").sortWithinPartitions("h", "part", "cid")
-    return dealt.mapInArrow(chain, "a long, b long").distinct()
+    rows = written(classes.select("cid", "prefix").mapInArrow(post, "h long, a long, b long"), "postings")
+    dealt = rows.filter("b IS NULL").select("h", "a").repartition(parallelism(spark), "h").sortWithinPartitions("h", "a")
+    return rows.filter("b IS NOT NULL").select("a", "b").unionByName(dealt.mapInArrow(chain, "a long, b long")).distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -338,7 +393,7 @@ def block_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, percent:
                 cids, labels, chunks, digests = (part.column(k).to_pylist() for k in range(2, 6))
                 rows = []
                 for ids, cid, label, n, digest in zip(words.ids([t for _, t in id_text(part)]), cids, labels, chunks, digests):
-                    h = words.shingles(ids)[0].tobytes()
+                    h = words.shingles(ids).tobytes()
                     if hashlib.blake2b(h, digest_size=16).digest() != digest:
                         continue  # another text under the same doc_id
                     own = (cid * 0x9E3779B1 >> 16) % n
@@ -373,12 +428,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     python_path(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    tables = frequent(docs)
+    tables = repeated(docs)
     sets = written(shingle_sets(docs, tables, percent), "sets")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    blocks = components(chains(classes, *tables[:2]))
-    links = written(block_links(docs, classes, blocks.filter("node >= 0"), percent), "links")
+    blocks = components(chains(classes))
+    links = written(block_links(docs, classes, blocks, percent), "links")
     labels = components(links)
     named = classes.select("digest", "rep", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "cid").alias("label"))
     named = written(named, "named")
