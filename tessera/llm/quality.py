@@ -3,9 +3,10 @@
 Public vocabularies encode each document; characters per token (of a
 byte-level and of a piece vocabulary), the share of byte-fallback tokens and the
 entropy of the tokens, against the most that as many tokens could have, are held
-against rejection bands of the document's language. A band reaches `spread`
+against rejection bands of the document's language. A band reaches some
 interquartile ranges below the first and above the third quartile of all documents of
-that language which pass the base rules, and never is narrower than a floor.
+that language which pass the base rules, is never narrower than a floor, and is
+wider for short texts, by sqrt(1 + 100 / words).
 Where lang is null, the script of most letters (ASCII or not) stands in for it.
 
 Defined cases: null and empty texts have no words and fail the base rules; a
@@ -31,8 +32,9 @@ _NOT_STARTS = bytes(range(0x80, 0xC0))
 KEPT_WORDS = 300_000
 #: At most so many languages' bands are sent to all workers; more meet their documents by a shuffled join.
 BROADCAST_LANGUAGES = 10_000
-#: Least half-width of a band, by measure.
-FLOORS = {"chars_per_piece": 0.5, "chars_per_byte_token": 0.5, "fallback_share": 0.05, "entropy_share": 0.05}
+#: By measure: interquartile ranges that the band reaches below the first and above the third quartile, and its least reach. Text
+#: that a vocabulary breaks up more than its language's is the sign of junk, so the first band is narrow on that side.
+BANDS = {"chars_per_piece": (2.2, 8.0, 0.08), "chars_per_byte_token": (8.0, 8.0, 0.3), "fallback_share": (8.0, 8.0, 0.05), "entropy_share": (8.0, 8.0, 0.05)}
 
 
 class WordMeasures:
@@ -157,19 +159,20 @@ def measure_documents(docs: DataFrame, piece_model: str | None = None, byte_rank
     return docs.select("doc_id", lang.alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_key string, {kinds}")
 
 
-def quality_rules(docs: DataFrame, spread: float = 8.0) -> DataFrame:
+def quality_rules(docs: DataFrame, bands_of: dict[str, tuple[float, float, float]] = BANDS) -> DataFrame:
     """Counts, base_failed, measures, band_failed and kept of each row of docs."""
     m = measure_documents(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     m = written(m, "fertility")
-    quartiles = [F.percentile_approx(name, [0.25, 0.75], 10_000).alias(f"{name}_q") for name in FLOORS]
+    quartiles = [F.percentile_approx(name, [0.25, 0.75], 10_000).alias(f"{name}_q") for name in bands_of]
     bands = written(m.filter("NOT base_failed").groupBy("lang_key").agg(*quartiles), "bands")
     if bands.count() <= BROADCAST_LANGUAGES:
         bands = F.broadcast(bands)
     outside = F.lit(False)
-    for name, floor in FLOORS.items():
+    for name, (below, above, floor) in bands_of.items():
         low, high = F.col(f"{name}_q")[0], F.col(f"{name}_q")[1]
-        reach = F.greatest(spread * (high - low), F.lit(floor))
-        outside |= F.coalesce((F.col(name) < low - reach) | (F.col(name) > high + reach), F.lit(False))
+        # the measures of a short text scatter more
+        reach = lambda times: F.greatest(times * (high - low), F.lit(floor)) * F.sqrt(1 + 100 / F.greatest("n_words", F.lit(1)))  # noqa: B023, E731
+        outside |= F.coalesce((F.col(name) < low - reach(below)) | (F.col(name) > high + reach(above)), F.lit(False))
     return m.join(bands, "lang_key", "left").withColumn("band_failed", outside).select(
         "doc_id", *[n for n, _ in _FIELDS], "base_failed", "band_failed", (~F.col("base_failed") & ~F.col("band_failed")).alias("kept")
     )
