@@ -352,3 +352,61 @@ def ego_profiles(e: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 catalog.add("graph_ego_profiles", f"WITH {GRAPH}, e AS (SELECT * FROM edges WHERE weight >= 7), m AS (SELECT id AS centre, id AS node FROM nodes UNION SELECT src, dst FROM e), n AS (SELECT centre, count(*) AS size FROM m GROUP BY 1), i AS (SELECT a.centre, count(*) AS k, avg(weight) AS w FROM m a JOIN e ON a.node = e.src JOIN m b ON b.centre = a.centre AND b.node = e.dst GROUP BY 1) SELECT n.centre, size, coalesce(k, 0) AS edges, round(coalesce(k, 0) / nullif(size * (size - 1), 0), 6) AS density, round(w, 6) AS mean_weight FROM n LEFT JOIN i ON n.centre = i.centre")(lambda s, d: ego_profiles(edges(s, d).filter("weight >= 7"), nodes(s, d).select("id")))
+
+
+def visiting_orders(pairs: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan, start, tour, hops, weight): nearest-neighbour orders of each plan's stops from each start, fewest hops first, then most weight.
+
+    pairs: src, dst, hops, weight between stops; plans: plan, stop. One round per stop; a plan with unreachable stops ends early.
+    """
+    pairs, plans = kept(pairs), kept(plans)
+    most = plans.groupBy("plan").count().agg(F.max("count")).first()[0] or 0
+    walk = kept(plans.select("plan", F.col("stop").alias("start"), F.array("stop").alias("tour"), F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("weight")))
+    for _ in range(1, most):
+        steps = walk.join(plans, "plan").filter(~F.array_contains("tour", F.col("stop"))).join(pairs.select("src", F.col("dst").alias("stop"), F.col("hops").alias("h"), F.col("weight").alias("w")), "stop").filter(F.element_at("tour", -1) == F.col("src"))
+        best = steps.groupBy("plan", "start").agg(F.min(F.struct("h", (-F.col("w")).alias("w"), "stop")).alias("b"))
+        walk = kept(walk.join(best, ["plan", "start"], "left").select("plan", "start", F.when(F.col("b").isNotNull(), F.concat("tour", F.array("b.stop"))).otherwise(F.col("tour")).alias("tour"), (F.col("hops") + F.coalesce("b.h", F.lit(0))).alias("hops"), (F.col("weight") - F.coalesce("b.w", F.lit(0))).alias("weight")))
+    return walk
+
+
+def best_orders(walks: DataFrame) -> DataFrame:
+    """The best start of each plan: most stops, fewest hops, most weight."""
+    rank = F.struct(-F.size("tour"), "hops", -F.col("weight"), "start")
+    return walks.groupBy("plan").agg(F.min_by(F.struct("tour", "hops", "weight"), rank).alias("b")).select("plan", "b.*")
+
+
+@catalog.add("graph_visiting_orders")
+def _orders(s, d):
+    """The plan of an order is to visit its parts; stops are apart by direct edges."""
+    direct = edges(s, d).select("src", "dst", F.lit(1).cast("long").alias("hops"), F.col("weight").cast("long").alias("weight"))
+    plans = table(s, d, "lineitem").select(F.col("l_orderkey").alias("plan"), F.col("l_partkey").alias("stop")).distinct()
+    return best_orders(visiting_orders(direct, plans))
+
+
+def longest_chains(e: DataFrame, n: DataFrame, hops: int = 4, beam: int = 5_000) -> DataFrame:
+    """(domain, length, path): the longest simple path inside each node class, exact while no class has more than beam paths in a round."""
+    inner = kept(with_domains(e, n).filter(F.col("src_domain") == F.col("dst_domain")).select(F.col("src_domain").alias("domain"), "src", "dst"))
+    paths = kept(inner.select("domain", F.array("src", "dst").alias("path")))
+    best = paths
+    for _ in range(1, hops):
+        longer = paths.join(inner, "domain").filter((F.element_at("path", -1) == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select("domain", F.concat("path", F.array("dst")).alias("path"))
+        w = Window.partitionBy("domain").orderBy("path")
+        paths = kept(longer.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam).drop("r"))
+        best = best.unionByName(paths)
+    top = best.groupBy("domain").agg(F.min(F.struct((-F.size("path")).alias("n"), "path")).alias("b"))
+    return top.select("domain", (-F.col("b.n")).alias("length"), F.col("b.path").alias("path"))
+
+
+catalog.add("graph_longest_chains")(lambda s, d: longest_chains(edges(s, d).filter("weight >= 6"), nodes(s, d), 3))
+
+
+def tuning_scores(e: DataFrame, n: DataFrame, target, tunings: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """(tuning, mean, best): how the edges into each node score under several weightings of the hybrid score."""
+    out = None
+    for name, weights in tunings.items():
+        part = hybrid_steps(e, n, target, weights).agg(F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("best")).select(F.lit(name).alias("tuning"), "mean", "best")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+catalog.add("graph_tuning_scores")(lambda s, d: tuning_scores(edges(s, d), nodes(s, d), 5, {"weight": (1.0, 0.0, 0.0), "strength": (0.2, 3.0, 0.2), "tags": (0.2, 0.2, 1.0), "even": (1.0, 1.0, 1.0), "mixed": (1.0, 2.0, 1.0)}))

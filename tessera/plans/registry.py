@@ -15,6 +15,7 @@ FAMILIES = (
     "tessera.operators.quality",
     "tessera.operators.series",
     "tessera.streaming.monitors",
+    "tessera.sources.export",
 )
 
 
