@@ -3,11 +3,11 @@
 1. Documents of equal shingle sets form a class (a 128-bit digest of the sorted set);
    from here on each class stands for all its copies.
 2. Two sets of similarity t or more share one of the first |A| - ceil(t |A|) + 1
-   shingles of each, in any order that all sets follow (prefix filter). Two fifths of the hash
-   range are counted over all documents, and the order is: counted shingles of
-   one document alone, then uncounted ones, then those that more documents hold, the
+   shingles of each, in any order that all sets follow (prefix filter). All shingles are
+   counted over all documents, and the order is: those of
+   one document alone, then those that more documents hold, the
    hottest last. The first kind can't be shared, so only the prefix's
-   others are posted: next to nothing for a document without near copies.
+   others are posted: nothing at all for a document a quarter of which is its own.
 3. Classes that share a prefix shingle are chained to one of them, and the
    components of these chains are blocks: no link leaves a block, and no pairs are made.
 4. Each block meets in one task with its whole sets; blocks beyond `tile` shingles are dealt
@@ -40,8 +40,6 @@ from tessera.llm.common import id_text, parallelism, python_path, written
 
 SHINGLE = 5
 PERCENT = 75
-#: Share of the hash range that is counted, in fifths.
-COUNTED = 2
 #: Bits of the bitmap of repeated shingles, and hot shingles whose counts order the prefixes: bounded tables, sent to all workers.
 REPEATED_BITS, HOT_SHINGLES = 27, 200_000
 #: Shingles per chunk of a block (8 bytes each).
@@ -111,12 +109,8 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _counted(h: np.ndarray) -> np.ndarray:
-    return h % np.uint64(5) < COUNTED
-
-
 def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """What all documents tell of the counted shingles: a bitmap of those that more than one document holds, keys and counts of hot ones, and the bits of a key.
+    """What all documents tell of the shingles: a bitmap of those that more than one document holds, keys and counts of hot ones, and the bits of a key.
 
     A key is the upper 32 bits of a hash and as many below as there are blocks
     for; each batch sends every block's keys once, or twice if two of its documents hold them.
@@ -131,7 +125,7 @@ def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         for batch in batches:
             sets = [words.shingles(i) for i in words.ids([t for _, t in id_text(batch)])]
             h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            key = np.sort(h[_counted(h)] >> np.uint64(64 - key_bits))
+            key = np.sort(h >> np.uint64(64 - key_bits))
             third = np.zeros(len(key), bool)
             third[2:] = key[2:] == key[:-2]
             key = key[~third]
@@ -180,16 +174,15 @@ def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 def _places(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The kind of each shingle (0 of one document, 1 not counted, 2 repeated), and the power of two of its known count."""
+    """Whether each shingle is (or seems) repeated, and the power of two of its known count."""
     bitmap, hot, times, key_bits = tables
     at = h >> np.uint64(64 - REPEATED_BITS)
-    repeated = (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
-    kind = np.where(_counted(h), 2 * repeated, 1).astype(np.int8)
+    kind = (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
     if not len(hot):
         return kind, np.zeros(len(h), np.int64)
     key = h >> np.uint64(64 - key_bits)
     found = np.searchsorted(hot, key).clip(max=len(hot) - 1)
-    return kind, np.frexp(np.where((hot[found] == key) & (kind == 2), times[found], 0))[1]
+    return kind, np.frexp(np.where((hot[found] == key) & (kind == 1), times[found], 0))[1]
 
 
 def shingle_sets(docs: DataFrame, tables: tuple, percent: int) -> DataFrame:
