@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
 Each source is a queue of its documents in a hashed order, passed up to
-`passes` times. A document's virtual finish time is the source's cumulative
-words divided by the source's target; the mix is the globally sorted sequence
-of all queues, cut where the total budget is spent (the last document in part).
+`passes` times. Documents are served in packets of up to `packet` words, so that a long
+one can't throw its source off the target; a packet's virtual finish time is
+the source's cumulative words through it, divided by the source's target. The mix is the
+globally sorted sequence of all packets, cut where the total budget is spent.
 
 Targets share the budget in proportion to weight. A target stops at `passes`
 times the source's size, and what it can't use is shared by weight among the others:
@@ -48,13 +49,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passe
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = 3, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = 3, packet: int = 64, rows_per_bucket: int = 20_000) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
     The running sum of a source is taken inside hash buckets and shifted by the
     sums of earlier buckets, so one source may hold any share of the rows. What
-    finishes by virtual time 1 fits the budget by construction; the later part
-    of the queues is range-sorted and cut where the rest of the budget ends.
+    finishes by virtual time 1 fits the budget, as the targets add up to it; packets that
+    begin by the time when every source has had its target are range-sorted and cut
+    where the rest of the budget ends. No later packet can come before that cut.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -65,7 +67,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes:
     sums = written(sums, "mix-sums")
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, passes)
+    targets = written(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, passes), "mix-targets")
     starts = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "source_size", "target")
 
     order = ["place", "doc_id", "size"]
@@ -74,26 +76,40 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes:
     queue = (
         queue.alias("q")
         .join(starts.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")) & (F.col("q.bucket") == F.col("s.bucket")))
-        .select("doc_id", "size", "q.source", "place", "source_size", "target", (F.col("start") + F.col("own")).alias("through"), (F.col("first") + F.col("rank")).alias("nth"))
+        .select("doc_id", "size", "q.source", "source_size", "target", (F.col("start") + F.col("own")).alias("through"), (F.col("first") + F.col("rank")).alias("nth"))
     )
-    finish = lambda e: (F.col("through") + F.lit(e) * F.col("source_size")) / F.col("target")
-    queue = written(queue.withColumn("sure", sum((F.when((F.col("target") > 0) & (finish(e) <= 1), F.col("size")).otherwise(0) for e in range(passes)), F.lit(0))), "mix-queue")
 
-    late = queue.filter("size > 0 AND target > 0").select("source", "nth", "size", "place", F.explode(F.array(*[finish(e) for e in range(passes)])).alias("finish")).filter("finish > 1")
-    order = ["finish", F.col("source").asc_nulls_last(), "nth"]
+    def sure(e: int) -> Column:
+        """Words of pass e in packets that finish by time 1."""
+        begin = F.col("through") - F.col("size") + e * F.col("source_size")
+        whole = F.floor((F.col("target") - begin) / packet) * packet
+        return F.when(begin + F.col("size") <= F.col("target"), F.col("size")).otherwise(F.greatest(F.lit(0), whole)).cast("long")
+
+    queue = written(queue.withColumns({"passes": F.array(*map(sure, range(passes)))}), "mix-queue")
+    # By this time every source that can go on has had its target.
+    slack = targets.filter(f"target > 0 AND target < {passes} * source_size").agg((1 + packet / F.min("target")).alias("until"))
+    rest = queue.filter("size > 0 AND target > 0").join(F.broadcast(slack))  # one row
+    rest = rest.select("source", "nth", "size", "target", "until", F.posexplode("passes").alias("e", "sure"), F.col("through"), "source_size").filter("sure < size")
+    rest = rest.withColumn("begin", F.col("through") - F.col("size") + F.col("e") * F.col("source_size")).filter("begin < until * target")
+    ends = F.least(F.ceil(F.col("size") / packet) - 1, F.floor((F.col("until") * F.col("target") - F.col("begin")) / packet))
+    late = rest.select("source", "nth", "e", "size", "target", "begin", F.explode(F.sequence(F.floor(F.col("sure") / packet), F.greatest(ends, F.floor(F.col("sure") / packet)))).alias("k"))
+    late = late.withColumn("words", F.least(F.lit(packet), F.col("size") - F.col("k") * packet))
+    late = late.select("source", "nth", "e", "k", "words", ((F.col("begin") + F.col("k") * packet + F.col("words")) / F.col("target")).alias("finish"))
+    order = ["finish", F.col("source").asc_nulls_last(), "nth", "e", "k"]
     late = written(late.repartitionByRange(parallelism(spark), *order).withColumn("part", F.spark_partition_id()), "mix-late")
-    budget = queue.agg((F.sum("size") - F.sum("sure")).alias("budget"))
-    parts = late.groupBy("part").agg(F.sum("size").alias("words"))
-    parts = parts.select("part", F.coalesce(F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    budget = queue.agg((F.sum("size") - F.sum(F.aggregate("passes", F.lit(0).cast("long"), lambda a, b: a + b))).alias("budget"))
+    parts = late.groupBy("part").agg(F.sum("words").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     parts = parts.join(F.broadcast(budget), parts["start"] < budget["budget"])  # one row; parts past the budget go
     late = late.join(F.broadcast(parts), "part")  # one row per shuffle partition
-    before = F.col("start") + F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    late = late.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - before))).filter("taken > 0")
+    before = F.col("start") + F.coalesce(F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    late = late.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - before))).filter("taken > 0")
     late = late.groupBy("source", "nth").agg(F.sum("taken").alias("more"))
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, b: a + b) + F.coalesce("more", F.lit(0))
     return (
         queue.alias("q")
         .join(late.alias("l"), F.col("q.source").eqNullSafe(F.col("l.source")) & (F.col("q.nth") == F.col("l.nth")), "left")
-        .select("doc_id", "size", "source_size", "target", (F.col("sure") + F.coalesce("more", F.lit(0))).cast("long").alias("taken"), F.col("q.source").alias("source"))
+        .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("q.source").alias("source"))
     )
 
 
@@ -121,14 +137,15 @@ q AS (
     sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS through,
     row_number() OVER (PARTITION BY d.source ORDER BY place, doc_id, size) AS nth
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-f AS (
-  SELECT q.*, e.e, (through + e.e * source_size)::DOUBLE / nullif(target, 0) AS finish
-  FROM q, (SELECT unnest([0, 1, 2]) AS e) e),
+p AS (
+  SELECT q.source, nth, e, k, least(64, size - k * 64) AS words,
+    (through - size + e * source_size + k * 64 + least(64, size - k * 64))::DOUBLE / target AS finish
+  FROM q, (SELECT unnest([0, 1, 2]) AS e) e, unnest(range(0, (size + 63) // 64)) AS u(k) WHERE target > 0),
 r AS (
-  SELECT *, coalesce(sum(size) OVER (ORDER BY finish NULLS LAST, source NULLS LAST, nth, e
+  SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source NULLS LAST, nth, e, k
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM f)
-SELECT doc_id, size, source_size, target, source,
-  sum(greatest(0, least(size, (SELECT sum(size) FROM d) - before)))::BIGINT AS taken
-FROM r GROUP BY doc_id, source, size, source_size, target, nth
+  FROM p),
+t AS (SELECT source, nth, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - before))) AS taken FROM r GROUP BY source, nth)
+SELECT doc_id, size, source_size, target, q.source, coalesce(taken, 0)::BIGINT AS taken
+FROM q LEFT JOIN t ON q.source IS NOT DISTINCT FROM t.source AND q.nth = t.nth
 """
