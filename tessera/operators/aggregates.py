@@ -91,7 +91,7 @@ catalog.add("route_risky_edges", f"""WITH {HOPS}, m AS (SELECT src, dst, count(*
 catalog.add("status_rollup", "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS slowest, count(*) FILTER (o_totalprice < 50000) AS below FROM orders GROUP BY o_orderstatus")(
     lambda s, d: table(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("slowest"), F.count_if(F.col("o_totalprice") < 50000).alias("below"))
 )
-catalog.add("load_report", f"WITH {MESSAGES}, l AS (SELECT team, count(*) AS load FROM messages WHERE type = 'error' GROUP BY team) SELECT count(*) AS teams, sum(load)::BIGINT AS total, round(avg(load), 6) AS mean, list_sort(list(team) FILTER (load > 280)) AS overloaded FROM l")(
+catalog.add("load_report", f"WITH {MESSAGES}, l AS (SELECT team, count(*) AS load FROM messages WHERE type = 'error' GROUP BY team) SELECT count(*) AS teams, sum(load)::BIGINT AS total, round(avg(load), 6) AS mean, coalesce(list_sort(list(team) FILTER (load > 280)), []) AS overloaded FROM l")(
     lambda s, d: messages(s, d).filter("type = 'error'").groupBy("team").agg(F.count("*").alias("load")).agg(F.count("*").alias("teams"), F.sum("load").alias("total"), F.round(F.avg("load"), 6).alias("mean"), F.array_sort(F.collect_list(F.when(F.col("load") > 280, F.col("team")))).alias("overloaded"))
 )
 
