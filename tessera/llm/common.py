@@ -18,6 +18,16 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What operators keep in a Python worker between tasks; the worker lives on through later stages.
+KEPT_IN_WORKERS: list[dict] = []
+
+
+def release() -> None:
+    """Let go of what other operators have kept in this Python worker."""
+    for cache in KEPT_IN_WORKERS:
+        cache.clear()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
     sc = spark.sparkContext

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, parallelism, python_path, written
+from tessera.llm.common import id_text, parallelism, python_path, release, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -121,6 +121,7 @@ def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     hot_per_block = max(16, HOT_SHINGLES >> block_bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = Words()
         for batch in batches:
             sets = [words.shingles(i) for i in words.ids([t for _, t in id_text(batch)])]
@@ -190,6 +191,7 @@ def shingle_sets(docs: DataFrame, tables: tuple, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(tables)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tables, words = sent.value, Words()
         for batch in batches:
             size, digest, prefix = [], [], []

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, parallelism, python_path, written
+from tessera.llm.common import KEPT_IN_WORKERS, id_text, parallelism, python_path, written
 
 END = b""  # no word is empty
 
@@ -312,6 +312,7 @@ class _Scorer:
 
 
 _SCORERS: dict[str, _Scorer] = {}
+KEPT_IN_WORKERS.append(_SCORERS)
 
 
 def score_documents(docs: DataFrame, model: Model, words: DataFrame, held_out=lambda i: fold(i, 5) == 1) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, python_path, written
+from tessera.llm.common import KEPT_IN_WORKERS, id_text, python_path, written
 
 WINDOW = 1024
 #: White space other than the plain space and newline; a text that has any is encoded whole.
@@ -71,6 +71,7 @@ class WordEncoder(dict):
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
+KEPT_IN_WORKERS.append(_ENCODERS)
 
 
 def _encoder(files: tuple[str, str]) -> WordEncoder:

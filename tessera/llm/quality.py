@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import python_path, written
+from tessera.llm.common import KEPT_IN_WORKERS, python_path, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -112,6 +112,7 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 _LOADED: dict[tuple, WordMeasures] = {}
+KEPT_IN_WORKERS.append(_LOADED)
 _FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("chars_per_piece", pa.float64()), ("chars_per_byte_token", pa.float64()), ("fallback_share", pa.float64()), ("entropy_share", pa.float64())]
 
 

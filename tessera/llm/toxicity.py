@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import hash52, id_text, python_path
+from tessera.llm.common import KEPT_IN_WORKERS, hash52, id_text, python_path
 
 _ENDS = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
 _SPACED = re.compile(r"\b\w(?: \w){3,}\b")
@@ -368,6 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 
 _WORKERS: dict[str, WordMargins] = {}
+KEPT_IN_WORKERS.append(_WORKERS)
 
 
 def score_documents(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
