@@ -28,17 +28,25 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a written key of each row, _row, as doc_id may be null or repeated, and a hash of its columns, _tie, which no order of the input changes."""
+    return written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_tie": F.xxhash64(*docs.columns)}), name, "zstd")
+
+
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join the document of the smallest id stays, once; a document without words stays."""
-    found = jaccard.jaccard_components(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each component of the Jaccard join one row stays, of the smallest doc_id (null last); each row without words stays."""
+    rows = _keyed(docs, "join-rows")
+    found = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_tie", "_row")
+    kept = rows.select("doc_id", "_tie", "_row").join(found, "_row").groupBy("component_id").agg(F.min(first)["_row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one that the budget cuts ends after its share of words."""
-    mix = mixing.mix_documents(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    rows = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = _keyed(docs, "mix-rows")
+    mix = mixing.mix_documents(rows, key=["_tie", "_row"]).filter("taken > 0").select("_row", "size", "taken")
+    rows = rows.join(mix, "_row")
     passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = rows.withColumn("_words", F.explode(F.transform(F.sequence(F.lit(1), passes), lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")))))
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")

@@ -18,6 +18,8 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passe
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = 3, packet: int = 64, rows_per_bucket: int = 20_000) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs.
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = 3, packet: int = 64, rows_per_bucket: int = 20_000, key: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs, and its columns `key`, by which rows of one doc_id and size are ordered.
 
     The running sum of a source is taken inside hash buckets and shifted by the
     sums of earlier buckets, so one source may hold any share of the rows. What
@@ -59,7 +61,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes:
     where the rest of the budget ends. No later packet can come before that cut.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", *key, "source", word_count(F.col("text")).alias("size"))
     rows = written(rows.withColumn("place", hash52(F.col("doc_id"), F.lit("mix"))), "mix")
     bits = max(rows.count() // rows_per_bucket, parallelism(spark)).bit_length()
     rows = rows.withColumn("bucket", F.shiftright("place", 52 - bits).cast("int"))
@@ -70,13 +72,13 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes:
     targets = written(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, passes), "mix-targets")
     starts = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "source_size", "target")
 
-    order = ["place", "doc_id", "size"]
+    order = ["place", "doc_id", "size", *key]
     inside = Window.partitionBy("source", "bucket").orderBy(*order)
     queue = rows.withColumns({"own": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(inside)})
     queue = (
         queue.alias("q")
         .join(starts.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")) & (F.col("q.bucket") == F.col("s.bucket")))
-        .select("doc_id", "size", "q.source", "source_size", "target", (F.col("start") + F.col("own")).alias("through"), (F.col("first") + F.col("rank")).alias("nth"))
+        .select("doc_id", *key, "size", "q.source", "source_size", "target", (F.col("start") + F.col("own")).alias("through"), (F.col("first") + F.col("rank")).alias("nth"))
     )
 
     def sure(e: int) -> Column:
@@ -109,7 +111,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes:
     return (
         queue.alias("q")
         .join(late.alias("l"), F.col("q.source").eqNullSafe(F.col("l.source")) & (F.col("q.nth") == F.col("l.nth")), "left")
-        .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("q.source").alias("source"))
+        .select("doc_id", *key, "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("q.source").alias("source"))
     )
 
 

@@ -38,6 +38,34 @@ def test_mix_repeats_and_cuts(spark, docs):
     assert got == want and mixed.schema == docs.schema
 
 
+def _unkeyed(spark, docs):
+    """Unlike texts under a null doc_id or one doc_id, a near copy under each, two exact copies without an id, and rows without words."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(100))
+    near = text(0).replace("w0x50", "other")
+    found = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (7, near), (8, near), (None, None), (None, ""), (9, " "), (9, None)]
+    named = spark.createDataFrame(found, "doc_id long, text string")
+    lit = {f.name: F.lit("a" if f.name == "source" else None).cast(f.dataType) for f in docs.schema if f.name not in named.columns}
+    return named.withColumns(lit).select(docs.columns)
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_unlinked_documents_without_an_own_id_stay(spark, docs, slices):
+    kept = p.remove_near_copies(spark, _unkeyed(spark, docs).repartition(slices), SF).select("doc_id", "text").collect()
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").split()[:1]) for r in kept)
+    assert got == [(0, []), (0, []), (0, ["w1x0"]), (7, ["w0x0"]), (7, ["w2x0"]), (7, ["w3x0"]), (9, []), (9, [])]
+    assert any("other" in (r["text"] or "") for r in kept)
+
+
+def test_mix_takes_each_row_by_itself(spark, docs):
+    from tessera.llm.mixing import mix_documents, word_count
+
+    rows = _unkeyed(spark, docs)
+    n = word_count(F.col("text"))
+    mixed = p.mix_sources(spark, rows, SF)
+    assert mixed.agg(F.sum(n)).first()[0] == mix_documents(rows).agg(F.sum("taken")).first()[0] == rows.agg(F.sum(n)).first()[0]
+    assert sorted(r[0] for r in mixed.select("text").collect()) == sorted(r[0] for r in rows.filter(n > 0).select("text").collect())
+
+
 def test_empty_documents(spark, docs):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
