@@ -259,13 +259,18 @@ def cyclic_core(e: DataFrame, n: DataFrame, most: int = 200) -> DataFrame:
 catalog.add("graph_cyclic_core")(lambda s, d: cyclic_core(edges(s, d).filter("weight >= 10 AND src < dst + 400"), nodes(s, d)))
 
 
-def traps(e: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, walks): nodes on the cycles that lowest-weight walks end in, by pointer doubling."""
-    nxt = kept(e.groupBy("src").agg(F.min_by("dst", F.struct("weight", "dst")).alias("dst")).select(F.col("src").alias("id"), F.col("dst").alias("to")))
-    jump = nxt
-    for _ in range(max(1, rounds.bit_length())):
-        jump = kept(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.coalesce("b.to", "a.to").alias("to")))
-    return jump.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("walks"))
+def traps(e: DataFrame) -> DataFrame:
+    """(node, walks): nodes on the cycles that lowest-weight walks close, with the number of such walks, by pointer doubling.
+
+    Walks that end at a node without out-edges drop out. After as many steps as there are nodes the others stand on their cycles,
+    of which they reach every node, as each walk that begins on a cycle goes round it.
+    """
+    # low: the least of the nodes on the way, which names the cycle of a node on one
+    jump = kept(e.groupBy("src").agg(F.min_by("dst", F.struct("weight", "dst")).alias("to")).select(F.col("src").alias("id"), "to", F.col("src").alias("low")))
+    for _ in range(jump.count().bit_length()):
+        jump = kept(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to", F.least("a.low", "b.low").alias("low")))
+    at = jump.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("n")).join(jump.select(F.col("id").alias("node"), "low"), "node")
+    return at.join(at.groupBy("low").agg(F.sum("n").alias("walks")), "low").select("node", "walks")
 
 
 catalog.add("graph_loop_traps")(lambda s, d: traps(edges(s, d)))

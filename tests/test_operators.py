@@ -91,3 +91,10 @@ def test_stream_equals_batch(spark, tmp_path, step, schema):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()} == want
+
+
+def test_traps_are_all_nodes_of_the_cycles_that_walks_close(spark):
+    # a tail of 70 nodes into a cycle of three, a cycle of two behind a heavier way out, and a walk that ends
+    tail = [(k, k + 1, 1) for k in range(70)]
+    e = edges(spark, [*tail, (70, 71, 1), (71, 72, 1), (72, 70, 1), (72, 90, 2), (80, 81, 1), (81, 80, 1), (91, 92, 1), (92, 93, 1)])
+    assert {(r["node"], r["walks"]) for r in graph.traps(e).collect()} == {(70, 73), (71, 73), (72, 73), (80, 2), (81, 2)}
