@@ -48,16 +48,33 @@ catalog.add("graph_fewest_hops")(lambda s, d: fewest_hops(edges(s, d), nodes(s,
 
 
 def best_paths(e: DataFrame, start, target, score: Column, hops: int = 3, beam: int = 2_000) -> DataFrame:
-    """(path, score, hops): simple paths from start to target with the largest sum of score per number of hops, exact as long as no round exceeds beam paths."""
+    """(path, score, hops): simple paths from start to target with the largest sum of score per number of hops.
+
+    Paths grow only to nodes from which target is as many hops away as are left or fewer, and the last edge comes from the in-edges of target,
+    so up to two hops nothing is cut. Beyond, a round of more than `beam` paths fails.
+    """
     e = e.select("src", "dst", score.cast("double").alias("s"))
     paths = e.sparkSession.range(1).select(F.array(F.lit(start).cast("long")).alias("path"), F.lit(0.0).alias("score"))
+    last, e = e.filter(F.col("dst") == target), e.filter(F.col("dst") != target)
+    # near[r]: nodes with a walk of 1 to r edges to target
+    near = [None, last.select("src").distinct()]
+    for _ in range(2, hops):
+        near.append(near[-1].union(e.join(near[-1].select(F.col("src").alias("dst")), "dst", "left_semi").select("src")).distinct())
     found = None
-    for k in range(1, hops + 1):
+
+    def grown(paths: DataFrame, e: DataFrame) -> DataFrame:
         longer = paths.join(e, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
-        longer = longer.select(F.concat("path", F.array("dst")).alias("path"), (F.col("score") + F.col("s")).alias("score"))
-        ended = longer.filter(F.element_at("path", -1) == target).withColumn("hops", F.lit(k))
+        return longer.select(F.concat("path", F.array("dst")).alias("path"), (F.col("score") + F.col("s")).alias("score"))
+
+    for k in range(1, hops + 1):
+        ended = grown(paths, last).withColumn("hops", F.lit(k))
         found = ended if found is None else found.unionByName(ended)
-        paths = longer.filter(F.element_at("path", -1) != target).orderBy(F.desc("score"), "path").limit(beam)
+        if k < hops:
+            paths = grown(paths, e.join(near[hops - k].select(F.col("src").alias("dst")), "dst", "left_semi"))
+        if k + 1 < hops:
+            paths = kept(paths)
+            if k > 1 and paths.count() > beam:
+                raise RuntimeError(f"more than {beam} paths of {k} hops")
     w = Window.partitionBy("hops").orderBy(F.desc("score"), "path")
     return found.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("path", F.round("score", 6).alias("score"), "hops")
 
@@ -388,15 +405,15 @@ def _orders(s, d):
     return best_orders(visiting_orders(direct, plans))
 
 
-def longest_chains(e: DataFrame, n: DataFrame, hops: int = 4, beam: int = 5_000) -> DataFrame:
-    """(domain, length, path): the longest simple path inside each node class, exact while no class has more than beam paths in a round."""
+def longest_chains(e: DataFrame, n: DataFrame, hops: int = 4) -> DataFrame:
+    """(domain, length, path): the longest simple path of up to hops edges inside each node class, the first of equals."""
     inner = kept(with_domains(e, n).filter(F.col("src_domain") == F.col("dst_domain")).select(F.col("src_domain").alias("domain"), "src", "dst"))
     paths = kept(inner.select("domain", F.array("src", "dst").alias("path")))
     best = paths
+    steps = inner.withColumnRenamed("domain", "_domain")
     for _ in range(1, hops):
-        longer = paths.join(inner, "domain").filter((F.element_at("path", -1) == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select("domain", F.concat("path", F.array("dst")).alias("path"))
-        w = Window.partitionBy("domain").orderBy("path")
-        paths = kept(longer.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam).drop("r"))
+        longer = paths.join(steps, (F.col("domain") == F.col("_domain")) & (F.element_at("path", -1) == F.col("src"))).filter(~F.array_contains("path", F.col("dst")))
+        paths = kept(longer.select("domain", F.concat("path", F.array("dst")).alias("path")))
         best = best.unionByName(paths)
     top = best.groupBy("domain").agg(F.min(F.struct((-F.size("path")).alias("n"), "path")).alias("b"))
     return top.select("domain", (-F.col("b.n")).alias("length"), F.col("b.path").alias("path"))

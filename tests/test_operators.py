@@ -98,3 +98,22 @@ def test_traps_are_all_nodes_of_the_cycles_that_walks_close(spark):
     tail = [(k, k + 1, 1) for k in range(70)]
     e = edges(spark, [*tail, (70, 71, 1), (71, 72, 1), (72, 70, 1), (72, 90, 2), (80, 81, 1), (81, 80, 1), (91, 92, 1), (92, 93, 1)])
     assert {(r["node"], r["walks"]) for r in graph.traps(e).collect()} == {(70, 73), (71, 73), (72, 73), (80, 2), (81, 2)}
+
+
+def test_two_hops_of_a_hot_start_are_exact(spark):
+    # the best sum begins with the lightest of 60 edges, the beam holds 10
+    e = edges(spark, [*[(0, k, 9) for k in range(10, 70)], *[(k, 5, 1) for k in range(10, 40)], (0, 99, 1), (99, 5, 10)])
+    assert [(r["path"], r["score"], r["hops"]) for r in graph.best_paths(e, 0, 5, F.col("weight"), 2, beam=10).collect()] == [([0, 99, 5], 11.0, 2)]
+
+
+def test_a_beam_never_cuts_in_silence(spark):
+    e = edges(spark, [*[(0, k, 1) for k in range(10, 14)], *[(k, m, 1) for k in range(10, 14) for m in range(20, 24)], *[(m, 30, 1) for m in range(20, 24)], (30, 5, 1)])
+    with pytest.raises(RuntimeError, match="more than 10 paths of 2 hops"):
+        graph.best_paths(e, 0, 5, F.col("weight"), 4, beam=10)
+    assert [(r["score"], r["hops"]) for r in graph.best_paths(e, 0, 5, F.col("weight"), 4).collect()] == [(4.0, 4)]
+
+
+def test_longest_chain_behind_many_prefixes(spark):
+    # 5,200 shorter paths come before it in the order of ids
+    e = edges(spark, [(0, 1, 1), *[(1, k, 1) for k in range(10, 5210)], (9000, 9001, 1), (9001, 9002, 1), (9002, 9003, 1)])
+    assert [(r["length"], r["path"]) for r in graph.longest_chains(e, nodes(spark, 9004), 3).collect()] == [(4, [9000, 9001, 9002, 9003])]
