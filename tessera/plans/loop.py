@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Row
 
 
 def kept(df: DataFrame, name: str = "round") -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (a folder of our own where it is unset) and read back."""
+    """df written as Parquet under spark.checkpoint.dir and read back; only a local master may leave that unset, and gets a folder of our own."""
     sc = df.sparkSession.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tessera_loops", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = sc._tessera_loops = "file://" + tempfile.mkdtemp(prefix="tessera-loops-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
