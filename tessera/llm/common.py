@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -18,21 +20,44 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: What operators keep in a Python worker between tasks; the worker lives on through later stages.
+#: What operators keep in a Python worker between tasks; the worker lives on through later stages. A function that Spark sends out
+#: must reach its cache through a function of its module: a global that it names itself is sent along as a copy.
 KEPT_IN_WORKERS: list[dict] = []
+#: Rows that a worker function turns into Python objects at a time.
+SLICE = 512
 
 
-def release() -> None:
-    """Let go of what other operators have kept in this Python worker."""
-    for cache in KEPT_IN_WORKERS:
+def release(but: dict | None = None) -> None:
+    """Let go of what other operators have kept in this Python worker, and give the memory back to the machine."""
+    held = [cache for cache in KEPT_IN_WORKERS if cache and cache is not but]
+    for cache in held:
         cache.clear()
+    if held:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; only a local master may leave it unset, and gets one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tessera_folder", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = sc._tessera_folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return found.rstrip("/")
 

@@ -27,21 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEPT_IN_WORKERS, id_text, python_path, written
+from tessera.llm.common import KEPT_IN_WORKERS, id_text, python_path, release, slices, written
 
 WINDOW = 1024
 #: White space other than the plain space and newline; a text that has any is encoded whole.
 _RARE_SPACE = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
+#: A text that this vocabulary's tokenizers read as one token wherever it stands, whatever surrounds it.
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
+
+
 class WordEncoder(dict):
     """Token ids of texts by a byte-level BPE vocabulary, kept by word (with the space before it) as little-endian uint16.
 
-    No piece of the vocabulary's pattern spans a single space that stands between two
-    non-spaces, so such a text's ids are those of its words in turn.
+    A text is cut at each END_OF_TEXT, which is a token of its own. No piece of the vocabulary's pattern spans a single space that stands between two
+    non-spaces, so the ids of a part without other white space than these are those of its words in turn.
     """
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self, ranks_file: str, pattern: str) -> None:
         import base64
@@ -61,13 +65,16 @@ class WordEncoder(dict):
             self[word] = ids
         return ids
 
-    def ids(self, text: str) -> np.ndarray:
-        if "  " in text or "\n " in text or " \n" in text or _RARE_SPACE.search(text):
-            return np.frombuffer(self._whole(text), "<u2")
+    def _part(self, text: str) -> bytes:
+        if not text or "  " in text or "\n " in text or " \n" in text or _RARE_SPACE.search(text):
+            return self._whole(text)
         if len(self) > self.KEPT:
             self.clear()
         first, *words = text.split(" ")
-        return np.frombuffer(b"".join([self._whole(first), *[self[w] for w in words]]), "<u2")
+        return b"".join([self._whole(first), *[self[w] for w in words]])
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(np.uint16(END_OF_TEXT_ID).tobytes().join(map(self._part, text.split(END_OF_TEXT))), "<u2")
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
@@ -75,6 +82,7 @@ KEPT_IN_WORKERS.append(_ENCODERS)
 
 
 def _encoder(files: tuple[str, str]) -> WordEncoder:
+    release(_ENCODERS)
     if files not in _ENCODERS:
         _ENCODERS[files] = WordEncoder(*files)
     return _ENCODERS[files]
@@ -89,7 +97,7 @@ def cut_documents(docs: DataFrame, window: int, files: tuple[str, str], end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(files)
-        for batch in batches:
+        for batch in slices(batches):
             who, start, length, crc, total, tail = [], [], [], [], [], []
             for i, text in id_text(batch):
                 ids = np.append(encoder.ids(text.decode("utf-8", "replace")), np.uint16(end_id))

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEPT_IN_WORKERS, python_path, written
+from tessera.llm.common import KEPT_IN_WORKERS, python_path, release, slices, written
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _NOT_STARTS = bytes(range(0x80, 0xC0))
 #: Words whose measures a worker keeps at a time.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: At most so many languages' bands are sent to all workers; more meet their documents by a shuffled join.
 BROADCAST_LANGUAGES = 10_000
 #: By measure: interquartile ranges that the band reaches below the first and above the third quartile, and its least reach. Text
@@ -97,9 +97,11 @@ def repeated_words(ids: np.ndarray) -> int:
     """Words in 3-word windows that occur twice or more."""
     if len(ids) < 4:
         return 0
-    if ids.max() >= 1 << 20:
-        ids = np.unique(ids, return_inverse=True)[1]
-    codes = ((ids[:-2] << 20) + ids[1:-1] << 20) + ids[2:]
+    if ids.max() < 1 << 20:
+        codes = ((ids[:-2] << 20) + ids[1:-1] << 20) + ids[2:]
+    else:  # pairs get numbers of their own first, so that a code fits 63 bits whatever the number of distinct words
+        width = int(ids.max()) + 1
+        codes = np.unique(ids[:-1] * width + ids[1:], return_inverse=True)[1][:-1] * width + ids[2:]
     order = np.argsort(codes)
     same = np.diff(codes[order]) == 0
     twice = np.zeros(len(codes), bool)
@@ -113,6 +115,15 @@ def repeated_words(ids: np.ndarray) -> int:
 
 _LOADED: dict[tuple, WordMeasures] = {}
 KEPT_IN_WORKERS.append(_LOADED)
+
+
+def _loaded(files: tuple) -> WordMeasures:
+    release(_LOADED)
+    if files not in _LOADED:
+        _LOADED[files] = WordMeasures(*files)
+    return _LOADED[files]
+
+
 _FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("chars_per_piece", pa.float64()), ("chars_per_byte_token", pa.float64()), ("fallback_share", pa.float64()), ("entropy_share", pa.float64())]
 
 
@@ -140,10 +151,8 @@ def measure_documents(docs: DataFrame, piece_model: str | None = None, byte_rank
     files = (piece_model or public_tokenizers.path("piece_bpe_32k.model"), byte_ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if files not in _LOADED:
-            _LOADED[files] = WordMeasures(*files)
-        words = _LOADED[files]
-        for batch in batches:
+        words = _loaded(files)
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             if len(words.number) > KEPT_WORDS:
                 words.clear()
