@@ -5,11 +5,14 @@ case; keys of at least `min_chars` code points count. `LineIndex` keeps every
 reference (key, doc_id) as a row of a log of insertions and deletions; the sum
 of a reference's entries says whether it stands. Keys that `min_docs` documents
 or more hold are active, and each shard of the active keys has a cuckoo filter of
-16-bit fingerprints. A pass over documents asks the filters first: a line that no filter
-knows can't be active, so only the others meet the exact table.
+16-bit fingerprints, written beside the log. Inserting or deleting documents appends to
+the log, finds the keys that became active or ceased to be, and inserts them into
+their shards' filters or deletes them from these.
 
-Deleting documents appends their references with -1, and a later pass sees the
-counts and the largest holder as though they had never come.
+A pass over documents asks the filters first: a line that no filter
+knows can't be active, so only the others meet the exact table. Filters of up to `broadcast_keys` keys in all are sent
+to every worker; of more, the lines go to the shards of the filters. After documents were deleted, a
+pass sees the counts and the largest holder as though they had never come.
 
 Keys are held as 128-bit BLAKE2b digests. Defined cases: null and empty texts
 are one empty line; several rows of one doc_id count as one document; a null
@@ -21,6 +24,8 @@ named n_lines or n_dropped are replaced.
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_text, python_path, shared_folder, written
+from tessera.llm.common import id_text, parallelism, python_path, release, shared_folder, slices, written
 
 #: Active keys per shard; of this size a filter takes about 0.6 MB.
 SHARD_KEYS = 200_000
-#: At most so many active keys (24 bytes each) are sent to every worker.
-BROADCAST_KEYS = 1_000_000
+#: Filters of at most so many keys (2.4 bytes each) are sent to every worker; and at most so many (document, key) pairs.
+BROADCAST_KEYS, BROADCAST_PAIRS = 32_000_000, 1_000_000
+#: Keys that more documents hold are joined by a broadcast of their own, so that no task gets all rows of one.
+HOT_DOCS = 100_000
 
 
 def digest(key: bytes) -> bytes:
@@ -128,7 +135,8 @@ def references(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """(key, doc_id): each counting line of each document, once per document row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             keys, ids = [], []
             for i, text in id_text(batch):
                 found = {k for line in text.split(b"\n") if (k := line_key(line, min_chars))}
@@ -142,59 +150,77 @@ def references(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 class LineIndex:
-    """The references of a set of documents as a log of changes, in a folder that all executors share."""
+    """The references of a set of documents and the filters of their active keys, in a folder that all executors share."""
 
-    def __init__(self, spark, folder: str, min_docs: int = 5, min_chars: int = 40) -> None:
-        self.spark, self.folder, self.min_docs, self.min_chars = spark, folder.rstrip("/"), min_docs, min_chars
+    def __init__(self, spark, folder: str, min_docs: int = 5, min_chars: int = 40, shard_keys: int = SHARD_KEYS) -> None:
+        self.spark, self.folder, self.min_docs, self.min_chars, self.shard_keys = spark, folder.rstrip("/"), min_docs, min_chars, shard_keys
+        self.shards, self.changes = 1, 0
+        self.active: DataFrame | None = None  # key, n_docs, max_doc
+        self.filters: DataFrame | None = None  # shard, filter
+        self.n_active = 0
 
     def insert(self, docs: DataFrame) -> None:
-        self._append(docs, 1)
+        self._change(docs, 1)
 
     def delete(self, docs: DataFrame) -> None:
         """Take documents out again; they must be given as they were inserted."""
-        self._append(docs, -1)
-
-    def _append(self, docs: DataFrame, change: int) -> None:
-        references(docs, self.min_chars).withColumn("change", F.lit(change)).write.mode("append").parquet(f"{self.folder}/log")
+        self._change(docs, -1)
 
     def counts(self) -> DataFrame:
         """(key, n_docs, max_doc) of all standing references."""
-        log = self.spark.read.parquet(f"{self.folder}/log")
+        log = self.spark.read.parquet(*[f"{self.folder}/log-{k}" for k in range(1, self.changes + 1)])
         standing = log.groupBy("key", "doc_id").agg(F.sum("change").alias("n")).filter("n > 0")
         return standing.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
-    def active(self) -> DataFrame:
-        return self.counts().filter(F.col("n_docs") >= self.min_docs)
-
-
-def shard_filters(active: DataFrame, count: int) -> DataFrame:
-    """(shard, filter): a cuckoo filter of each shard's keys, over as many shards as the count of keys asks for."""
-    shards = max(1, -(-count // SHARD_KEYS))
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": group["shard"].iloc[:1].to_numpy(), "filter": [CuckooFilter.of(heads(group["key"])).to_bytes()]})
-
-    keyed = active.select((F.crc32("key") % shards).cast("int").alias("shard"), "key")
-    return keyed.groupBy("shard").applyInPandas(build, "shard int, filter binary")
-
-
-class _Exact:
-    """Active keys as sorted arrays behind their filters."""
-
-    def __init__(self, keys: list[bytes], last: list[int | None], filters: dict[int, bytes], shards: int) -> None:
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        self.at = {keys[i]: last[i] for i in order}
-        self.filters, self.shards = {s: CuckooFilter.from_bytes(f) for s, f in filters.items()}, shards
-
-    def lookup(self, keys: list[bytes]) -> dict[bytes, int | None]:
-        """The largest holder of each of the keys that is active."""
-        return {k: self.at[k] for k in maybe(keys, self.filters, self.shards) if k in self.at}
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{self.changes}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _change(self, docs: DataFrame, change: int) -> None:
+        self.changes += 1
+        self._write(references(docs, self.min_chars).withColumn("change", F.lit(change)), "log")
+        before, self.active = self.active, self._write(self.counts().filter(F.col("n_docs") >= self.min_docs), "active")
+        self.n_active = self.active.count()
+        shards = max(1, -(-self.n_active // self.shard_keys))
+        filters = None
+        if before is not None and shards <= 2 * self.shards:
+            new = self.active.join(before, "key", "left_anti").select("key", F.lit(1).alias("change"))
+            gone = before.join(self.active, "key", "left_anti").select("key", F.lit(-1).alias("change"))
+            filters = self._write(updated_filters(self.filters, new.unionByName(gone), self.shards), "filters")
+            if filters.filter("filter IS NULL").limit(1).count():  # one is full
+                filters = None
+        if filters is None:
+            self.shards = shards
+            empty = self.spark.createDataFrame([], "shard int, filter binary")
+            filters = self._write(updated_filters(empty, self.active.select("key", F.lit(1).alias("change")), shards), "new-filters")
+        self.filters = filters
+
+
+def _shard(key, shards: int):
+    return (F.crc32(key) % shards).cast("int")
+
+
+def updated_filters(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter) after changes (key, 1 or -1); null where a filter has no room for its new keys."""
+
+    def update(old: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        shard = int((old if len(old) else group)["shard"].iloc[0])
+        new, gone = (heads(group.loc[group["change"] == c, "key"]) for c in (1, -1))
+        if not len(old):
+            return pd.DataFrame({"shard": [shard], "filter": [CuckooFilter.of(new).to_bytes()]})
+        held = CuckooFilter.from_bytes(old["filter"].iloc[0])
+        for key in gone.tolist():
+            held.delete(key)
+        full = not all(map(held.insert, new.tolist()))
+        return pd.DataFrame({"shard": [shard], "filter": [None if full else held.to_bytes()]})
+
+    keyed = changes.select(_shard("key", shards).alias("shard"), "key", "change")
+    return filters.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(update, "shard int, filter binary")
 
 
 def maybe(keys: list[bytes], filters: dict[int, CuckooFilter], shards: int) -> list[bytes]:
     """The keys that a filter knows; all active keys are among them."""
-    import zlib
-
     if not keys or not filters:
         return []
     h = heads(keys)
@@ -209,87 +235,103 @@ def maybe(keys: list[bytes], filters: dict[int, CuckooFilter], shards: int) -> l
     return [keys[i] for i in np.flatnonzero(hit)]
 
 
-def _strip(text: bytes, min_chars: int, goes) -> tuple[bytes, int, int]:
-    """Text without the lines whose key goes() names, the number of lines before, and of lines dropped; goes takes the distinct keys."""
-    lines = text.split(b"\n")
-    keys = [line_key(line, min_chars) for line in lines]
-    gone = goes(list({k for k in keys if k}))
+def known_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCAST_KEYS, salts: int = 16) -> DataFrame:
+    """(key, doc_id): the lines of docs, once per row, that the filters know: all active ones and few others."""
+    kind = docs.schema["doc_id"].dataType
+    found = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc_id", kind)])
+    if index.n_active <= broadcast_keys:
+        filters = {r["shard"]: bytes(r["filter"]) for r in index.filters.collect()}  # 2.4 bytes per key
+        sent, shards, min_chars = docs.sparkSession.sparkContext.broadcast(filters), index.shards, index.min_chars
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            held = {s: CuckooFilter.from_bytes(f) for s, f in sent.value.items()}
+            for batch in slices(batches):
+                keys, ids = [], []
+                for i, text in id_text(batch):
+                    hit = maybe(list({k for line in text.split(b"\n") if (k := line_key(line, min_chars))}), held, shards)
+                    keys += hit
+                    ids += [i] * len(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, batch.schema.field(0).type)], ["key", "doc_id"])
+
+        python_path(docs.sparkSession)
+        return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(ask, found)
+
+    def ask_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held = None
+        for batch in batches:
+            # a filter comes before the lines of its shard and salt
+            starts = [*[k for k, f in enumerate(batch.column("filter").is_valid().to_pylist()) if f], batch.num_rows]
+            for k in range(-1, len(starts) - 1):
+                low, high = (starts[k] if k >= 0 else 0), starts[k + 1]
+                if k >= 0:
+                    held, low = CuckooFilter.from_bytes(batch.column("filter")[low].as_py()), low + 1
+                part = batch.slice(low, high - low)
+                if part.num_rows and held is not None:
+                    hit = pa.array(held.contains(heads(part.column("key").to_pylist())))
+                    yield pa.RecordBatch.from_arrays([part.column("key").filter(hit), part.column("doc_id").filter(hit)], ["key", "doc_id"])
+
+    lines = references(docs, index.min_chars).withColumns({"shard": _shard("key", index.shards), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), "filter": F.lit(None).cast("binary")})
+    tables = index.filters.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "key": F.lit(None).cast("binary"), "doc_id": F.lit(None).cast(kind)})
+    dealt = lines.unionByName(tables).repartition(parallelism(docs.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+    return dealt.select("key", "doc_id", "filter").mapInArrow(ask_shard, found)
+
+
+def lines_to_drop(asked: DataFrame, active: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
+    """(doc_id, keys): the active keys among (key, doc_id) whose lines go, as another document is their largest holder."""
+    goes = "max_doc IS NOT NULL AND (doc_id IS NULL OR doc_id < max_doc)"
+    hot = active.filter(F.col("n_docs") > hot_docs).select("key", "max_doc")
+    # Keys of more than hot_docs documents: a hundred-thousandth of all references at most.
+    by_hot = asked.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    rest = by_hot.filter("hot IS NULL").select("key", "doc_id").join(active.filter(F.col("n_docs") <= hot_docs).select("key", "max_doc"), "key")
+    gone = by_hot.filter("hot").select("key", "doc_id", "max_doc").unionByName(rest.select("key", "doc_id", "max_doc")).filter(goes)
+    return gone.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+
+
+def _strip(text: bytes, min_chars: int, gone: frozenset[bytes]) -> tuple[bytes, int, int]:
+    """Text without the lines whose keys are gone, the number of lines before, and of lines dropped."""
     if not gone:
-        return text, len(lines), 0
-    left = [line for line, k in zip(lines, keys) if k not in gone]
+        return text, text.count(b"\n") + 1, 0
+    lines = text.split(b"\n")
+    left = [line for line in lines if line_key(line, min_chars) not in gone]
     return b"\n".join(left), len(lines), len(lines) - len(left)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, broadcast_keys: int = BROADCAST_KEYS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """docs with repeated lines taken out of text, plus n_lines and n_dropped.
 
     Keys that at least min_docs documents hold lose their lines everywhere but
-    in the largest doc_id among these. Up to broadcast_keys active keys go to
-    every worker; beyond, only documents with a line that the filters know are shuffled to meet
-    the exact table.
+    in the largest doc_id among these.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
-    index = LineIndex(spark, f"{shared_folder(spark)}/lines-{id(docs):x}-{__import__('uuid').uuid4().hex}", min_docs, min_chars)
+    index = LineIndex(spark, f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}", min_docs, min_chars)
     index.insert(docs.select("doc_id", "text"))
-    active = written(index.active(), "active-lines")
-    return drop_lines(docs, active, min_chars, broadcast_keys)
+    return drop_lines(docs, index, broadcast_keys, broadcast_pairs)
 
 
-def drop_lines(docs: DataFrame, active: DataFrame, min_chars: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """docs without the lines of active keys (key, max_doc) in documents other than max_doc."""
-    spark = docs.sparkSession
-    python_path(spark)
-    count = active.count()
-    shards = max(1, -(-count // SHARD_KEYS))
-    names = docs.columns
-    at, who = names.index("text"), names.index("doc_id")
+def drop_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCAST_KEYS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """docs without the lines of the index's active keys in documents other than the largest holder, plus n_lines and n_dropped."""
+    python_path(docs.sparkSession)
+    docs = docs.drop("n_lines", "n_dropped")
+    names, min_chars = docs.columns, index.min_chars
+    at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-
-    def apply(batches: Iterator[pa.RecordBatch], goes_for) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(who).to_pylist(), batch.column(at).cast(pa.binary()).to_pylist()
-            extra = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * len(ids)
-            done = [_strip(t or b"", min_chars, goes_for(i, x)) for i, t, x in zip(ids, texts, extra)]
+    gone = written(lines_to_drop(known_lines(docs, index, broadcast_keys), index.active), "gone-lines")
+    gone = gone.select(F.col("doc_id").alias("_who"), F.col("keys").alias("_gone"))
+    if gone.agg(F.coalesce(F.sum(F.size("_gone") + 1), F.lit(0))).first()[0] <= broadcast_pairs:
+        gone = F.broadcast(gone)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in slices(batches):
+            texts, keys = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist()
+            done = [_strip(t or b"", min_chars, frozenset(k or ())) for t, k in zip(texts, keys)]
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array([t if n else old for (t, _, n), old in zip(done, texts)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in done], pa.int64()), pa.array([n for _, _, n in done], pa.int64())], [f.name for f in schema.fields])
 
-    filters = {r["shard"]: bytes(r["filter"]) for r in shard_filters(active, count).collect()} if count <= 32 * broadcast_keys else None
-    if count <= broadcast_keys:
-        rows = active.select("key", "max_doc").toArrow()
-        sent = spark.sparkContext.broadcast((rows.column("key").to_pylist(), rows.column("max_doc").to_pylist(), filters, shards))
-
-        def by_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            exact = _Exact(*sent.value)
-            held = lambda i: lambda keys: {k for k, last in exact.lookup(keys).items() if last is not None and (i is None or i < last)}
-            return apply(batches, lambda i, _: held(i))
-
-        return docs.mapInArrow(by_table, schema)
-
-    sent = spark.sparkContext.broadcast((filters, shards))
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, n = sent.value
-        loaded = None if tables is None else {s: CuckooFilter.from_bytes(f) for s, f in tables.items()}
-        for batch in batches:
-            found = []
-            for text in batch.column(at).cast(pa.binary()).to_pylist():
-                keys = list({k for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars))})
-                found.append(keys if loaded is None else maybe(keys, loaded, n))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.binary()))], [*names, "_keys"])
-
-    def by_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return apply(batches, lambda _, gone: (lambda keys, gone=frozenset(gone or ()): {k for k in keys if k in gone}))
-
-    flagged = docs.mapInArrow(flag, T.StructType([*docs.schema.fields, T.StructField("_keys", T.ArrayType(T.BinaryType()))]))
-    clear = flagged.filter(F.size("_keys") == 0).drop("_keys")
-    held = flagged.filter(F.size("_keys") > 0)
-    asked = held.select("doc_id", F.explode("_keys").alias("key")).distinct().join(active, "key")
-    gone = asked.filter("max_doc IS NOT NULL AND (doc_id IS NULL OR doc_id < max_doc)").groupBy("doc_id").agg(F.collect_set("key").alias("_gone"))
-    left = held.drop("_keys").alias("h").join(gone.alias("g"), F.col("h.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    left = left.select("h.*", "_gone")
-    return clear.select("*", F.lit(None).cast("array<binary>").alias("_gone")).unionByName(left).mapInArrow(by_keys, schema)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_who")), "left").select(*names, "_gone").mapInArrow(apply, schema)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
