@@ -3,21 +3,23 @@
 1. Documents of equal shingle sets form a class (a 128-bit digest of the sorted set);
    from here on each class stands for all its copies.
 2. Two sets of similarity t or more share one of the first |A| - ceil(t |A|) + 1
-   shingles of each, in any order that all sets follow (prefix filter). All shingles are
-   counted over all documents, and the order is: those of
-   one document alone, then those that more documents hold, the
-   hottest last. The first kind can't be shared, so only the prefix's
-   others are posted: nothing at all for a document a quarter of which is its own.
-3. Classes that share a prefix shingle are chained to one of them, and the
+   shingles of each, in any order that all sets follow (prefix filter). In the order of the
+   hashes, these prefixes meet by shingle; a class whose prefix shares none with another class is linked with nothing and goes.
+3. The shingles of the classes that are left are counted over all of these, batch by batch, and their prefixes are taken
+   anew with the rarest first. Those that one class holds alone can't be shared, so only the prefix's
+   others are posted: nothing at all for a class a quarter of which is its own.
+4. Classes that share a posted shingle are chained to one of them, and the
    components of these chains are blocks: no link leaves a block, and no pairs are made.
-4. Each block meets in one task with its whole sets; blocks beyond `tile` shingles are dealt
+5. Each block meets in one task with its whole sets; blocks beyond `tile` shingles are dealt
    in chunks, every two of which meet. There a signature tree (nodes
    hold OR-combined bitmaps, size ranges and least bit counts) is traversed against itself:
    node pairs are left where sizes or bitmaps rule out the similarity, or where
    all their documents are linked already. Surviving pairs are counted exactly.
-5. Links found (enough to span each component) give components by alternating
+6. Links found (enough to span each component) give components by alternating
    large-star and small-star steps.
 
+Nothing that grows with the documents is broadcast or collected; in steps 2 and 3 a batch sends a shingle once, however many of its documents hold it.
+
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; shingles are 64-bit hashes of five words; fewer
 words are one shingle. Defined cases: null texts and texts without
 words have no shingles, are linked with nothing and are their own
@@ -36,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, parallelism, python_path, release, written
+from tessera.llm.common import KEPT_IN_WORKERS, id_text, parallelism, python_path, release, slices, written
 
 SHINGLE = 5
 PERCENT = 75
-#: Bits of the bitmap of repeated shingles, and hot shingles whose counts order the prefixes: bounded tables, sent to all workers.
-REPEATED_BITS, HOT_SHINGLES = 27, 200_000
+#: Classes whose shingles are counted together.
+BATCH = 2_000
 #: Shingles per chunk of a block (8 bytes each).
 TILE = 4_000_000
 #: At most so many classes are sent to all workers to pick their documents.
@@ -59,7 +61,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Hashes of words, computed once per word."""
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self) -> None:
         self.clear()
@@ -105,113 +107,193 @@ class Words:
         return h[new]
 
 
+_WORDS: dict[str, Words] = {}
+KEPT_IN_WORKERS.append(_WORDS)
+
+
+def _words() -> Words:
+    release(_WORDS)
+    return _WORDS.setdefault("words", Words())
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """What all documents tell of the shingles: a bitmap of those that more than one document holds, keys and counts of hot ones, and the bits of a key.
+def _digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
-    A key is the upper 32 bits of a hash and as many below as there are blocks
-    for; each batch sends every block's keys once, or twice if two of its documents hold them.
-    """
-    spark = docs.sparkSession
-    block_bits = max(6, parallelism(spark).bit_length())
-    key_bits = 32 + block_bits
-    hot_per_block = max(16, HOT_SHINGLES >> block_bits)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        words = Words()
-        for batch in batches:
-            sets = [words.shingles(i) for i in words.ids([t for _, t in id_text(batch)])]
-            h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            key = np.sort(h >> np.uint64(64 - key_bits))
-            third = np.zeros(len(key), bool)
-            third[2:] = key[2:] == key[:-2]
-            key = key[~third]
-            block = (key >> np.uint64(32)).astype(np.int64)
-            ends = np.searchsorted(block, np.arange((1 << block_bits) + 1))
-            low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-            used = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([low[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary())], ["block", "keys"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+def _keep(n: int, percent: int) -> int:
+    """Length of a prefix."""
+    return n - -(-n * percent // 100) + 1 if n else 0
 
-        def out() -> pa.RecordBatch:
-            key = np.sort(np.concatenate(held))
-            starts = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint32(1)))
-            n = np.diff(starts, append=len(key))
-            key, n = key[starts][n > 1], n[n > 1]
-            hot = np.argsort(-n, kind="stable")[:hot_per_block]
-            hot = hot[n[hot] > 4]
-            bits = np.zeros(1 << (REPEATED_BITS - block_bits), bool)
-            bits[key >> np.uint32(32 - REPEATED_BITS + block_bits)] = True
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([key[hot].tobytes()], pa.binary()), pa.array([n[hot].astype("<i8").tobytes()], pa.binary())], ["block", "bits", "hot", "n"])
 
-        for batch in batches:
-            for block, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if block != now:
-                    if held:
-                        yield out()
-                    now, held = block, []
-                held.append(np.frombuffer(keys, "<u4"))
-        if held:
-            yield out()
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of equal key, which follow each other."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row[key] != now:
+                if held:
+                    yield now, held
+                now, held = row[key], []
+            held.append(row)
+    if held:
+        yield now, held
+
 
-    sent = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(send, "block int, keys binary")
-    dealt = sent.repartition(parallelism(spark), "block").sortWithinPartitions("block")
-    rows = dealt.mapInArrow(count, "block int, bits binary, hot binary, n binary").collect()  # a bitmap of REPEATED_BITS and the hot shingles: bounded
-    size = 1 << (REPEATED_BITS - block_bits - 3)
-    bitmap, hot, times = np.zeros(1 << (REPEATED_BITS - 3), np.uint8), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in sorted(rows, key=lambda r: r["block"]):
-        bitmap[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-        keys = np.frombuffer(r["hot"], "<u4").astype(np.uint64) + np.uint64(r["block"] << 32)
-        order = np.argsort(keys)
-        hot.append(keys[order])
-        times.append(np.frombuffer(r["n"], "<i8")[order])
-    return bitmap, np.concatenate(hot), np.concatenate(times), key_bits
-
-
-def _places(h: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each shingle is (or seems) repeated, and the power of two of its known count."""
-    bitmap, hot, times, key_bits = tables
-    at = h >> np.uint64(64 - REPEATED_BITS)
-    kind = (bitmap[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
-    if not len(hot):
-        return kind, np.zeros(len(h), np.int64)
-    key = h >> np.uint64(64 - key_bits)
-    found = np.searchsorted(hot, key).clip(max=len(hot) - 1)
-    return kind, np.frexp(np.where((hot[found] == key) & (kind == 1), times[found], 0))[1]
-
-
-def shingle_sets(docs: DataFrame, tables: tuple, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, and the posted part of its prefix (hashes as bytes) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+def _u8(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint64)
+
+
+def _by_block(block: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """Each block's parts of the arrays, as bytes."""
+    order = np.argsort(block, kind="stable")
+    used, starts = np.unique(block[order], return_index=True)
+    for b, low, high in zip(used.tolist(), starts, [*starts[1:], len(order)]):
+        yield b, [a[order[low:high]].tobytes() for a in arrays]
+
+
+def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, digest of the set, d (the digest's first 8 bytes) and prefix (its first shingles by hash, as bytes) of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        tables, words = sent.value, Words()
-        for batch in batches:
+        words = _words()
+        for batch in slices(batches):
             size, digest, prefix = [], [], []
             for ids in words.ids([t for _, t in id_text(batch)]):
                 h = words.shingles(ids)
-                n = len(h)
-                keep = n - -(-n * percent // 100) + 1 if n else 0
-                kind, heat = _places(h, tables)
-                alone = int((kind == 0).sum())
-                posted = h[:0]
-                if alone < keep:
-                    order = np.lexsort((h, heat, kind))[alone:keep]
-                    posted = h[order]
-                size.append(n)
-                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if n else None)
-                prefix.append(posted.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "prefix"])
+                size.append(len(h))
+                digest.append(_digest(h) if len(h) else None)
+                prefix.append(h[: _keep(len(h), percent)].tobytes())
+            d = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in digest]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(d, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "d", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, f"doc_id {kind}, n long, digest binary, prefix binary")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, f"doc_id {kind}, n long, digest binary, d long, prefix binary")
+
+
+def _shared(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The d whose h another d holds too, and one (h, d) of each h."""
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+    last = np.append(starts[1:], len(h)) - 1
+    return np.unique(d[(d[starts] != d[last])[run]]), h[starts], d[starts]
+
+
+def near_digests(sets: DataFrame) -> DataFrame:
+    """(d): the classes whose prefix shares a shingle with another class's."""
+    spark = sets.sparkSession
+    blocks = 2 * parallelism(spark)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in slices(batches, 4096):
+            unique = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            h = _u8(list(unique.values()))
+            d = np.repeat(np.array(list(unique), np.int64), [len(p) // 8 for p in unique.values()])
+            near, h, d = _shared(h, d)
+            rows = [(int(near[0]) % blocks, b"", near.tobytes())] if len(near) else []
+            rows += [(b, *parts) for b, parts in _by_block(h % np.uint64(blocks), h, d)]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["block", "h", "d"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for _, rows in _groups(batches, "block"):
+            known = [np.frombuffer(r["d"], np.int64) for r in rows if not r["h"]]
+            near, _, _ = _shared(_u8([r["h"] for r in rows]), np.frombuffer(b"".join(r["d"] for r in rows if r["h"]), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([near, *known])))], ["d"])
+
+    posted = sets.filter("n > 0").select("d", "prefix").mapInArrow(post, "block int, h binary, d binary")
+    return posted.repartition(parallelism(spark), "block").sortWithinPartitions("block").mapInArrow(meet, "d long").distinct()
+
+
+def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, batch, h): the whole sets of the classes (cid, batch, rep, digest), read from their documents' texts."""
+    wanted = classes.select(F.col("rep").alias("_rep"), "cid", "batch", "digest")
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
+    picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text", "cid", "batch", "digest")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words()
+        for batch in slices(batches):
+            rows = []
+            for ids, cid, number, digest in zip(words.ids([t for _, t in id_text(batch)]), *(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                h = words.shingles(ids)
+                if _digest(h) == digest:  # else another text under the same doc_id
+                    rows.append((cid, number, h.tobytes()))
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["cid", "batch", "h"])
+
+    # Rows that repeat a doc_id and its text give the same set.
+    return picked.mapInArrow(read, "cid long, batch long, h binary").dropDuplicates(["cid"])
+
+
+def posted(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, prefix): what the classes (cid, batch, h) post, the rarest shingles first, those of one class alone left out.
+
+    Each batch of classes asks the shingles' blocks for the counts of its
+    shingles; only those of two classes or more come back.
+    """
+    spark = sets.sparkSession
+    parts = parallelism(spark)
+    blocks = 2 * parts
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for number, rows in _groups(batches, "batch"):
+            h, n = np.unique(_u8([r["h"] for r in rows]), return_counts=True)
+            found = [(b, number, *x) for b, x in _by_block(h % np.uint64(blocks), h, n.astype("<u4"))]
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["block", "batch", "h", "n"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for _, rows in _groups(batches, "block"):
+            h, n = _u8([r["h"] for r in rows]), np.frombuffer(b"".join(r["n"] for r in rows), "<u4")
+            key, at = np.unique(h, return_inverse=True)
+            total = np.bincount(at, weights=n).astype("<u4")[at]
+            found, low = [], 0
+            for r in rows:
+                high = low + len(r["h"]) // 8
+                more = np.flatnonzero(total[low:high] > 1) + low
+                if len(more):
+                    found.append((r["batch"], h[more].tobytes(), total[more].tobytes()))
+                low = high
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["batch", "h", "n"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for _, rows in _groups(batches, "batch"):
+            told = [r for r in rows if r["cid"] is None]
+            key, n = _u8([r["h"] for r in told]), np.frombuffer(b"".join(r["n"] for r in told), "<u4")
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            cids, prefixes = [], []
+            for r in rows:
+                if r["cid"] is None or not len(key):
+                    continue
+                h = np.frombuffer(r["h"], np.uint64)
+                at = np.searchsorted(key, h).clip(max=len(key) - 1)
+                more = key[at] == h
+                left = _keep(len(h), percent) - int((~more).sum())
+                if left > 0:
+                    h, times = h[more], n[at[more]]
+                    cids.append(r["cid"])
+                    prefixes.append(h[np.lexsort((h, times))[:left]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(prefixes, pa.binary())], ["cid", "prefix"])
+
+    dealt = sets.select("batch", "h").repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(ask, "block int, batch long, h binary, n binary")
+    told = dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(answer, "batch long, h binary, n binary")
+    both = sets.select("cid", "batch", "h", F.lit(None).cast("binary").alias("n")).unionByName(told.withColumn("cid", F.lit(None).cast("long")))
+    return both.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(pick, "cid long, prefix binary")
 
 
 def _runs(h: np.ndarray, cid: np.ndarray, last: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +341,7 @@ def chains(classes: DataFrame) -> DataFrame:
             pairs = edges(cid[~new], first[~new])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = written(classes.select("cid", "prefix").mapInArrow(post, "h long, a long, b long"), "postings")
+    rows = written(classes.select("cid", "prefix").mapInArrow(post, "h long, a long, b long"), "postings", "zstd")
     dealt = rows.filter("b IS NULL").select("h", "a").repartition(parallelism(spark), "h").sortWithinPartitions("h", "a")
     return rows.filter("b IS NOT NULL").select("a", "b").unionByName(dealt.mapInArrow(chain, "a long, b long")).distinct()
 
@@ -283,13 +365,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = written(e, "edges")
-    mark = None
     for _ in range(most):
-        e = written(star(star(e, small=False), small=True), "edges")
-        now = e.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long"))).first()
-        if tuple(now) == mark:
+        before, e = e, written(star(star(e, small=False), small=True), "edges")
+        if e.count() == before.count() and e.join(before, ["a", "b"], "left_anti").limit(1).count() == 0:
             break
-        mark = tuple(now)
     else:
         raise RuntimeError(f"components have not settled in {most} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
@@ -339,6 +418,7 @@ def tree_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
     sets = [sets[i] for i in order]
     tree, t = SignatureTree(sets), percent / 100
     sizes, root, links = tree.sizes, np.arange(count), []
+    members = [[i] for i in range(count)]  # of each root
     width = [tree.LEAF * tree.FAN**k for k in range(len(tree.levels))]
     stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
@@ -365,38 +445,25 @@ def tree_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
             both = int((q[np.searchsorted(q, p).clip(max=len(q) - 1)] == p).sum())
             if 100 * both >= percent * (len(p) + len(q) - both):
                 links.append((order[i], order[j]))
-                root[root == root[j]] = root[i]
+                into, gone = (root[i], root[j]) if len(members[root[i]]) >= len(members[root[j]]) else (root[j], root[i])
+                root[members[gone]] = into
+                members[into] += members[gone]
+                members[gone] = []
     return links
 
 
-def block_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes, within their blocks."""
-    spark = docs.sparkSession
-    held = classes.join(blocks.select(F.col("node").alias("cid"), "label"), "cid").select("cid", "label", "n", "rep", "digest")
-    held = written(held, "held")
-    shares = held.groupBy("label").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("chunks"))
-    wanted = held.join(shares, "label").select(F.col("rep").alias("_rep"), "cid", "label", "chunks", "digest")
-    if held.count() <= BROADCAST_CLASSES:
-        wanted = F.broadcast(wanted)
-    picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text", "cid", "label", "chunks", "digest")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                cids, labels, chunks, digests = (part.column(k).to_pylist() for k in range(2, 6))
-                rows = []
-                for ids, cid, label, n, digest in zip(words.ids([t for _, t in id_text(part)]), cids, labels, chunks, digests):
-                    h = words.shingles(ids).tobytes()
-                    if hashlib.blake2b(h, digest_size=16).digest() != digest:
-                        continue  # another text under the same doc_id
-                    own = (cid * 0x9E3779B1 >> 16) % n
-                    rows += [(label, min(own, k) * n + max(own, k), cid, h) for k in range(n)]
-                columns = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["label", "tile", "cid", "h"])
+def block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes (cid, h), within their blocks (node, label)."""
+    spark = sets.sparkSession
+    held = blocks.select(F.col("node").alias("cid"), "label").join(sets.select("cid", "h"), "cid").withColumn("n", F.octet_length("h") / 8)
+    shares = blocks.select(F.col("node").alias("cid"), "label").join(sets.select("cid", (F.octet_length("h") / 8).alias("n")), "cid")
+    shares = written(shares.groupBy("label").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("chunks")).filter("chunks > 1"), "shares")  # blocks of over TILE shingles
+    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(own, k) * F.col("chunks") + F.greatest(own, k))
+    tiles = held.join(shares, "label", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select("label", F.explode(meets).alias("tile"), "cid", "h")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, cids, sets = None, [], []
 
         def out() -> pa.RecordBatch:
@@ -414,7 +481,6 @@ def block_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, percent:
         if len(sets) > 1:
             yield out()
 
-    tiles = picked.mapInArrow(deal, "label long, tile long, cid long, h binary")
     tiles = tiles.repartition(parallelism(spark), "label", "tile").sortWithinPartitions("label", "tile")
     return tiles.mapInArrow(link, "a long, b long")
 
@@ -423,13 +489,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     python_path(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    tables = repeated(docs)
-    sets = written(shingle_sets(docs, tables, percent), "sets")
-    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
+    sets = written(shingle_sets(docs, percent), "sets")
+    classes = sets.filter("n > 0").groupBy("digest", "d").agg(F.min("doc_id").alias("rep"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    blocks = components(chains(classes))
-    links = written(block_links(docs, classes, blocks, percent), "links")
-    labels = components(links)
+    near = written(near_digests(sets), "near")
+    batches = max(1, near.count() // BATCH)
+    whole = classes.join(near, "d").withColumn("batch", F.pmod(F.xxhash64("cid"), F.lit(batches)))
+    whole = written(class_sets(docs, whole), "class-sets")
+    blocks = components(chains(posted(whole, percent)))
+    labels = components(written(block_links(whole, blocks, percent), "links"))
     named = classes.select("digest", "rep", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "cid").alias("label"))
     named = written(named, "named")
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
