@@ -2,21 +2,25 @@
 
 The kernel counts the common, possibly gapped, character subsequences of two
 strings, each weighted by decay to the power of its spans (Lodhi et al. 2002), and is normalised;
-inserted characters and gaps lower it only by degrees. Landmarks are fragments
-of words that labelled toxic documents have and clean ones lack, beside some words
-of clean documents. A string's features are its kernels with the landmarks, whitened by
-their own kernel matrix (Nyström); a linear support vector machine with squared hinge loss
-separates strings of toxic sentences from those of clean sentences. A sentence
-is as toxic as its worst string, a document's score is a logistic function of
-its three worst strings.
-
-Strings are white-space separated words in lower case, punctuation at the ends
-taken off, and runs of four or more single letters, joined. Words longer than 40
-characters are read in overlapping parts.
+inserted characters and gaps lower it only by degrees. A long gap leaves next to nothing of a subsequence's
+weight, so a sentence meets a landmark, which is one string, in one of its strings: a sentence's margin is that of its worst string.
+
+Landmarks are strings that labelled toxic documents have far more often than clean ones, some strings
+of clean documents, and those of them that a first machine finds nearest to toxic ones. A string's features are its kernels with the landmarks, whitened
+by their own kernel matrix (Nyström); a linear support vector machine with squared hinge loss is trained on
+the labelled documents' sentences, as sets of strings (multiple-instance learning): every string of a clean sentence is
+negative, and a toxic sentence has at least one positive string. Which sentences of a toxic document are toxic, and by which string,
+is first taken from the landmarks, then from the machine itself in further fits: its sentences on the toxic side, and its worst one.
+Landmarks with inserted characters are positive strings too. A document's score is a logistic function of the margins of its three worst sentences, fitted on all
+sampled labels.
+
+Sentences end at line breaks and after words that end in . ! or ?, and after 40 words at the latest. Strings are
+white-space separated words in lower case, punctuation at the ends taken off, between two marks of their ends; runs of four or
+more single letters count as one more string, joined, and a string with other characters inside is read without them as well. Strings longer than 40 characters are read in overlapping parts.
 
 Training takes at most `train_toxic` and `train_clean` labelled documents, those of
-the smallest hashes; scoring reads whole texts. Defined cases: null and empty
-texts get the score of a document without any suspicious string; labels of a repeated doc_id
+the smallest hashes, and of each at most `train_sentences` sentences, those of the smallest hashes; scoring reads whole texts.
+Defined cases: null and empty texts get the score of a document without any suspicious sentence; labels of a repeated doc_id
 count as toxic if one of them does; with no toxic or no clean label at all,
 every score is the share of toxic labels (0 if there are none); an empty table
 gives an empty result; further columns are ignored.
@@ -28,7 +32,7 @@ import re
 import uuid
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import KEPT_IN_WORKERS, hash52, id_text, python_path
+from tessera.llm.common import KEPT_IN_WORKERS, hash52, plain, python_path, release, slices
 
 _ENDS = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
 _SPACED = re.compile(r"\b\w(?: \w){3,}\b")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 THRESHOLD = 0.3
+#: Margins of sentences are taken as lying between this and its opposite.
+FLOOR = -1.5
 
 
 @dataclass(frozen=True)
@@ -50,12 +57,16 @@ class Settings:
     decay: float = 0.6
     landmarks: int = 32
     clean_landmarks: int = 8
+    near_landmarks: int = 16
     train_toxic: int = 600
     train_clean: int = 1200
-    train_words: int = 40_000
+    train_sentences: int = 400
+    sentence: int = 40
     part: int = 40
     cost: float = 10.0
-    kept_words: int = 300_000
+    rounds: int = 5
+    disturbed: float = 4.0
+    kept_words: int = 200_000
     seed: int = 5
 
 
@@ -95,73 +106,117 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -
     return total
 
 
-# Training, on the driver, over the bounded sample.
+# Sentences.
 
 
-def words_of(text: str) -> list[str]:
-    text = text.lower()
-    found = text.split()
-    return found + [x.replace(" ", "") for x in _SPACED.findall(text)]
+class Sentences:
+    """Sentences of texts as numbers of their words, which are the keys of `number` in order."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self._ends = np.zeros(0, bool)
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """The words' numbers, where sentences begin among them, how many sentences each text has, and the words that are new."""
+        number, fresh, ids, lines, owner = self.number, [], [], [], []
+        for place, text in enumerate(texts):
+            for line in text.lower().split("\n"):
+                words = line.split()
+                words += [x.replace(" ", "") for x in _SPACED.findall(line)]
+                if not words:
+                    continue
+                lines.append(len(ids))
+                owner.append(place)
+                for w in words:
+                    if (k := number.get(w)) is None:
+                        k = number[w] = len(number)
+                        fresh.append(w)
+                        self.chars += len(w)
+                    ids.append(k)
+        if fresh:
+            self._ends = np.concatenate([self._ends, [w.endswith((".", "!", "?")) for w in fresh]])
+        at = np.array(ids, np.int64)
+        if not len(at):
+            return at, at, np.zeros(len(texts), np.int64), fresh
+        begins = np.zeros(len(at), bool)
+        begins[lines] = True
+        begins[1:] |= self._ends[at[:-1]]
+        starts = np.flatnonzero(begins)
+        starts = np.flatnonzero((np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % self.longest == 0)
+        line_of = np.searchsorted(lines, starts, side="right") - 1
+        return at, starts, np.bincount(np.array(owner)[line_of], minlength=len(texts)), fresh
+
+
+# Training, on the driver, over the bounded sample.
 
 
 def _bare(word: str) -> str:
-    return word.strip(_ENDS)
+    return f"^{word.strip(_ENDS)}$"
 
 
-def _grams(word: str) -> set[str]:
-    w = f"^{word}$"
-    return {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)} if 2 < len(word) <= 40 else set()
+def _grams(word: str, part: int) -> set[str]:
+    return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)} if len(word) <= part else set()
 
 
-def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> tuple[list[str], set[str]]:
-    """Fragments that set toxic documents apart, and the words that hold them, from the documents' sets of words."""
+def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, part: int = 40) -> list[str]:
+    """Strings that set toxic documents apart, from the documents' sets of words.
+
+    Fragments that toxic documents have by far more often than chance would have it are taken
+    greedily by the documents they explain, and prolonged to what their words have in common. With too few labels for any to pass, those
+    of least chance are taken.
+    """
     cache: dict[str, set[str]] = {}
     df: Counter = Counter()
     for words in toxic:
         seen: set[str] = set()
         for w in words:
             if (g := cache.get(w)) is None:
-                g = cache[w] = _grams(w)
+                g = cache[w] = _grams(w, part)
             seen |= g
         df.update(seen)
-    least = max(3, len(toxic) // 50)
+    least = max(min(2, len(toxic)), min(3, len(toxic) // 4), len(toxic) // 50)
     candidates = {g for g, n in df.items() if n >= least}
     clean_df: Counter = Counter()
     for words in clean:
-        clean_df.update({g for w in words for g in _grams(w) if g in candidates})
+        clean_df.update({g for w in words for g in _grams(w, part) if g in candidates})
     share = len(toxic) / (len(toxic) + len(clean))
 
-    def apart(g: str) -> bool:
-        """Whether so large a share of toxic documents among those with g is no chance, of so many fragments."""
+    def surprise(g: str) -> float:
         n, q = df[g] + clean_df[g], (df[g] - 0.01) / (df[g] + clean_df[g])
-        surprise = n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))
-        return q > max(share, 0.9) and surprise > np.log(100 * len(candidates))
+        return n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))) if q > share else 0.0
+
+    def often(g: str) -> bool:
+        return df[g] / len(toxic) >= 4 * clean_df[g] / len(clean)
 
-    best = sorted(filter(apart, candidates), key=lambda g: (-df[g], -len(g), g))[:4000]
+    chance = {g: surprise(g) for g in candidates if often(g)}
+    best = [g for g in chance if chance[g] > np.log(100 * len(candidates))]
+    if not best:
+        best = sorted(chance, key=lambda g: (-chance[g], -len(g), g))[:most]
+        most = max(1, min(most, len(toxic) // 2))
+    best = sorted(best, key=lambda g: (-chance[g], -len(g), g))[:4000]
     holders: dict[str, list[tuple[int, str]]] = defaultdict(list)
     chosen = set(best)
     for number, words in enumerate(toxic):
         for w in words:
             for g in cache[w] & chosen:
                 holders[g].append((number, w))
-    everything = list(cache)
-    cache.clear()
     marks: list[str] = []
     explained: set[str] = set()
-    while len(marks) < most:
+    while len(marks) < most and holders:
         gain = {g: len({d for d, w in at if w not in explained}) for g, at in holders.items()}
-        gain = {g: n for g, n in gain.items() if n >= least}
+        gain = {g: n for g, n in gain.items() if n >= max(least, df[g] / 2)}  # the others' words are explained for the most part
         if not gain:
             break
-        most_gain = max(gain.values())
-        g = max((g for g in gain if gain[g] >= 0.9 * most_gain), key=lambda g: (-clean_df[g], len(g.strip("^$")), gain[g], g))
+        g = max(gain, key=lambda g: (chance[g] * gain[g] / df[g], len(g.strip("^$")), g))
         words = Counter(w for _, w in holders[g] if w not in explained)
         holders.pop(g)
-        mark = _common(words, g.strip("^$"))
-        explained |= set(words) | {w for w in everything if mark in w}
-        if mark not in marks:
+        mark = _common(words, g)
+        explained |= set(words) | {w for w in cache if mark in w}
+        if mark not in marks and len(mark.strip("^$")) > 2:
             marks.append(mark)
-    return marks, explained
+    return marks
 
 
 def _common(words: Counter, core: str) -> str:
@@ -187,7 +242,7 @@ def _disturbed(marks: list[str], rng: np.random.Generator) -> list[str]:
     """Landmarks with characters inserted or letters spaced out."""
     found = []
     letters = "abcdefghijklmnopqrstuvwxyz.*-_1"
-    for mark in marks:
+    for mark in (m.strip("^$") for m in marks):
         found += [".".join(mark), "-".join(mark), "*".join(mark)]
         for _ in range(8):
             w = mark
@@ -198,111 +253,124 @@ def _disturbed(marks: list[str], rng: np.random.Generator) -> list[str]:
     return found
 
 
-class StringMachine:
-    """A linear support vector machine on Nyström features of the subsequence kernel."""
+class Kernels:
+    """Normalised subsequence kernels of words with landmarks."""
 
     def __init__(self, marks: list[str], settings: Settings) -> None:
-        self.s = settings
+        self.s, self.count = settings, len(marks)
         self.marks = _codes(marks, -2)
         k = subsequence_kernel(_codes(marks, -1)[:, None, :], self.marks[None, :, :], settings.order, settings.decay)
         self.own = np.sqrt(np.maximum(np.diag(k), 1e-12))
-        values, vectors = np.linalg.eigh((k / self.own[:, None] / self.own[None, :]).astype(np.float64))
-        keep = values > 1e-4
-        self.whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-        self.weights, self.bias = np.zeros(keep.sum(), np.float32), -1.0
+        self.gram = (k / self.own[:, None] / self.own[None, :]).astype(np.float64)
 
-    def features(self, words: list[str]) -> np.ndarray:
-        """A row per word; words have at most settings.part characters."""
-        out = np.zeros((len(words), self.whiten.shape[1]), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row per word: the best kernels of its parts with each landmark."""
+        part, step = self.s.part, self.s.part // 2
+        parts, owner = [], []
+        for i, word in enumerate(words):
+            w = _bare(word)
+            for read in (w,) if w[1:-1].isalpha() else (w, f"^{_NO_LETTER.sub('', w)}$"):
+                for at in range(0, max(1, len(read) - step), step) if len(read) > part else (0,):
+                    parts.append(read[at : at + part])
+                    owner.append(i)
+        out = np.zeros((len(words), self.count), np.float32)
+        order = np.argsort([len(p) for p in parts], kind="stable")
+        owner = np.array(owner, np.int64)
         for at in range(0, len(order), 1024):
             block = order[at : at + 1024]
-            codes = _codes([words[i] for i in block], -1)
+            codes = _codes([parts[i] for i in block], -1)
             if codes.shape[1] < self.s.order:
                 continue
             k = subsequence_kernel(codes[:, None, :], self.marks[None, :, :], self.s.order, self.s.decay)
-            other = np.where(codes == -1, -3, codes)
-            norm = np.sqrt(np.maximum(subsequence_kernel(codes, other, self.s.order, self.s.decay), 1e-12))
-            out[block] = k / norm[:, None] / self.own[None, :] @ self.whiten
+            norm = np.sqrt(np.maximum(subsequence_kernel(codes, np.where(codes == -1, -3, codes), self.s.order, self.s.decay), 1e-12))
+            np.maximum.at(out, owner[block], k / norm[:, None] / self.own[None, :])
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 30) -> None:
-        """Squared hinge loss by Newton steps on the margin's violators; a document has hundreds of clean words for each toxic one, so classes keep their weight."""
-        x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-        share = np.full(len(y), self.s.cost)
-        w = np.zeros(x1.shape[1])
-        ridge = np.eye(len(w))
-        ridge[-1, -1] = 1e-6
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights, the bias last, of a linear machine with squared hinge loss, by Newton steps on the margin's violators."""
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x1.shape[1])
+    ridge = np.eye(len(w))
+    ridge[-1, -1] = 1e-6
+    for _ in range(rounds):
+        inside = y * (x1 @ w) < 1
+        xs, ys, cs = x1[inside], y[inside], cost[inside]
+        new = np.linalg.solve(ridge + (xs * cs[:, None]).T @ xs, xs.T @ (cs * ys))
+        if np.allclose(new, w, atol=1e-6):
+            break
+        w = new
+    return w
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights, none below 0, of a logistic model with a small ridge, and its bias: a larger margin never makes a document likelier to be clean."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        xs = np.hstack([x[:, used], np.ones((len(x), 1))]).astype(np.float64)
+        ridge = np.array([0.05] * used.sum() + [1e-6])
+        w = np.zeros(xs.shape[1])
         for _ in range(rounds):
-            inside = y * (x1 @ w) < 1
-            xs, ys, cs = x1[inside], y[inside], share[inside]
-            new = np.linalg.solve(ridge + (xs * cs[:, None]).T @ xs, xs.T @ (cs * ys))
-            if np.allclose(new, w, atol=1e-6):
+            p = 1 / (1 + np.exp(-(xs @ w).clip(-30, 30)))
+            step = np.linalg.solve((xs * (p * (1 - p) + 1e-6)[:, None]).T @ xs + np.diag(ridge), xs.T @ (y - p) - ridge * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
                 break
-            w = new
-        self.weights, self.bias = w[:-1].astype(np.float32), float(w[-1])
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[:-1][used], out[-1] = w[:-1], w[-1]
+            return out
+        used[np.flatnonzero(used)[w[:-1].argmin()]] = False
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        """A margin per word: that of its worst part."""
-        part, step = self.s.part, self.s.part // 2
-        parts, owner = [], []
-        for i, word in enumerate(words):
-            w = _bare(word)
-            for at in range(0, max(1, len(w) - step), step) if len(w) > part else (0,):
-                parts.append(w[at : at + part])
-                owner.append(i)
-        out = np.full(len(words), -np.inf, np.float32)
-        np.maximum.at(out, owner, self.features(parts) @ self.weights + np.float32(self.bias))
-        return out
+
+def worst_three(margins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The means of the one, two and three largest margins of each document, whose sentences follow each other; absent ones are FLOOR."""
+    out = np.full((len(counts), 3), FLOOR)
+    ends = np.cumsum(counts)
+    for row, end, n in zip(out, ends, counts):
+        m = margins[end - n : end]
+        top = np.sort(np.partition(m, n - 3)[-3:] if n > 3 else m)[::-1]
+        row[: len(top)] = top
+    return out.clip(FLOOR, -FLOOR).cumsum(axis=1) / [1, 2, 3]
 
 
 @dataclass
 class Model:
-    machine: StringMachine | None
-    floor: float
-    logistic: np.ndarray  # weights of the three worst margins, and the bias
+    kernels: Kernels | None
+    weights: np.ndarray  # of a string's kernels, whitening included
+    bias: float
+    logistic: np.ndarray  # weights of what worst_three has, and the bias
     constant: float = 0.0
 
+    def margins(self, words: list[str]) -> np.ndarray:
+        return (self.kernels.of(words) @ self.weights + self.bias).astype(np.float32)
+
     def scores(self, worst: np.ndarray) -> np.ndarray:
-        """Probabilities from rows of the three largest margins."""
-        if self.machine is None:
-            return np.full(len(worst), self.constant)
-        z = np.maximum(worst, self.floor).clip(max=3.0) @ self.logistic[:-1] + self.logistic[-1]
+        """Probabilities from rows of worst_three."""
+        z = worst @ self.logistic[:-1] + self.logistic[-1]
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-class WordMargins:
-    """Margins of words, computed once per word."""
+class Scorer:
+    """Scores of texts; a word's margin is worked out once while it is kept."""
 
-    def __init__(self, machine: StringMachine, most: int) -> None:
-        self.machine, self.most = machine, most
-        self.number: dict[str, int] = {}
-        self.fresh: list[str] = []
-        self.margin = np.zeros(0, np.float32)
-
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """The three largest margins of each text, absent ones as -inf."""
-        if len(self.number) > self.most:
-            self.number.clear()
-            self.margin = np.zeros(0, np.float32)
-        number, fresh, found = self.number, self.fresh, []
-        for text in texts:
-            ids = []
-            for w in words_of(text):
-                if (k := number.get(w)) is None:
-                    k = number[w] = len(number)
-                    fresh.append(w)
-                ids.append(k)
-            found.append(np.array(ids, np.int64))
+    def __init__(self, model: Model, settings: Settings = Settings()) -> None:
+        self.model, self.s = model, settings
+        self.clear()
+
+    def clear(self) -> None:
+        self.sentences, self.margin = Sentences(self.s.sentence), np.zeros(0, np.float32)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.model.kernels is None:
+            return np.full(len(texts), self.model.constant)
+        if max(len(self.margin), self.sentences.chars // 30) > self.s.kept_words:
+            self.clear()
+        at, starts, counts, fresh = self.sentences.cut(texts)
         if fresh:
-            self.margin = np.concatenate([self.margin, self.machine.margins(fresh)])
-            fresh.clear()
-        out = np.full((len(texts), 3), -np.inf, np.float32)
-        for row, ids in zip(out, found):
-            m = self.margin[ids]
-            top = np.sort(np.partition(m, len(m) - 3)[-3:] if len(m) > 3 else m)[::-1]
-            row[: len(top)] = top
-        return out
+            self.margin = np.concatenate([self.margin, self.model.margins(fresh)])
+        worst = np.maximum.reduceat(self.margin[at], starts) if len(at) else np.zeros(0, np.float32)
+        return self.model.scores(worst_three(worst, counts))
 
 
 def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) -> Model:
@@ -310,42 +378,62 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
     s = settings
     y = np.array(toxic)
     if not (y == 1).any() or not (y == 0).any():
-        return Model(None, 0.0, np.zeros(4), float((y == 1).mean()) if len(y) else 0.0)
-    sets = [{_bare(w) for w in words_of(t)} for t in texts]
+        return Model(None, np.zeros(0), 0.0, np.zeros(4), float((y == 1).mean()) if len(y) else 0.0)
+    cut = Sentences(s.sentence)
+    at, starts, counts, _ = cut.cut(texts)
+    sizes, owner = np.diff(starts, append=len(at)), np.repeat(np.arange(len(texts)), counts)
+    # Of each document the sentences of the smallest hashes: all of them but in very long ones.
+    place = np.array([zlib.crc32(at[a : a + n].tobytes()) for a, n in zip(starts, sizes)])
+    order = np.lexsort((place, owner))
+    kept = np.zeros(len(starts), bool)
+    kept[order] = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts) < s.train_sentences
+    at, owner, sizes = at[np.repeat(kept, sizes)], owner[kept], sizes[kept]
+    counts, starts = np.bincount(owner, minlength=len(texts)), np.cumsum(sizes) - sizes
+    strings = list(cut.number)
+    bare = [_bare(w) for w in strings]
+    sets = [{bare[i] for i in part} for part in np.split(at, np.searchsorted(np.repeat(owner, sizes), np.arange(1, len(texts))))]
     bad, good = [w for w, k in zip(sets, y) if k], [w for w, k in zip(sets, y) if not k]
-    marks, positive = pick_landmarks(bad, good, s.landmarks - s.clean_landmarks)
-    witnesses = frozenset(positive)
-    if not marks:
-        return Model(None, 0.0, np.zeros(4), float(y.mean()))
-    rng = np.random.default_rng(s.seed)
-    clean_words = sorted({w for words in good for w in words if 2 < len(w) <= s.part}, key=lambda w: (zlib.crc32(w.encode()), w))
-    clean_set = set(clean_words)
-    negative = clean_words[: s.train_words]
-    positive = sorted(w for w in positive if w not in clean_set and len(w) <= s.part) + _disturbed(marks, rng)
-    benign = [w for w in negative if 4 <= len(w) <= 10][: s.clean_landmarks]
-    machine = StringMachine(marks + benign, s)
-    x, rest = machine.features(positive + negative), clean_words[s.train_words : 6 * s.train_words]
-    machine.fit(x, np.array([1.0] * len(positive) + [-1.0] * len(negative)))
-    if rest:  # once more with the clean words that came nearest
-        more = machine.features(rest)
-        more = more[more @ machine.weights + machine.bias > -0.7]
-        x = np.vstack([x, more])
-        machine.fit(x, np.array([1.0] * len(positive) + [-1.0] * (len(x) - len(positive))))
-    worst = WordMargins(machine, s.kept_words).worst(texts)
-    floor = float(min(-1.0, worst[np.isfinite(worst)].min(initial=-1.0)))
-    # A toxic document without a string that sets it apart tells nothing of where the boundary lies.
-    told = (y == 0) | np.array([not witnesses.isdisjoint(w) for w in sets])
-    worst, y = worst[told], y[told]
-    x = np.hstack([np.maximum(worst, floor).clip(max=3.0), np.ones((len(y), 1))]).astype(np.float64)
-    w = np.zeros(4)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag([0.05, 0.05, 0.05, 1e-6])
-        step = np.linalg.solve(h, x.T @ (y - p) - np.array([0.05, 0.05, 0.05, 0]) * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return Model(machine, floor, w)
+    marks = pick_landmarks(bad, good, s.landmarks - s.clean_landmarks, s.part)
+    benign = sorted({w for words in good for w in words if 6 <= len(w) <= 12}, key=lambda w: (zlib.crc32(w.encode()), w))[: s.clean_landmarks]
+    del sets, bad, good
+    toxic_marks = len(marks)
+    marks = list(dict.fromkeys([*marks, *benign])) or ["^$"]
+    used, at = np.unique(at, return_inverse=True)
+    bad_sentence = y[owner] == 1
+    clean_times = np.bincount(at, weights=np.repeat(~bad_sentence, sizes), minlength=len(used))
+    clean = np.flatnonzero(clean_times)
+    disturbed = _disturbed(marks[:toxic_marks], np.random.default_rng(s.seed))
+    kernels = Kernels(marks, s)
+    k, more = kernels.of([strings[i] for i in used]), kernels.of(disturbed)
+    margin = k[:, :toxic_marks].max(axis=1) - 0.8 if toxic_marks else k[:, 0]
+    for last in (False, True):
+        values, vectors = np.linalg.eigh(kernels.gram)
+        keep = values > 1e-4
+        whiten = vectors[:, keep] / np.sqrt(values[keep])
+        x, x_more, before = k @ whiten, more @ whiten, None
+        for _ in range(s.rounds):
+            worst = np.maximum.reduceat(margin[at], starts) if len(at) else np.zeros(0)
+            most = np.full(len(texts), -np.inf)
+            np.maximum.at(most, owner, worst)
+            chosen = bad_sentence & ((worst > 0) | (worst == most[owner]))
+            told = np.repeat(chosen, sizes) & (margin[at] == np.repeat(worst, sizes))
+            times = np.bincount(at[told], minlength=len(used))
+            if before is not None and (times == before).all():
+                break
+            before, positive = times, np.flatnonzero(times)
+            # A string may be told by toxic sentences and stand in clean ones too: it is on both sides then.
+            xs = np.vstack([x[positive], x_more, x[clean]])
+            ys = np.concatenate([np.ones(len(positive) + len(more)), -np.ones(len(clean))])
+            cost = np.concatenate([times[positive].clip(max=100), np.full(len(more), s.disturbed), clean_times[clean].clip(max=100)]) * s.cost
+            w = squared_hinge(xs, ys, cost)
+            margin = x @ w[:-1] + w[-1]
+        if not last:  # once more, with the clean strings that came nearest as landmarks
+            near = [_bare(strings[used[i]]) for i in clean[np.lexsort((clean, -margin[clean]))][: 8 * s.near_landmarks]]
+            marks += [m for m in dict.fromkeys(near) if len(m) <= s.part and m not in marks][: s.near_landmarks]
+            kernels = Kernels(marks, s)
+            k, more = kernels.of([strings[i] for i in used]), kernels.of(disturbed)
+    worst = worst_three(np.maximum.reduceat(margin[at], starts) if len(at) else np.zeros(0), counts)
+    return Model(kernels, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), logistic(worst, y))
 
 
 # Jobs.
@@ -362,40 +450,43 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).withColumn("place", hash52(F.col("doc_id"), F.lit("toxic")))
     part = lambda flag, most: known.filter(f"toxic = {flag}").orderBy("place", "doc_id").limit(most)
     sample = F.broadcast(part(1, s.train_toxic).unionByName(part(0, s.train_clean)))  # bounded by the settings
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
+    rows = docs.select("doc_id", plain(F.col("text")).alias("text")).join(sample, "doc_id").select("doc_id", "toxic", "text", "place")
+    # Rows that repeat a doc_id may be many; the bound holds for rows.
+    rows = rows.orderBy("place", "doc_id", F.xxhash64("text")).limit(s.train_toxic + s.train_clean).collect()
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows], s)
 
 
-_WORKERS: dict[str, WordMargins] = {}
+_WORKERS: dict[str, Scorer] = {}
 KEPT_IN_WORKERS.append(_WORKERS)
 
 
-def score_documents(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
-    """docs' columns without any of those names, plus held_out, score, predicted."""
+def _scorer(key: str, model: Model, settings: Settings) -> Scorer:
+    release(_WORKERS)
+    if key not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[key] = Scorer(model, settings)
+    return _WORKERS[key]
+
+
+def score_rows(docs: DataFrame, model: Model, kept: Sequence[str] = ("doc_id",), settings: Settings = Settings()) -> DataFrame:
+    """The columns `kept` of docs, as they are, plus held_out, score, predicted; none of them may have one of these names."""
     spark = docs.sparkSession
-    docs = docs.drop("held_out", "score", "predicted")
-    names = docs.columns
-    who, at = names.index("doc_id"), names.index("text")
+    given = docs.select("doc_id", "text", *[c for c in kept if c not in ("doc_id", "text")])
+    at = [given.columns.index(c) for c in kept]
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        if model.machine is not None and key not in _WORKERS:
-            _WORKERS.clear()
-            _WORKERS[key] = WordMargins(model.machine, settings.kept_words)
-        for batch in batches:
-            ids = [fold(i) == 2 for i in batch.column(who).to_pylist()]
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            worst = _WORKERS[key].worst(texts) if model.machine is not None else np.zeros((len(texts), 3))
-            scores = model.scores(worst).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.bool_()), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [*names, "held_out", "score", "predicted"])
+        scorer = _scorer(key, sent.value, settings)
+        for batch in slices(batches):
+            held = [fold(i) == 2 for i in batch.column(0).to_pylist()]
+            scores = scorer.scores([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in at], pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))], [*kept, "held_out", "score", "predicted"])
 
     python_path(spark)
-    schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(score, schema)
+    new = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return given.mapInArrow(score, T.StructType([*[given.schema[c] for c in kept], *new]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
-    return score_documents(docs.select("doc_id", "text"), train(docs, labels)).drop("text")
+    return score_rows(docs, train(docs, labels))

@@ -95,21 +95,47 @@ def lines_by_hand(rows, least=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [linededup.BROADCAST_KEYS, 0])
-def test_line_dedup(docs, rows, limit):
-    kept = linededup.dedup_lines(docs.select("doc_id", "text", "n_lines"), broadcast_keys=limit)
-    got = kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).collect()
-    assert sorted(map(tuple, got)) == lines_by_hand(rows)
-
-
-def test_line_index_forgets_deleted_documents(spark, docs, tmp_path):
-    index = linededup.LineIndex(spark, f"file://{tmp_path}/lines")
-    some = docs.filter("doc_id % 3 = 0")
-    index.insert(docs.filter("doc_id % 3 <> 0"))
-    before = sorted(map(tuple, index.counts().collect()))
-    index.insert(some)
-    index.delete(some)
-    assert sorted(map(tuple, index.counts().collect())) == before
+def digests(kept):
+    return sorted(map(tuple, kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).collect()))
+
+
+@pytest.mark.parametrize("keys, pairs", [(linededup.BROADCAST_KEYS, linededup.BROADCAST_PAIRS), (0, 0), (linededup.BROADCAST_KEYS, 0)])
+def test_line_dedup(docs, rows, keys, pairs):
+    assert digests(linededup.dedup_lines(docs.select("doc_id", "text", "n_lines"), broadcast_keys=keys, broadcast_pairs=pairs)) == lines_by_hand(rows)
+
+
+def test_hot_lines_are_joined_apart(spark, docs, rows):
+    index = linededup.LineIndex(spark, linededup.shared_folder(spark) + "/hot-lines")
+    index.insert(docs)
+    asked = linededup.known_lines(docs, index)
+    part = lambda hot: sorted((r["doc_id"], sorted(map(bytes, r["keys"]))) for r in linededup.lines_to_drop(asked, index.active, hot).collect())
+    assert part(0) == part(6) == part(10**9) and len(part(0)) >= 6
+
+
+@pytest.mark.parametrize("keys", [linededup.BROADCAST_KEYS, 0])
+def test_deleted_documents_are_forgotten(spark, docs, rows, keys, tmp_path):
+    index = linededup.LineIndex(spark, f"file://{tmp_path}/lines", min_docs=4, shard_keys=1)
+    others = [f"{k} is a line that only four documents of this kind hold" for k in range(6)]
+    more = spark.createDataFrame([(1000 + n, "\n".join(others)) for n in range(4)], "doc_id long, text string")
+    everything = docs.select("doc_id", "text").unionByName(more)
+    index.insert(docs)
+    index.insert(more)
+    all_rows = [*rows, *[(r["doc_id"], r["text"]) for r in more.collect()]]
+    assert digests(linededup.drop_lines(everything, index, keys)) == lines_by_hand(all_rows, 4)
+    key = [linededup.line_key(x.encode(), 40) for x in others]
+    known = lambda: linededup.maybe(key, {r["shard"]: linededup.CuckooFilter.from_bytes(bytes(r["filter"])) for r in index.filters.collect()}, index.shards)
+    assert len(known()) == 6
+    # Without the largest holder, another one keeps the lines; without a second one, no line of these is repeated any more.
+    gone = more.filter("doc_id = 1003")
+    index.delete(gone)
+    assert known() == []
+    left = everything.filter("doc_id <> 1003")
+    assert digests(linededup.drop_lines(left, index, keys)) == lines_by_hand([r for r in all_rows if r[0] != 1003], 4)
+    holders = docs.filter(F.col("text").contains(LINE) | F.col("text").contains(LINE.upper()))
+    index.delete(holders.filter("doc_id % 2 = 0"))
+    some = {r[0] for r in holders.filter("doc_id % 2 = 0").select("doc_id").collect()}
+    assert some
+    assert digests(linededup.drop_lines(left.filter(~F.col("doc_id").isin(some)), index, keys)) == lines_by_hand([r for r in all_rows if r[0] != 1003 and r[0] not in some], 4)
 
 
 def test_cuckoo_filter_has_no_false_negatives():
@@ -160,9 +186,8 @@ def test_toxicity_tolerates_gaps(spark):
     toxic = [int(i % 3 == 0) for i in range(240)]
     texts = [t + (" you wretchq and grumblx" if y else "") for t, y in zip(texts, toxic)]
     model = toxicity.fit(texts, toxic)
-    ask = lambda *x: toxicity.WordMargins(model.machine, 1000).worst(list(x))
     clean = " ".join(word() for _ in range(30))
-    p = model.scores(ask(clean, clean + " wretchq grumblx", clean + " w.r.e.t.c.h.q gruzmblx wretchqs", ""))
+    p = toxicity.Scorer(model).scores(list((clean, clean + " wretchq grumblx", clean + " w.r.e.t.c.h.q gruzmblx wretchqs", "")))
     assert p[0] < 0.3 and p[1] > 0.3 and p[2] > 0.3 and p[3] < 0.3
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
@@ -317,7 +342,6 @@ def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = packing.pack_documents(docs, rows_per_bucket=5).collect()
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x, *_ in rows}
     covered = collections.Counter()
@@ -346,7 +370,6 @@ def test_word_encoder_equals_the_whole_text():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     e = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    for text in ("", " ", "a", " a b", "a  b", "a \n b\n\nc ", "tab\tx y", "naïve café, it's 12345 <|endoftext|> ok", "don't  stop　now 東京 都", "x  y", "trailing "):
+    for text in ("", " ", "a", " a b", "a  b", "a \n b\n\nc ", "tab\tx y", "<|endoftext|>", " <|endoftext|> <|endoftext|>a", "see <|endoftext|> here", "a\n<|endoftext|>\n", "naïve café, it's 12345 <|endoftext|> ok", "don't  stop　now 東京 都", "x  y", "trailing "):
         assert e.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
