@@ -2,12 +2,12 @@
 
 1. Documents of equal shingle sets form a class (a 128-bit digest of the sorted set);
    from here on each class stands for all its copies.
-2. Two sets of similarity t or more share one of the first |A| - ceil(t |A|) + 1
-   shingles of each, in any order that all sets follow (prefix filter). In the order of the
-   hashes, these prefixes meet by shingle; a class whose prefix shares none with another class is linked with nothing and goes.
-3. The shingles of the classes that are left are counted over all of these, batch by batch, and their prefixes are taken
-   anew with the rarest first. Those that one class holds alone can't be shared, so only the prefix's
-   others are posted: nothing at all for a class a quarter of which is its own.
+2. Of a set A that is linked with another, at most |A| - ceil(t |A|) shingles are missing there. The first 35 percent
+   of each set in the order of the hashes meet by shingle; a class with more shingles among these that no other class posts is linked with nothing and goes.
+3. Two sets of similarity t or more share one of the first |A| - ceil(t |A|) + 1
+   shingles of each, in any order that all sets follow (prefix filter). The shingles of the classes that are left
+   are counted over all of these, batch by batch, and their prefixes are taken with the rarest first. Those that one class
+   holds alone can't be shared, so only the prefix's others are posted: nothing at all for a class a quarter of which is its own.
 4. Classes that share a posted shingle are chained to one of them, and the
    components of these chains are blocks: no link leaves a block, and no pairs are made.
 5. Each block meets in one task with its whole sets; blocks beyond `tile` shingles are dealt
@@ -42,11 +42,11 @@ from tessera.llm.common import KEPT_IN_WORKERS, id_text, parallelism, python_pat
 
 SHINGLE = 5
 PERCENT = 75
-#: Classes whose shingles are counted together.
-BATCH = 2_000
+#: Share of a set that meets the others' first, in percent.
+FIRST = 35
 #: Shingles per chunk of a block (8 bytes each).
 TILE = 4_000_000
-#: At most so many classes are sent to all workers to pick their documents.
+#: At most so many classes (a few numbers each) are sent to all workers to pick their documents.
 BROADCAST_CLASSES = 500_000
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -156,83 +156,116 @@ def _by_block(block: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, lis
 
 
 def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, d (the digest's first 8 bytes) and prefix (its first shingles by hash, as bytes) of each row."""
+    """doc_id, n, digest of the set, and first (its first shingles by hash, as bytes) of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
         for batch in slices(batches):
-            size, digest, prefix = [], [], []
+            size, digest, first = [], [], []
             for ids in words.ids([t for _, t in id_text(batch)]):
                 h = words.shingles(ids)
                 size.append(len(h))
                 digest.append(_digest(h) if len(h) else None)
-                prefix.append(h[: _keep(len(h), percent)].tobytes())
-            d = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in digest]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(d, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "d", "prefix"])
+                first.append(h[: max(_keep(len(h), percent), -(-len(h) * FIRST // 100))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary())], ["doc_id", "n", "digest", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, f"doc_id {kind}, n long, digest binary, d long, prefix binary")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, f"doc_id {kind}, n long, digest binary, first binary")
 
 
-def _shared(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The d whose h another d holds too, and one (h, d) of each h."""
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
-    last = np.append(starts[1:], len(h)) - 1
-    return np.unique(d[(d[starts] != d[last])[run]]), h[starts], d[starts]
+_NOBODY = 0xFFFF
 
 
-def near_digests(sets: DataFrame) -> DataFrame:
-    """(d): the classes whose prefix shares a shingle with another class's."""
+def near_classes(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid): the classes (cid, n, first) that may be linked: enough of their first shingles are posted by other classes too.
+
+    Classes post in batches, a shingle once per batch; shingles' blocks tell each batch which of its shingles other batches have.
+    """
     spark = sets.sparkSession
-    blocks = 2 * parallelism(spark)
+    parts = parallelism(spark)
+    blocks = 2 * parts
+    schema = "block int, batch long, h binary, at binary, cid binary, need binary"
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         release()
+        number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 4096):
-            unique = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            h = _u8(list(unique.values()))
-            d = np.repeat(np.array(list(unique), np.int64), [len(p) // 8 for p in unique.values()])
-            near, h, d = _shared(h, d)
-            rows = [(int(near[0]) % blocks, b"", near.tobytes())] if len(near) else []
-            rows += [(b, *parts) for b, parts in _by_block(h % np.uint64(blocks), h, d)]
-            columns = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["block", "h", "d"])
+            firsts = batch.column(2).to_pylist()
+            size = np.array([len(p) // 8 for p in firsts])
+            need = size - np.array([_keep(n, percent) - 1 for n in batch.column(1).to_pylist()])
+            h, at = _u8(firsts), np.repeat(np.arange(len(size)), size)
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            times = np.diff(starts, append=len(h))
+            need -= np.bincount(at[np.repeat(times > 1, times)], minlength=len(size))
+            at = np.where(times > 1, _NOBODY, at[starts]).astype("<u2")
+            h = h[starts]
+            rows = [(number % blocks, number, None, None, batch.column(0).to_numpy().tobytes(), need.astype("<i4").tobytes())]
+            rows += [(b, number, *x, None, None) for b, x in _by_block(h % np.uint64(blocks), h, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "batch", "h", "at", "cid", "need"])
+            number += 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for _, rows in _groups(batches, "block"):
-            known = [np.frombuffer(r["d"], np.int64) for r in rows if not r["h"]]
-            near, _, _ = _shared(_u8([r["h"] for r in rows]), np.frombuffer(b"".join(r["d"] for r in rows if r["h"]), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([near, *known])))], ["d"])
+        for b, rows in _groups(batches, "block"):
+            posts = [r for r in rows if r["h"] is not None]
+            h = _u8([r["h"] for r in posts])
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            shared = np.zeros(len(h), bool)
+            shared[order[1:][same]] = True
+            shared[order[:-1][same]] = True
+            out, low = [(b, r["batch"], None, None, r["cid"], r["need"]) for r in rows if r["h"] is None], 0
+            for r in posts:
+                at = np.frombuffer(r["at"], "<u2")
+                at = at[shared[low : low + len(at)] & (at != _NOBODY)]
+                low += len(r["at"]) // 2
+                if len(at):
+                    out.append((b, r["batch"], None, at.tobytes(), None, None))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "batch", "h", "at", "cid", "need"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for _, rows in _groups(batches, "batch"):
+            own = next(r for r in rows if r["cid"] is not None)
+            need = np.frombuffer(own["need"], "<i4")
+            told = np.frombuffer(b"".join(r["at"] for r in rows if r["at"] is not None), "<u2")
+            near = np.bincount(told, minlength=len(need)) >= need
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own["cid"], np.int64)[near])], ["cid"])
 
-    posted = sets.filter("n > 0").select("d", "prefix").mapInArrow(post, "block int, h binary, d binary")
-    return posted.repartition(parallelism(spark), "block").sortWithinPartitions("block").mapInArrow(meet, "d long").distinct()
+    sent = sets.select("cid", "n", "first").mapInArrow(post, schema).repartition(parts, "block").sortWithinPartitions("block").mapInArrow(meet, schema)
+    return sent.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(tell, "cid long")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, batch, h): the whole sets of the classes (cid, batch, rep, digest), read from their documents' texts."""
-    wanted = classes.select(F.col("rep").alias("_rep"), "cid", "batch", "digest")
+    """(cid, batch, h): the whole sets of the classes (cid, rep, digest), read from their documents' texts; batches number rows that follow each other."""
+    wanted = classes.select(F.col("rep").alias("_rep"), "cid", "digest")
     if wanted.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
-    picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text", "cid", "batch", "digest")
+    picked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text", "cid", "digest")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words()
+        from pyspark import TaskContext
+
+        words, number, held = _words(), TaskContext.get().partitionId() << 33, 0
         for batch in slices(batches):
             rows = []
-            for ids, cid, number, digest in zip(words.ids([t for _, t in id_text(batch)]), *(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            for ids, cid, digest in zip(words.ids([t for _, t in id_text(batch)]), *(batch.column(k).to_pylist() for k in (2, 3))):
                 h = words.shingles(ids)
                 if _digest(h) == digest:  # else another text under the same doc_id
                     rows.append((cid, number, h.tobytes()))
+                    held += len(h)
+                    if held > TILE // 4:
+                        number, held = number + 1, 0
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["cid", "batch", "h"])
 
-    # Rows that repeat a doc_id and its text give the same set.
-    return picked.mapInArrow(read, "cid long, batch long, h binary").dropDuplicates(["cid"])
+    return picked.mapInArrow(read, "cid long, batch long, h binary")
 
 
 def posted(sets: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +323,7 @@ def posted(sets: DataFrame, percent: int) -> DataFrame:
                     prefixes.append(h[np.lexsort((h, times))[:left]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(prefixes, pa.binary())], ["cid", "prefix"])
 
-    dealt = sets.select("batch", "h").repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(ask, "block int, batch long, h binary, n binary")
+    dealt = sets.select("batch", "h").mapInArrow(ask, "block int, batch long, h binary, n binary")
     told = dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(answer, "batch long, h binary, n binary")
     both = sets.select("cid", "batch", "h", F.lit(None).cast("binary").alias("n")).unionByName(told.withColumn("cid", F.lit(None).cast("long")))
     return both.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(pick, "cid long, prefix binary")
@@ -489,13 +522,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     python_path(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sets = written(shingle_sets(docs, percent), "sets")
-    classes = sets.filter("n > 0").groupBy("digest", "d").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    near = written(near_digests(sets), "near")
-    batches = max(1, near.count() // BATCH)
-    whole = classes.join(near, "d").withColumn("batch", F.pmod(F.xxhash64("cid"), F.lit(batches)))
-    whole = written(class_sets(docs, whole), "class-sets")
+    sets = written(shingle_sets(docs, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    # A class is numbered by one of its rows.
+    classes = written(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("row").alias("cid"), F.count("*").alias("copies")), "classes")
+    copies = written(sets.select("digest", "row").join(classes.filter("copies > 1"), "digest").filter("row <> cid").select(F.col("row").alias("cid")), "copies")
+    if copies.count() <= BROADCAST_CLASSES:
+        copies = F.broadcast(copies)
+    near = near_classes(sets.filter("n > 0").select(F.col("row").alias("cid"), "n", "first").join(copies, "cid", "left_anti"), percent)
+    wanted = written(classes.join(near, "cid"), "near")
+    whole = written(class_sets(docs, wanted), "class-sets")
+    if whole.count() > wanted.count():  # rows that repeat a doc_id and its text
+        whole = written(whole.dropDuplicates(["cid"]), "class-sets")
     blocks = components(chains(posted(whole, percent)))
     labels = components(written(block_links(whole, blocks, percent), "links"))
     named = classes.select("digest", "rep", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "cid").alias("label"))
