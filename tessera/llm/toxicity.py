@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import KEPT_IN_WORKERS, hash52, plain, python_path, release, slices
+from tessera.llm.common import KEPT_IN_WORKERS, hash52, plain, python_path, release, slices, trim
 
 _ENDS = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
 _SPACED = re.compile(r"\b\w(?: \w){3,}\b")
@@ -74,11 +74,11 @@ class Settings:
 
 
 def _codes(words: list[str], pad: int) -> np.ndarray:
+    """A row of character codes per word, padded at the end."""
     width = max(map(len, words), default=1) or 1
-    out = np.full((len(words), width), pad, np.int32)
-    for row, word in zip(out, words):
-        row[: len(word)] = list(map(ord, word))
-    return out
+    flat = np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width).astype(np.int32)
+    flat[np.arange(width) >= np.fromiter(map(len, words), np.int64, len(words))[:, None]] = pad
+    return flat
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -> np.ndarray:
@@ -167,17 +167,12 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, part
     greedily by the documents they explain, and prolonged to what their words have in common. With too few labels for any to pass, those
     of least chance are taken.
     """
-    cache: dict[str, set[str]] = {}
     df: Counter = Counter()
     for words in toxic:
-        seen: set[str] = set()
-        for w in words:
-            if (g := cache.get(w)) is None:
-                g = cache[w] = _grams(w, part)
-            seen |= g
-        df.update(seen)
+        df.update({g for w in words for g in _grams(w, part)})
     least = max(min(2, len(toxic)), min(3, len(toxic) // 4), len(toxic) // 50)
-    candidates = {g for g, n in df.items() if n >= least}
+    df = {g: n for g, n in df.items() if n >= least}
+    candidates = set(df)
     clean_df: Counter = Counter()
     for words in clean:
         clean_df.update({g for w in words for g in _grams(w, part) if g in candidates})
@@ -200,8 +195,9 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, part
     chosen = set(best)
     for number, words in enumerate(toxic):
         for w in words:
-            for g in cache[w] & chosen:
+            for g in _grams(w, part) & chosen:
                 holders[g].append((number, w))
+    everything = set().union(*toxic)
     marks: list[str] = []
     explained: set[str] = set()
     while len(marks) < most and holders:
@@ -213,7 +209,7 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int, part
         words = Counter(w for _, w in holders[g] if w not in explained)
         holders.pop(g)
         mark = _common(words, g)
-        explained |= set(words) | {w for w in cache if mark in w}
+        explained |= set(words) | {w for w in everything if mark in w}
         if mark not in marks and len(mark.strip("^$")) > 2:
             marks.append(mark)
     return marks
@@ -254,49 +250,81 @@ def _disturbed(marks: list[str], rng: np.random.Generator) -> list[str]:
 
 
 class Kernels:
-    """Normalised subsequence kernels of words with landmarks."""
+    """Normalised subsequence kernels of words with landmarks.
+
+    They are worked out where two pairs of characters that stand side by side in the landmark stand in the word with
+    at most one character between them; elsewhere next to nothing is left of a kernel, and it is taken as 0.
+    """
+
+    PAIRS = 1 << 14
 
     def __init__(self, marks: list[str], settings: Settings) -> None:
         self.s, self.count = settings, len(marks)
         self.marks = _codes(marks, -2)
-        k = subsequence_kernel(_codes(marks, -1)[:, None, :], self.marks[None, :, :], settings.order, settings.decay)
-        self.own = np.sqrt(np.maximum(np.diag(k), 1e-12))
-        self.gram = (k / self.own[:, None] / self.own[None, :]).astype(np.float64)
+        self.own = np.sqrt(np.maximum(subsequence_kernel(self.marks, np.where(self.marks == -2, -4, self.marks), settings.order, settings.decay), 1e-12))
+        self.held = np.zeros((self.PAIRS, len(marks)), np.uint8)  # which pairs of characters, by hash, a landmark has
+        self.held[self._pair(self.marks[:, :-1], self.marks[:, 1:]), np.arange(len(marks))[:, None]] = 1
+        self.held[self.PAIRS - 1] = 0
+        self.gram = self._kernels(_codes(marks, -1)).astype(np.float64)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of pairs of characters; padding has one of its own."""
+        return np.where((a < 0) | (b < 0), self.PAIRS - 1, (a * 7919 + b * 31) % (self.PAIRS - 1))
+
+    def _kernels(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), self.count), np.float32)
+        if codes.shape[1] < self.s.order:
+            return out
+        common = np.zeros(out.shape, np.uint8)
+        for gap in (1, 2):
+            for at in self._pair(codes[:, :-gap], codes[:, gap:]).T:
+                common += self.held[at]
+        rows, columns = np.nonzero(common >= 2)
+        for low in range(0, len(rows), 16384):
+            r, c = rows[low : low + 16384], columns[low : low + 16384]
+            used, at = np.unique(r, return_inverse=True)
+            own = codes[used]
+            norm = np.sqrt(np.maximum(subsequence_kernel(own, np.where(own == -1, -3, own), self.s.order, self.s.decay), 1e-12))
+            out[r, c] = subsequence_kernel(own[at], self.marks[c], self.s.order, self.s.decay) / norm[at] / self.own[c]
+        return out
 
     def of(self, words: list[str]) -> np.ndarray:
         """A row per word: the best kernels of its parts with each landmark."""
         part, step = self.s.part, self.s.part // 2
-        parts, owner = [], []
+        number: dict[str, int] = {}  # of each different part
+        uses, owner = [], []
         for i, word in enumerate(words):
             w = _bare(word)
             for read in (w,) if w[1:-1].isalpha() else (w, f"^{_NO_LETTER.sub('', w)}$"):
                 for at in range(0, max(1, len(read) - step), step) if len(read) > part else (0,):
-                    parts.append(read[at : at + part])
+                    uses.append(number.setdefault(read[at : at + part], len(number)))
                     owner.append(i)
-        out = np.zeros((len(words), self.count), np.float32)
+        parts = list(number)
+        found = np.zeros((len(parts), self.count), np.float32)
         order = np.argsort([len(p) for p in parts], kind="stable")
-        owner = np.array(owner, np.int64)
-        for at in range(0, len(order), 1024):
-            block = order[at : at + 1024]
-            codes = _codes([parts[i] for i in block], -1)
-            if codes.shape[1] < self.s.order:
-                continue
-            k = subsequence_kernel(codes[:, None, :], self.marks[None, :, :], self.s.order, self.s.decay)
-            norm = np.sqrt(np.maximum(subsequence_kernel(codes, np.where(codes == -1, -3, codes), self.s.order, self.s.decay), 1e-12))
-            np.maximum.at(out, owner[block], k / norm[:, None] / self.own[None, :])
-        return out
+        for at in range(0, len(order), 4096):
+            block = order[at : at + 4096]
+            found[block] = self._kernels(_codes([parts[i] for i in block], -1))
+        owner, uses = np.array(owner, np.int64), np.array(uses, np.int64)
+        if len(uses) == len(words):
+            return found[uses]
+        return np.maximum.reduceat(found[uses], np.flatnonzero(np.diff(owner, prepend=-1)))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Weights, the bias last, of a linear machine with squared hinge loss, by Newton steps on the margin's violators."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        inside = y * (x1 @ w) < 1
-        xs, ys, cs = x1[inside], y[inside], cost[inside]
-        new = np.linalg.solve(ridge + (xs * cs[:, None]).T @ xs, xs.T @ (cs * ys))
+        inside = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + np.float32(w[-1])) < 1)
+        left, right = ridge.copy(), np.zeros(len(w))
+        for low in range(0, len(inside), 8192):  # so many violators at a time
+            at = inside[low : low + 8192]
+            xs = np.hstack([x[at], np.ones((len(at), 1))]).astype(np.float64)
+            left += (xs * cost[at, None]).T @ xs
+            right += xs.T @ (cost[at] * y[at])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -360,15 +388,23 @@ class Scorer:
 
     def clear(self) -> None:
         self.sentences, self.margin = Sentences(self.s.sentence), np.zeros(0, np.float32)
+        self.of_bare: dict[str, float] = {}  # words differ by the punctuation at their ends more often than not
+
+    def _margins(self, words: list[str]) -> np.ndarray:
+        bare = list(map(_bare, words))
+        new = list({w: None for w in bare if w not in self.of_bare})
+        if new:
+            self.of_bare.update(zip(new, self.model.margins(new).tolist()))
+        return np.array([self.of_bare[w] for w in bare], np.float32)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.model.kernels is None:
             return np.full(len(texts), self.model.constant)
-        if max(len(self.margin), self.sentences.chars // 30) > self.s.kept_words:
+        if max(len(self.margin), self.sentences.chars // 15) > self.s.kept_words:
             self.clear()
         at, starts, counts, fresh = self.sentences.cut(texts)
         if fresh:
-            self.margin = np.concatenate([self.margin, self.model.margins(fresh)])
+            self.margin = np.concatenate([self.margin, self._margins(fresh)])
         worst = np.maximum.reduceat(self.margin[at], starts) if len(at) else np.zeros(0, np.float32)
         return self.model.scores(worst_three(worst, counts))
 
@@ -410,7 +446,7 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
         values, vectors = np.linalg.eigh(kernels.gram)
         keep = values > 1e-4
         whiten = vectors[:, keep] / np.sqrt(values[keep])
-        x, x_more, before = k @ whiten, more @ whiten, None
+        x, x_more, before = k @ whiten.astype(np.float32), more @ whiten.astype(np.float32), None
         for _ in range(s.rounds):
             worst = np.maximum.reduceat(margin[at], starts) if len(at) else np.zeros(0)
             most = np.full(len(texts), -np.inf)
@@ -422,10 +458,10 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
                 break
             before, positive = times, np.flatnonzero(times)
             # A string may be told by toxic sentences and stand in clean ones too: it is on both sides then.
-            xs = np.vstack([x[positive], x_more, x[clean]])
-            ys = np.concatenate([np.ones(len(positive) + len(more)), -np.ones(len(clean))])
+            xs, ys = np.vstack([x[positive], x_more, x[clean]]), np.concatenate([np.ones(len(positive) + len(more)), -np.ones(len(clean))])
             cost = np.concatenate([times[positive].clip(max=100), np.full(len(more), s.disturbed), clean_times[clean].clip(max=100)]) * s.cost
             w = squared_hinge(xs, ys, cost)
+            del xs
             margin = x @ w[:-1] + w[-1]
         if not last:  # once more, with the clean strings that came nearest as landmarks
             near = [_bare(strings[used[i]]) for i in clean[np.lexsort((clean, -margin[clean]))][: 8 * s.near_landmarks]]
@@ -453,7 +489,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     rows = docs.select("doc_id", plain(F.col("text")).alias("text")).join(sample, "doc_id").select("doc_id", "toxic", "text", "place")
     # Rows that repeat a doc_id may be many; the bound holds for rows.
     rows = rows.orderBy("place", "doc_id", F.xxhash64("text")).limit(s.train_toxic + s.train_clean).collect()
-    return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows], s)
+    model = fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows], s)
+    del rows
+    trim()
+    return model
 
 
 _WORKERS: dict[str, Scorer] = {}

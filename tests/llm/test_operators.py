@@ -203,6 +203,53 @@ def test_subsequence_kernel_by_hand():
     assert math.isclose(float(toxicity.subsequence_kernel(a, b, 2, 0.5)[0]), 0.5**4, rel_tol=1e-6)
 
 
+def kernel_by_hand(a, b, order, decay):
+    """All pairs of equal subsequences, weighted by their spans."""
+    import itertools
+
+    parts = lambda w: [("".join(w[i] for i in at), decay ** (at[-1] - at[0] + 1)) for at in itertools.combinations(range(len(w)), order)]
+    return sum(p * q for x, p in parts(a) for y, q in parts(b) if x == y)
+
+
+def test_toxicity_scores_by_hand():
+    """Kernels, margins and scores of a fitted model, from their definitions."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join("baloritenk"[i] for i in rng.integers(0, 10, 5))
+    texts = [" ".join(word() for _ in range(12)) + ("." if i % 2 else "\n") + " ".join(word() for _ in range(50)) + (" snarfle" if i % 4 == 0 else "") for i in range(120)]
+    s = toxicity.Settings()
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(120)], s)
+    marks = ["".join(chr(c) for c in row if c >= 0) for row in model.kernels.marks]
+    assert any("snarfle" in m for m in marks)
+
+    def margin(w):
+        w, k = f"^{w}$", []
+        for m in marks:
+            pairs = sum({m[i : i + 2] for i in range(len(m) - 1)}.__contains__(w[i] + w[i + g]) for g in (1, 2) for i in range(len(w) - g))
+            norm = math.sqrt(kernel_by_hand(w, w, s.order, s.decay) * kernel_by_hand(m, m, s.order, s.decay))
+            k.append(kernel_by_hand(w, m, s.order, s.decay) / norm if pairs >= 2 else 0.0)
+        return float(np.dot(k, model.weights) + model.bias)
+
+    for text in [*texts[:6], "snarfle", "snarxfle and more", "", "one"]:
+        worst = []
+        for line in text.lower().split("\n"):
+            sentences = [[]]
+            for w in line.split():
+                sentences[-1].append(w)
+                if w[-1] in ".!?" or len(sentences[-1]) == 40:
+                    sentences.append([])
+            worst += [max(margin(w.strip(".")) for w in x) for x in sentences if x]
+        top = np.clip((sorted(worst, reverse=True) + [toxicity.FLOOR] * 3)[:3], toxicity.FLOOR, -toxicity.FLOOR)
+        z = np.dot(np.cumsum(top) / [1, 2, 3], model.logistic[:3]) + model.logistic[3]
+        assert math.isclose(toxicity.Scorer(model).scores([text])[0], 1 / (1 + math.exp(-z)), rel_tol=1e-3, abs_tol=1e-4)
+
+
+def test_a_machine_is_trained_on_few_labels():
+    texts = ["you are a grumblewort today", "what a grumblewort that is", "a fine day it was", "rain in the morning", "trees along the road"]
+    model = toxicity.fit(texts, [1, 1, 0, 0, 0])
+    p = toxicity.Scorer(model).scores(["such a grumblewort here", "such a fine morning here"])
+    assert model.kernels is not None and p[0] > p[1]
+
+
 def test_fingerprints(docs, rows):
     got = fingerprints.fingerprint_documents(docs).collect()
     assert len(got) == len(rows)
