@@ -6,8 +6,8 @@ predicts a token's class from the classes of the two tokens before it: the
 context vector is the sum of their embeddings, each through a matrix of its
 position; its products with the output embeddings, plus biases, give the scores. Training contrasts observed
 classes with noise drawn from their frequencies; data are the counts of all
-class trigrams of the training documents. Rounds of stochastic gradients run on
-shares of these counts in parallel, and the shares' parameters are averaged.
+class trigrams of the training documents. A round takes stochastic gradients in passes over each share's trigrams, every one
+with its count, the shares in parallel, and averages the shares' parameters. Shares hang on the trigrams alone.
 
 A token's log-probability is that of its class, normalised over all
 classes by batched matrix products, plus that of the word in its class: (c + 0.5) /
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEPT_IN_WORKERS, id_text, parallelism, python_path, written
+from tessera.llm.common import KEPT_IN_WORKERS, SLICE, id_text, python_path, release, slices, written
 
 END = b""  # no word is empty
 
@@ -51,7 +51,7 @@ class Settings:
     rounds: int = 4
     batch: int = 1024
     batches: int = 300
-    shares: int = 24
+    shares: int = 8
     rate: float = 0.08
     seed: int = 17
 
@@ -63,7 +63,7 @@ def fold(doc_id: int | None, of: int) -> int:
 class Classes(dict):
     """Class numbers of words, kept by word: the commonest words have their own, others one by ending, the last for rare endings."""
 
-    KEPT = 300_000
+    KEPT = 200_000
 
     def __init__(self, own: list[bytes], endings: list[bytes], ending_bytes: int) -> None:
         self.n_own, self.by_ending, self.ending_bytes = len(own), {e: len(own) + i for i, e in enumerate(endings)}, ending_bytes
@@ -111,23 +111,31 @@ class LogBilinear:
         return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
     def train(self, rows: np.ndarray, weights: np.ndarray, s: Settings, seed: int) -> None:
-        """Noise-contrastive steps (Adagrad) on rows (before2, before, class) drawn in proportion to weights."""
+        """Noise-contrastive steps (Adagrad) in passes over all rows (before2, before, class) with their weights, until there were settings.batches at least."""
         rng = np.random.default_rng(seed)
-        through = np.cumsum(weights, dtype=np.float64)
         noise_through = np.cumsum(self.shares)
         log_noise = np.log(s.noise * self.shares).astype(np.float32)
         params = self.arrays()
         square = [np.full(p.shape, 1e-3, np.float32) for p in params]
-        for _ in range(s.batches):
-            pick = np.searchsorted(through, rng.random(s.batch) * through[-1], side="right").clip(max=len(rows) - 1)
+        # A row of a count above the mean stands as often as it has means, so that no part weighs more than the mean.
+        mean = max(1.0, float(weights.mean()))
+        times = np.ceil(weights / mean).astype(np.int64)
+        items, share = np.repeat(np.arange(len(rows)), times), (weights / times / mean).astype(np.float32)
+        done, order = 0, items[:0]
+        while done < s.batches or len(order):
+            if not len(order):
+                order = rng.permutation(items)
+            pick, order = order[: s.batch], order[s.batch :]
+            done += 1
             two, one, target = rows[pick].T
             noise = np.searchsorted(noise_through, rng.random(s.noise) * noise_through[-1]).clip(max=self.count - 1)
+            part = share[pick] / share[pick].sum()
             e1, e2 = self.embed[one], self.embed[two]
             h = e1 @ self.position[0] + e2 @ self.position[1]
             true = (h * self.out[target]).sum(axis=1) + self.bias[target] - log_noise[target]
             false = h @ self.out[noise].T + self.bias[noise] - log_noise[noise]
-            g_true = (1 - 1 / (1 + np.exp(-true.clip(-30, 30)))) / s.batch
-            g_false = -1 / (1 + np.exp(-false.clip(-30, 30))) / s.batch
+            g_true = (1 - 1 / (1 + np.exp(-true.clip(-30, 30)))) * part
+            g_false = -1 / (1 + np.exp(-false.clip(-30, 30))) * part[:, None]
             g_h = g_true[:, None] * self.out[target] + g_false @ self.out[noise]
             g = [np.zeros_like(p) for p in params]
             np.add.at(g[0], one, g_h @ self.position[0].T)
@@ -177,12 +185,13 @@ def count_words(docs: DataFrame, keeps) -> DataFrame:
             found.clear()
             return batch
 
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             for i, text in id_text(batch):
                 if keeps(i):
                     found.update(text.lower().split())
                     found[END] += 1
-            if len(found) > 400_000:
+            if len(found) > 200_000:
                 yield out()
         yield out()
 
@@ -196,7 +205,8 @@ def count_trigrams(docs: DataFrame, keeps, classes: Classes) -> DataFrame:
     base = classes.count + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in slices(batches, 4 * SLICE):
             tokens: list[int] = []
             for i, text in id_text(batch):
                 if keeps(i):
@@ -228,6 +238,8 @@ def train(docs: DataFrame, keeps=lambda i: fold(i, 5) != 1, settings: Settings =
     common = by_ending.orderBy(F.desc("c"), "ending").limit(s.ending_classes).collect()  # at most settings.ending_classes rows
     endings = [bytes(r["ending"]) for r in common]
     own_total = {w: int(c) for w, c in zip(head, head_counts)}
+    if END not in own_total and (ends := words.filter(F.octet_length("word") == 0).first()):
+        own_total[END] = ends["c"]
     class_total = [own_total.get(w, 0) for w in own] + [r["c"] for r in common]
     class_distinct = [int(w in own_total) for w in own] + [r["v"] for r in common]
     class_total.append(total - sum(class_total))
@@ -238,7 +250,7 @@ def train(docs: DataFrame, keeps=lambda i: fold(i, 5) != 1, settings: Settings =
     shares = (model.class_total + 0.5) / (total + 0.5 * classes.count)
     net = LogBilinear(classes.count, s.dims, shares, s.seed)
     if total:
-        grams = written(count_trigrams(docs, keeps, classes).repartition(min(s.shares, parallelism(spark)), "code"), "trigrams")
+        grams = written(count_trigrams(docs, keeps, classes).withColumn("share", F.pmod(F.xxhash64("code"), F.lit(s.shares)).cast("int")), "trigrams")
         for number in range(s.rounds):
             net.set(_round(grams, net, s, number))
     model.params = net.arrays()
@@ -252,23 +264,34 @@ def _round(grams: DataFrame, net: LogBilinear, s: Settings, number: int) -> list
     base = net.count + 1
     sent = grams.sparkSession.sparkContext.broadcast(net)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        code = np.concatenate([c for c, _ in held]) if held else np.zeros(0, np.int64)
-        if not len(code):
-            return
-        n = np.concatenate([n for _, n in held])
+    def fitted(share: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(code)
         code, n = code[order], n[order]
-        rows = np.stack([code // (base * base), code // base % base, code % base], axis=1)
         own = LogBilinear.__new__(LogBilinear)
         own.__dict__.update(sent.value.__dict__)
         own.set([a.copy() for a in own.arrays()])
-        own.train(rows, n, s, hash((s.seed, number, int(code[0]))) % 2**32)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel() for a in own.arrays()]).tobytes()], pa.binary()), pa.array([int(n.sum())], pa.int64())], ["p", "n"])
+        own.train(np.stack([code // (base * base), code // base % base, code % base], axis=1), n, s, (s.seed * 1009 + number) * 1009 + share)
+        return pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), pa.array([np.concatenate([a.ravel() for a in own.arrays()]).tobytes()], pa.binary()), pa.array([int(n.sum())], pa.int64())], ["share", "p", "n"])
 
-    rows = grams.coalesce(s.shares).mapInArrow(step, "p binary, n long").collect()  # at most settings.shares rows
-    rows = sorted(rows, key=lambda r: bytes(r["p"]))
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        now, held = None, []
+        for batch in batches:
+            share, code, n = (batch.column(k).to_numpy() for k in range(3))
+            starts = np.flatnonzero(np.diff(share, prepend=-1))
+            for low, high in zip(starts, [*starts[1:], len(share)]):
+                if share[low] != now:
+                    if held:
+                        yield fitted(int(now), *map(np.concatenate, zip(*held)))
+                    now, held = share[low], []
+                held.append((code[low:high], n[low:high]))
+        if held:
+            yield fitted(int(now), *map(np.concatenate, zip(*held)))
+
+    # The shares hang on the codes alone, not on files or partitions; each has at most (classes + 1)^3 / shares codes.
+    dealt = grams.select("share", "code", "n").repartition(s.shares, "share").sortWithinPartitions("share")
+    rows = dealt.mapInArrow(step, "share int, p binary, n long").collect()  # at most settings.shares rows
+    rows = sorted(rows, key=lambda r: r["share"])
     mean = sum(np.frombuffer(r["p"], np.float32).astype(np.float64) * r["n"] for r in rows) / sum(r["n"] for r in rows)
     return [part.reshape(shape) for part, shape in zip(np.split(mean, np.cumsum(sizes)[:-1]), shapes)]
 
@@ -315,6 +338,14 @@ _SCORERS: dict[str, _Scorer] = {}
 KEPT_IN_WORKERS.append(_SCORERS)
 
 
+def _scorer(key: str, sent) -> _Scorer:
+    release(_SCORERS)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = _Scorer(sent.value)
+    return _SCORERS[key]
+
+
 def score_documents(docs: DataFrame, model: Model, words: DataFrame, held_out=lambda i: fold(i, 5) == 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     from pyspark import TaskContext
@@ -323,12 +354,9 @@ def score_documents(docs: DataFrame, model: Model, words: DataFrame, held_out=la
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = _Scorer(sent.value)
-        scorer = _SCORERS[key]
+        scorer = _scorer(key, sent)
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             uids, flags, rows, rest, times, ends = [], [], [], [], [], [0]
             for i, text in id_text(batch):
                 n, known, base, value, other = scorer.document(text)
