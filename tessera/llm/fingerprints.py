@@ -10,7 +10,7 @@ fingerprint.
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; fewer than five words are one
 shingle. Defined cases: a null text is empty; two empty fingerprints have
 likeness 1, one empty and one not 0; rows that repeat a doc_id follow each
-other in the order of their text; a null doc_id comes first; an empty table gives an
+other in the order of a hash of their text; a null doc_id comes first; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -104,7 +104,9 @@ def next_rows(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, in_edited, in_next of each row of docs.
+
+    near_* are likenesses (Jaccard), in_* the estimated share of the text that the edited text or the next document contains.
 
     The edited text's last floor(n_chars / 4) code points are replaced by the first
     as many (or all) of the next document.
@@ -123,14 +125,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     slim = slim.withColumn("uid", uid)
     order = next_rows(slim)
     here = order.select(F.xxhash64("uid.doc_id", "uid.text_key", "uid.copy").alias("k"), "uid", "n_chars", "prev_uid", "prev_chars")
-    texts = rows.select(key.alias("k"), uid.alias("uid"), "text")
+    # The sketch is worked out once, before texts are dealt out: both sides of the join with the neighbour read the same exchange.
+    texts = rows.select(key.alias("k"), uid.alias("uid"), "text", sketch(F.col("text")).alias("sketch"))
     placed = texts.join(here.withColumnRenamed("uid", "u"), "k").filter(F.col("uid").eqNullSafe(F.col("u"))).drop("u")
-    own = placed.select("k", "uid", "n_chars", "text", sketch(F.col("text")).alias("sketch"))
+    own = placed.select("k", "uid", "n_chars", "text", "sketch")
     fitted = placed.select(
         F.xxhash64("prev_uid.doc_id", "prev_uid.text_key", "prev_uid.copy").alias("k"),
         F.col("prev_uid").alias("u"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"),
-        sketch(F.col("text")).alias("next_sketch"),
+        F.col("sketch").alias("next_sketch"),
     )
     both = own.join(fitted, "k").filter(F.col("uid").eqNullSafe(F.col("u")))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), F.col("head"))
@@ -144,4 +147,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         to_string(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("in_edited"),
+        containment(F.col("sketch"), F.col("next_sketch")).alias("in_next"),
     )
