@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, python_path
+from tessera.llm.common import id_text, python_path, release, slices
 
 #: The phrases and labels of the base result.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Public notices of common licences: label and the words by which it is known.
+#: Public notices, conditions and disclaimers of common licences: label and the words by which it is known. Callers may give others.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "released under the MIT License"),
@@ -49,6 +49,15 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY SA 4.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
 ]
 
@@ -175,16 +184,15 @@ class Scanner:
         return n, len(base), min(starts, default=None), max(starts, default=None), base_labels, labels, min(1.0, score), spans
 
     def _chain(self, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Covered template spans; found is in the order of the text."""
+        """All covered template spans, in the order of the text, as found is."""
         open_: dict[int, list[int]] = {}  # template -> first word, past the last, past the last in the template, covered
-        spans: dict[str, tuple[str, int, int, float]] = {}
+        spans: list[tuple[str, int, int, float]] = []
 
         def close(template: int) -> None:
             first, end, _, covered = open_.pop(template)
             share = covered / self.automaton.sizes[template]
-            label = self.labels[template]
-            if share >= self.rules.min_cover and share > spans.get(label, ("", 0, 0, 0.0))[3]:
-                spans[label] = (label, first, end, share)
+            if share >= self.rules.min_cover:
+                spans.append((self.labels[template], first, end, min(1.0, share)))
 
         for end, length, state in found:
             for template, at in self.automaton.states[state].ends.items():
@@ -200,16 +208,17 @@ class Scanner:
                 open_[template] = [begin, end, at, length]
         for template in list(open_):
             close(template)
-        return sorted(spans.values())
+        return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, rules: Rules = Rules()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each row of docs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scanner = Scanner(templates, phrases, rules)
         span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("cover", pa.float64())])
-        for batch in batches:
+        for batch in slices(batches):
             rows = [scanner.scan(text) for _, text in id_text(batch)]
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
             columns += [pa.array([",".join(r[k]) for r in rows], pa.string()) for k in (4, 5)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.llm import fingerprints, jaccard, licenses, linededup, lm, mixing, packing, quality, sharding, toxicity
 from tessera.plans import Catalog, table
 
@@ -14,7 +16,7 @@ def build() -> Catalog:
     found.add("op4_toxicity")(lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")))
     found.add("op5_fingerprints")(lambda spark, d: fingerprints.fingerprint_documents(table(spark, d, "documents")))
     found.add("op6_mixing", mixing.MIX_SQL)(lambda spark, d: mixing.mix_documents(table(spark, d, "documents")))
-    found.add("op7_licenses")(lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")).drop("spans"))
+    found.add("op7_licenses")(lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")).withColumn("spans", F.to_json("spans")))
     found.add("op8_jaccard_join")(lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")))
     found.add("op9_quality")(lambda spark, d: quality.quality_rules(table(spark, d, "documents")))
     found.add("op10_packing")(lambda spark, d: packing.pack_documents(table(spark, d, "documents")))

@@ -74,6 +74,36 @@ def test_lm_base_and_gain(docs, rows):
         assert r["score"] <= 0
 
 
+def test_lm_scores_by_hand(docs, rows):
+    """Class probabilities of the network, and the words' shares of their classes, worked out per token."""
+    s = lm.Settings(own_classes=8, ending_classes=4, head=5, batches=40, shares=2)
+    model, _ = lm.train(docs, settings=s)
+    again, _ = lm.train(docs.repartition(7), settings=s)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(model.params, again.params))
+    train = collections.Counter()
+    for i, t, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update([w.lower() for w in words(t)] + [b""])
+    cls = model.classes()
+    of = lambda w: cls.own.get(w, cls.by_ending.get(w[-3:], cls.rest))
+    total, distinct = collections.Counter(), collections.Counter()
+    for w, c in train.items():
+        total[of(w)] += c
+        distinct[of(w)] += 1
+    net = lm.LogBilinear(cls.count, s.dims, np.ones(cls.count), 1)
+    net.set(model.params)
+    got = {r["doc_id"]: r["score"] for r in lm.score_corpus(docs, s).collect()}
+    for i, t, *_ in rows[::3]:
+        before, want = [cls.count, cls.count], 0.0
+        for w in [x.lower() for x in words(t)] + [b""]:
+            scores = net.context(np.array(before[1:]), np.array(before[:1]))[0] @ net.out.T + net.bias
+            want += math.log10(np.exp(scores[of(w)] - scores.max()) / np.exp(scores - scores.max()).sum())
+            if of(w) >= len(cls.own):
+                want += math.log10((train[w] + 0.5) / (total[of(w)] + 0.5 * (distinct[of(w)] + 1)))
+            before = [before[1], of(w)]
+        assert math.isclose(got[i], want, rel_tol=1e-3, abs_tol=1e-3), i
+
+
 def test_lm_probabilities_sum_to_one():
     net = lm.LogBilinear(7, 4, np.full(7, 1 / 7), 1)
     p = np.exp(net.log_probs(np.arange(8), np.arange(8)))
@@ -104,8 +134,8 @@ def test_line_dedup(docs, rows, keys, pairs):
     assert digests(linededup.dedup_lines(docs.select("doc_id", "text", "n_lines"), broadcast_keys=keys, broadcast_pairs=pairs)) == lines_by_hand(rows)
 
 
-def test_hot_lines_are_joined_apart(spark, docs, rows):
-    index = linededup.LineIndex(spark, linededup.shared_folder(spark) + "/hot-lines")
+def test_hot_lines_are_joined_apart(spark, docs, tmp_path):
+    index = linededup.LineIndex(spark, f"file://{tmp_path}/lines")
     index.insert(docs)
     asked = linededup.known_lines(docs, index)
     part = lambda hot: sorted((r["doc_id"], sorted(map(bytes, r["keys"]))) for r in linededup.lines_to_drop(asked, index.active, hot).collect())
@@ -269,6 +299,21 @@ def test_fingerprints(docs, rows):
     assert by_text[""] == {""}
 
 
+def test_sketches_merge_and_contain(spark):
+    rng = np.random.default_rng(4)
+    words_ = [f"w{i}" for i in rng.integers(0, 5000, 3000)]
+    cut = 1500
+    a, b, both = " ".join(words_[: cut + 4]), " ".join(words_[cut:]), " ".join(words_)
+    r = spark.createDataFrame([(a, b, both)], "a string, b string, both string").select(
+        fingerprints.merge(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("m"),
+        fingerprints.sketch(F.col("both")).alias("s"),
+        fingerprints.containment(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("both"))).alias("c"),
+        fingerprints.containment(fingerprints.sketch(F.col("both")), fingerprints.sketch(F.col("a"))).alias("d"),
+        fingerprints.containment(fingerprints.sketch(F.lit("")), fingerprints.sketch(F.col("a"))).alias("e"),
+    ).first()
+    assert r["m"] == r["s"] and r["c"] == 1.0 and abs(r["d"] - 0.5) < 0.1 and r["e"] == 1.0
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_documents(docs, rows_per_bucket=5).collect()
     assert len(got) == len(rows)
@@ -307,6 +352,8 @@ def test_matching_statistics_by_hand():
     s = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES, licenses.Rules())
     text = b"x y This program is free software: you can redistribute it and/or alter it under the terms of the GNU General Public License as published by the Free Software Foundation z"
     n, base, _, _, _, labels, score, spans = s.scan(text)
+    twice = s.scan(text + b" and once more: " + text)[7]
+    assert [x[0] for x in twice] == ["gpl", "gpl"] and twice[0][2] <= twice[1][1]
     assert "gpl" in labels and base == 0 and 0.6 <= score <= 1 and spans[0][0] == "gpl"
 
 
