@@ -127,7 +127,7 @@ def markdown_section(body: Column, name: str) -> Column:
 
     exact = F.regexp_extract(body, rf"(?is)(?:^|\n)##[ ]+{re.escape(name)}[ ]*\n(.*?)(?=\n##|\z)", 1)
     partial = F.regexp_extract(body, rf"(?is)(?:^|\n)##[^\n]*{re.escape(name)}[^\n]*\n(.*?)(?=\n##|\z)", 1)
-    return F.trim(F.coalesce(F.nullif(exact, F.lit("")), F.nullif(partial, F.lit(""))))
+    return F.btrim(F.coalesce(F.nullif(exact, F.lit("")), F.nullif(partial, F.lit(""))), F.lit(" \t\r\n"))
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:

@@ -264,6 +264,20 @@ def version_changes(rows: DataFrame, key: str, version: str) -> DataFrame:
     return p.groupBy(version).agg(F.count_if(~F.col("_b").eqNullSafe(F.col(version) - 1)).alias("added"), F.count_if(~F.col("_a").eqNullSafe(F.col(version) + 1)).alias("leaving"), F.count("*").alias("n"))
 
 
+def change_feed(before: DataFrame, after: DataFrame, key: str, kind: str, title: str) -> DataFrame:
+    """(entry_id, change_type, summary): a row per row inserted, updated (any column) or deleted between two states of a table."""
+    rest = [c for c in before.columns if c != key]
+    a, b = (x.select(F.col(key).alias("entry_id"), F.struct(*rest).alias(n)) for x, n in ((before, "old"), (after, "new")))
+    j = a.join(b, "entry_id", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    change = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("update")
+    verb = F.when(F.col("old").isNull(), "New ").when(F.col("new").isNull(), "Deleted ").otherwise("Updated ")
+    told = F.coalesce("new", "old")
+    return j.select("entry_id", change.alias("change_type"), F.concat(verb, told[kind], F.lit(": "), told[title]).alias("summary"))
+
+
+catalog.add("change_feed", "WITH a AS (SELECT p_partkey, p_type, p_name, p_size FROM part WHERE p_partkey % 11 <> 3), b AS (SELECT p_partkey, p_type, p_name, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 13 <> 5) SELECT coalesce(a.p_partkey, b.p_partkey) AS entry_id, CASE WHEN a.p_partkey IS NULL THEN 'insert' WHEN b.p_partkey IS NULL THEN 'delete' ELSE 'update' END AS change_type, CASE WHEN a.p_partkey IS NULL THEN 'New ' WHEN b.p_partkey IS NULL THEN 'Deleted ' ELSE 'Updated ' END || coalesce(b.p_type, a.p_type) || ': ' || coalesce(b.p_name, a.p_name) AS summary FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_size <> b.p_size")(
+    lambda s, d: (lambda p: change_feed(p.filter("p_partkey % 11 <> 3"), p.filter("p_partkey % 13 <> 5").withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))), "p_partkey", "p_type", "p_name"))(table(s, d, "part").select("p_partkey", "p_type", "p_name", "p_size"))
+)
 catalog.add("merge_citations", r"SELECT coalesce(nullif(regexp_replace(lower(url), '[?#].*$', ''), ''), 'x') AS key, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1")(
     lambda s, d: table(s, d, "pages").groupBy(F.coalesce(F.nullif(F.regexp_replace(F.lower("url"), "[?#].*$", ""), F.lit("")), F.lit("x")).alias("key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,38 @@ def fewest_hops(e: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
     return pairs.join(found, ["src", "dst"], "left")
 
 
-catalog.add("graph_fewest_hops")(lambda s, d: fewest_hops(edges(s, d), nodes(s, d).filter("id < 20").select(F.col("id").alias("src"), (F.col("id") * 7 + 1).alias("dst")), 4))
+def _asked(s, d, factor: int, plus: int) -> DataFrame:
+    """The searches: from every node whose id is divisible by 100, to another one each."""
+    return nodes(s, d).filter("id % 100 = 0").select(F.col("id").alias("src"), (F.col("id") * factor + plus).alias("dst"))
+
+
+_HOPS = """r AS (SELECT id AS start, id AS node, 0 AS h FROM nodes WHERE id % 100 = 0 UNION SELECT start, dst, h + 1 FROM r JOIN edges ON src = node WHERE h < {most}),
+m AS (SELECT start, node, min(h) AS hops FROM r GROUP BY 1, 2), p AS (SELECT id AS src, id * {factor} + {plus} AS dst FROM nodes WHERE id % 100 = 0)"""
+catalog.add("graph_fewest_hops", f"WITH RECURSIVE {GRAPH}, {_HOPS.format(most=4, factor=7, plus=1)} SELECT src, dst, hops FROM p LEFT JOIN m ON start = src AND node = dst")(lambda s, d: fewest_hops(edges(s, d), _asked(s, d, 7, 1), 4))
+
+
+def stop_paths(e: DataFrame, starts: DataFrame, stops: DataFrame, most: int = 8) -> DataFrame:
+    """(src, dst, hops, weight): from each start to each other stop the fewest hops, and the most weight that a path of so many has; none beyond `most`.
+
+    Level by level: a node first reached at level k is reached from nodes of level k - 1 alone by paths of the fewest hops.
+    """
+    e = e.select("src", "dst", F.col("weight").cast("long").alias("w"))
+    seen = kept(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("weight")))
+    for k in range(1, most + 1):
+        front = seen.filter(F.col("hops") == k - 1)
+        new = front.join(e, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("weight") + F.col("w")).alias("weight"))
+        new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(k))
+        grown = kept(seen.unionByName(new))
+        if grown.filter(F.col("hops") == k).limit(1).count() == 0:
+            break
+        seen = grown
+    return seen.join(stops.select(F.col("id").alias("node")), "node", "left_semi").filter("start <> node").select(F.col("start").alias("src"), F.col("node").alias("dst"), "hops", "weight")
+
+
+_STOPS = "id % 100 = 0"
+catalog.add("graph_stop_paths", f"WITH RECURSIVE {GRAPH}, r AS (SELECT id AS start, id AS node, 0 AS hops, 0::BIGINT AS weight FROM nodes WHERE {_STOPS} UNION ALL SELECT start, dst, hops + 1, max(r.weight + edges.weight)::BIGINT FROM r JOIN edges ON src = node WHERE hops < 4 GROUP BY start, dst, hops) SELECT start AS src, node AS dst, hops, weight FROM r WHERE node % 100 = 0 AND start <> node QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY hops) = 1")(
+    lambda s, d: stop_paths(edges(s, d), nodes(s, d).filter(_STOPS).select("id"), nodes(s, d).filter(_STOPS).select("id"), 4)
+)
 
 
 def best_paths(e: DataFrame, start, target, score: Column, hops: int = 3, beam: int = 2_000) -> DataFrame:
@@ -90,20 +123,48 @@ for _name, _score, _one, _two in (
     )
 
 
-def cheapest(e: DataFrame, starts: DataFrame, cost: Column, most: int = 40) -> DataFrame:
-    """(start, node, cost): least total cost (a number or a struct of numbers per edge, all >= 0) by relaxation rounds."""
-    e = e.select("src", "dst", cost.alias("c"))
-    state = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0.0).alias("cost"))
+def cheapest(e: DataFrame, starts: DataFrame, cost: Sequence[Column], most: int = 200) -> DataFrame:
+    """(start, node, cost): least total cost by relaxation rounds, until one changes nothing; costs are numbers >= 0, compared one after the other."""
+    names = [f"c{k}" for k in range(len(cost))]
+    e = kept(e.select("src", "dst", *[c.cast("double").alias(f"_{n}") for n, c in zip(names, cost)]))
+    now = kept(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.struct(*[F.lit(0.0).alias(n) for n in names]).alias("cost")))
+    front = now
+    for _ in range(most):
+        # Only nodes whose cost fell in the last round can lower another's.
+        tried = front.join(e, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.struct(*[(F.col(f"cost.{n}") + F.col(f"_{n}")).alias(n) for n in names])).alias("tried"))
+        both = kept(now.join(tried, ["start", "node"], "full_outer").withColumn("lower", F.col("tried").isNotNull() & (F.col("cost").isNull() | (F.col("tried") < F.col("cost")))))
+        now = both.select("start", "node", F.when(F.col("lower"), F.col("tried")).otherwise(F.col("cost")).alias("cost"))
+        front = now.join(both.filter("lower").select("start", "node"), ["start", "node"], "left_semi")
+        if both.filter("lower").limit(1).count() == 0:
+            return now
+    raise RuntimeError(f"costs still fall after {most} rounds")
+
+
+_TIER = "CASE strength WHEN 'strong' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
+_WALKS = "r AS (SELECT id AS start, id AS node, 0 AS h, {zero} AS c FROM nodes WHERE id % 500 = 0 UNION ALL SELECT start, dst, h + 1, min({plus}) FROM r JOIN edges ON src = node WHERE h < 12 GROUP BY start, dst, h)"
+catalog.add("graph_cheapest_reliable", f"WITH RECURSIVE {GRAPH}, {_WALKS.format(zero='0::DOUBLE', plus='c + 1 / greatest(weight, 0.1)')} SELECT start, node, round(min(c), 6) AS cost FROM r GROUP BY 1, 2")(
+    lambda s, d: cheapest(edges(s, d), nodes(s, d).filter("id % 500 = 0"), [1 / F.greatest("weight", F.lit(0.1))]).select("start", "node", F.round("cost.c0", 6).alias("cost"))
+)
+catalog.add("graph_cheapest_strength", f"WITH RECURSIVE {GRAPH}, {_WALKS.format(zero='[0, 0]', plus=f'[c[1] + {_TIER}, c[2] + 10 - weight]')} SELECT start, node, min(c)[1]::DOUBLE AS tiers, min(c)[2]::DOUBLE AS slack FROM r GROUP BY 1, 2")(
+    lambda s, d: cheapest(edges(s, d), nodes(s, d).filter("id % 500 = 0"), [F.when(F.col("strength") == "strong", 1).when(F.col("strength") == "medium", 2).otherwise(3), 10 - F.col("weight")]).select("start", "node", F.col("cost.c0").alias("tiers"), F.col("cost.c1").alias("slack"))
+)
 
-    def step(now: DataFrame) -> DataFrame:
-        tried = now.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
-        return now.unionByName(tried).groupBy("start", "node").agg(F.min("cost").alias("cost"))
 
-    return settled(state, step, lambda x: x.agg(F.count("*"), F.round(F.sum("cost"), 6)), most=most)
+def nearest_goals(e: DataFrame, goals: DataFrame) -> DataFrame:
+    """(start, distance, node): for each node that reaches a goal (id) the fewest hops to one, and the smallest such goal; one search from all goals against the edges."""
+    back = kept(e.select("src", "dst").distinct())
+    seen = kept(goals.select(F.col("id").alias("start"), F.lit(0).alias("distance"), F.col("id").alias("node")))
+    k = 0
+    while True:
+        front = seen.filter(F.col("distance") == k).select(F.col("start").alias("dst"), "node")
+        new = back.join(front, "dst").groupBy(F.col("src").alias("start")).agg(F.min("node").alias("node")).join(seen.select("start"), "start", "left_anti").withColumn("distance", F.lit(k + 1))
+        new = kept(new.select(*seen.columns))
+        if new.limit(1).count() == 0:
+            return seen
+        seen, k = kept(seen.unionByName(new)), k + 1
 
 
-catalog.add("graph_cheapest_reliable")(lambda s, d: cheapest(edges(s, d), _starts(s, d, 3), 1 / F.greatest("weight", F.lit(0.1))).select("start", "node", F.round("cost", 6).alias("cost")))
-catalog.add("graph_cheapest_strength")(lambda s, d: cheapest(edges(s, d), _starts(s, d, 2), F.when(F.col("strength") == "strong", 1.0).when(F.col("strength") == "medium", 2.0).otherwise(3.0) + (10 - F.col("weight")) / 1000.0).select("start", "node", F.round("cost", 6).alias("cost")))
+_GOALS = "r AS (SELECT id AS start, id AS node, 0 AS h FROM nodes WHERE domain = '{}' UNION SELECT src, min(node), h + 1 FROM r JOIN edges ON dst = start WHERE h < 8 GROUP BY src, h)"
 
 
 def hybrid_steps(e: DataFrame, n: DataFrame, target, weights: tuple[float, float, float] = (1.0, 2.0, 1.0)) -> DataFrame:
@@ -119,8 +180,22 @@ def hybrid_steps(e: DataFrame, n: DataFrame, target, weights: tuple[float, float
 
 _GOAL = "(SELECT tags FROM nodes WHERE id = 5)"
 catalog.add("graph_hybrid_scores", f"WITH {GRAPH} SELECT src, dst, round(weight + 2.0 * CASE strength WHEN 'strong' THEN 3 WHEN 'medium' THEN 1.5 ELSE 0 END + 10 * len(list_intersect(tags, {_GOAL})) / len(list_distinct(list_concat(tags, {_GOAL}))), 6)::DOUBLE AS score FROM edges JOIN nodes ON dst = id")(lambda s, d: hybrid_steps(edges(s, d), nodes(s, d), 5))
-catalog.add("graph_tag_coherent_path")(lambda s, d: best_paths(with_domains(edges(s, d), nodes(s, d)), 0, 5, t.jaccard(F.col("src_tags"), F.col("dst_tags")), 2))
-catalog.add("graph_nearest_goal")(lambda s, d: (lambda r: r.join(nodes(s, d).filter("domain = 'Brand#7'").select(F.col("id").alias("node")), "node").groupBy("start").agg(F.min(F.struct("distance", "node")).alias("b")).select("start", "b.distance", "b.node"))(reach(edges(s, d), _starts(s, d, 10), 3)))
+_MET = "(SELECT min(b.dst) FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = (SELECT min(src) FROM edges) AND b.dst <> a.src)"
+_JACC = "len(list_intersect(x.tags, y.tags)) / len(list_distinct(list_concat(x.tags, y.tags)))"
+catalog.add("graph_tag_coherent_path", f"""WITH {GRAPH}, w AS (SELECT src, dst, {_JACC} AS s FROM edges JOIN nodes x ON src = x.id JOIN nodes y ON dst = y.id), f AS (SELECT min(src) AS a, {_MET} AS b FROM edges),
+p AS (SELECT [src, dst] AS path, s AS score, 1 AS hops FROM w, f WHERE src = f.a AND dst = f.b UNION ALL SELECT [p.src, p.dst, q.dst], p.s + q.s, 2 FROM w p JOIN w q ON p.dst = q.src, f WHERE p.src = f.a AND q.dst = f.b AND p.dst NOT IN (f.a, f.b))
+SELECT path, round(score, 6)::DOUBLE AS score, hops FROM p QUALIFY row_number() OVER (PARTITION BY hops ORDER BY score DESC, path) = 1""")(lambda s, d: _coherent(s, d))
+
+
+def _coherent(s, d) -> DataFrame:
+    """From the smallest source to the smallest node two hops away, which there always is a path to."""
+    e = edges(s, d)
+    first = e.agg(F.min("src")).first()[0]
+    far = e.filter(F.col("src") == first).alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).filter(F.col("b.dst") != first).agg(F.min("b.dst")).first()[0]
+    return best_paths(with_domains(e, nodes(s, d)), first, far, t.jaccard(F.col("src_tags"), F.col("dst_tags")), 2)
+catalog.add("graph_nearest_goal", f"WITH RECURSIVE {GRAPH}, {_GOALS.format('Brand#7')} SELECT start, min(h) AS distance, arg_min(node, (h, node)) AS node FROM r GROUP BY start")(
+    lambda s, d: nearest_goals(edges(s, d), nodes(s, d).filter("domain = 'Brand#7'"))
+)
 
 
 def suggested_edges(e: DataFrame, n: DataFrame, tag_weight: float = 2.0, bridge: float = 1.5) -> DataFrame:
@@ -164,7 +239,7 @@ def components(e: DataFrame, n: DataFrame) -> DataFrame:
     return settled(n.select("id", F.col("id").alias("component")), step, lambda x: x.agg(F.sum("component"), F.count_distinct("component")))
 
 
-catalog.add("graph_components")(lambda s, d: components(edges(s, d).filter("weight >= 9"), nodes(s, d)).groupBy("component").agg(F.count("*").alias("size")))
+catalog.add("graph_components")(lambda s, d: components(edges(s, d), nodes(s, d)).groupBy("component").agg(F.count("*").alias("size")))
 
 
 def eccentricities(e: DataFrame, n: DataFrame, sample: int = 10, depth: int = 6) -> DataFrame:
@@ -235,7 +310,21 @@ def greedy_walks(e: DataFrame, starts: DataFrame, score: Column, hops: int = 4)
 
 
 catalog.add("graph_greedy_walks")(lambda s, d: greedy_walks(edges(s, d), nodes(s, d).select("id"), F.col("weight")))
-catalog.add("graph_random_walks")(lambda s, d: greedy_walks(edges(s, d), nodes(s, d).select("id"), F.xxhash64("src", "dst", F.lit(42))).select(F.explode("path").alias("node")).groupBy("node").agg(F.count("*").alias("visits")))
+def random_walks(e: DataFrame, starts: DataFrame, hops: int = 4, seed: int = 42) -> DataFrame:
+    """(start, path): walks that take an edge at random at each step, a visited node as well as another, until a dead end or hops are made.
+
+    The draw is a hash of the seed, the walk, the step and the edge, so reruns agree.
+    """
+    e = e.select("src", "dst")
+    walk = kept(starts.select(F.col("id").alias("start"), F.array("id").alias("path")))
+    for k in range(hops):
+        front = walk.filter(F.size("path") == k + 1)
+        steps = front.join(e, F.element_at("path", -1) == F.col("src")).groupBy("start").agg(F.max_by("dst", F.struct(F.xxhash64(F.lit(seed), F.lit(k), "start", "src", "dst"), "dst")).alias("dst"))
+        walk = kept(walk.join(steps, "start", "left").select("start", F.when(F.col("dst").isNotNull(), F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path")))
+    return walk
+
+
+catalog.add("graph_random_walks")(lambda s, d: random_walks(edges(s, d), nodes(s, d).select("id")).select(F.explode("path").alias("node")).groupBy("node").agg(F.count("*").alias("visits")))
 
 
 def clustering(e: DataFrame) -> DataFrame:
@@ -273,7 +362,7 @@ def cyclic_core(e: DataFrame, n: DataFrame, most: int = 200) -> DataFrame:
     return settled(n.select("id"), step, lambda x: x.agg(F.count("*")), most=most)
 
 
-catalog.add("graph_cyclic_core")(lambda s, d: cyclic_core(edges(s, d).filter("weight >= 10 AND src < dst + 400"), nodes(s, d)))
+catalog.add("graph_cyclic_core")(lambda s, d: cyclic_core(edges(s, d), nodes(s, d)))
 
 
 def traps(e: DataFrame) -> DataFrame:
@@ -358,10 +447,14 @@ def broken_pairs(e: DataFrame, pairs: DataFrame, removed: DataFrame, hops: int =
 
 
 catalog.add("graph_failure_injection")(
-    lambda s, d: (lambda e: broken_pairs(e, nodes(s, d).filter("id < 10").select(F.col("id").alias("src"), (F.col("id") * 11 + 3).alias("dst")), e.orderBy(F.desc("weight"), "src", "dst").limit(5).select(F.concat_ws("-", "src", "dst").alias("scenario"), "src", "dst"), 2))(edges(s, d).filter("weight >= 5"))
+    lambda s, d: (lambda e: broken_pairs(e, nodes(s, d).join(e.groupBy(F.col("src").alias("id")).agg(F.max("dst").alias("to")), "id").filter("id % 100 = 0").select(F.col("id").alias("src"), F.col("to").alias("dst")), e.orderBy(F.desc("weight"), "src", "dst").limit(5).select(F.concat_ws("-", "src", "dst").alias("scenario"), "src", "dst"), 2))(edges(s, d).filter("weight >= 5"))
+)
+catalog.add("graph_pair_reachability", f"WITH RECURSIVE {GRAPH}, {_HOPS.format(most=3, factor=13, plus=2)} SELECT hops, count(*) AS pairs FROM p LEFT JOIN m ON start = src AND node = dst GROUP BY 1")(
+    lambda s, d: fewest_hops(edges(s, d), _asked(s, d, 13, 2), 3).groupBy("hops").agg(F.count("*").alias("pairs"))
+)
+catalog.add("graph_resource_hops", f"WITH RECURSIVE {GRAPH}, {_GOALS.format('Brand#3')} SELECT start, min(h) AS hops FROM r GROUP BY start")(
+    lambda s, d: nearest_goals(edges(s, d), nodes(s, d).filter("domain = 'Brand#3'")).select("start", F.col("distance").alias("hops"))
 )
-catalog.add("graph_pair_reachability")(lambda s, d: fewest_hops(edges(s, d), nodes(s, d).filter("id < 15").select(F.col("id").alias("src"), (F.col("id") * 13 + 2).alias("dst")), 3).groupBy("hops").agg(F.count("*").alias("pairs")))
-catalog.add("graph_resource_hops")(lambda s, d: (lambda r: r.join(nodes(s, d).filter("domain = 'Brand#3'").select(F.col("id").alias("node")), "node").groupBy("start").agg(F.min("distance").alias("hops")))(reach(edges(s, d), _starts(s, d, 25), 2)))
 
 
 def ego_profiles(e: DataFrame, centres: DataFrame) -> DataFrame:
@@ -399,10 +492,31 @@ def best_orders(walks: DataFrame) -> DataFrame:
 
 @catalog.add("graph_visiting_orders")
 def _orders(s, d):
-    """The plan of an order is to visit its parts; stops are apart by direct edges."""
-    direct = edges(s, d).select("src", "dst", F.lit(1).cast("long").alias("hops"), F.col("weight").cast("long").alias("weight"))
-    plans = table(s, d, "lineitem").select(F.col("l_orderkey").alias("plan"), F.col("l_partkey").alias("stop")).distinct()
-    return best_orders(visiting_orders(direct, plans))
+    """The plan of a domain is to visit its stops, each stop from the last by the fewest hops and the most weight."""
+    stops = nodes(s, d).filter(_STOPS)
+    paths = stop_paths(edges(s, d), stops.select("id"), stops.select("id"), 4)
+    return best_orders(visiting_orders(paths, stops.select(F.col("domain").alias("plan"), F.col("id").alias("stop"))))
+
+
+def edge_search(e: DataFrame, n: DataFrame, domain: str | None = None, tags: Sequence[str] = (), reasons_contain: str | None = None, min_weight: int = 0, strength: str | None = None) -> DataFrame:
+    """(id, domain, edge_count, max_weight, edges): nodes with the edges that qualify by weight, strength, any tag in their reasons, and a part of these."""
+    reasons = F.lower(F.array_join("reasons", " "))
+    e = e.filter(F.col("weight") >= min_weight)
+    if strength:
+        e = e.filter(F.col("strength") == strength)
+    if tags:
+        e = e.filter(F.greatest(*[reasons.contains(x.lower()).cast("int") for x in tags], F.lit(0)) == 1)
+    if reasons_contain:
+        e = e.filter(reasons.contains(reasons_contain.lower()))
+    if domain:
+        n = n.filter(F.col("domain") == domain)
+    found = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edge_count"), F.max("weight").alias("max_weight"), F.array_sort(F.collect_list("dst")).alias("edges"))
+    return n.select("id", "domain").join(found, "id")
+
+
+catalog.add("graph_edge_search", f"WITH {GRAPH} SELECT nodes.id, domain, count(*) AS edge_count, max(weight) AS max_weight, list_sort(list(dst)) AS edges FROM nodes JOIN edges ON src = nodes.id WHERE domain = 'Brand#12' AND weight >= 3 AND contains(lower(array_to_string(reasons, ' ')), 'flag') AND (contains(lower(array_to_string(reasons, ' ')), 'flag r') OR contains(lower(array_to_string(reasons, ' ')), 'flag a')) GROUP BY 1, 2")(
+    lambda s, d: edge_search(edges(s, d), nodes(s, d), domain="Brand#12", tags=["flag R", "flag A"], reasons_contain="flag", min_weight=3)
+)
 
 
 def longest_chains(e: DataFrame, n: DataFrame, hops: int = 4) -> DataFrame:

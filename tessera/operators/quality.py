@@ -13,14 +13,23 @@ from tessera.plans.bind import ENTRIES, GRAPH, edges, entries, nodes
 
 catalog = Catalog()
 
-AUTHORITY = ((r"\.gov(/|$)|\.edu(/|$)", 1.0), (r"\.org(/|$)", 0.8), (r"/en/", 0.7), (r"\.com(/|$)", 0.5), (r"\.net(/|$)", 0.3))
+#: Patterns of a source's description by tier, and the tiers' scores.
+AUTHORITY = (
+    (1.0, (r"\.gov\b", r"rfc\d+", r"official\s+doc", "specification", "standard", "ieee", "w3c", "ietf", r"iso\s?\d+")),
+    (0.85, ("arxiv", r"doi\.org", "pubmed", "scholar", "journal", "proceedings", "conference", "peer.review", "academic", "university", r"\.edu\b", r"semantic\s*scholar", "openalex")),
+    (0.7, (r"github\.com", "stackoverflow", "microsoft", "google", "mozilla", "apple", "aws", "documentation")),
+    (0.6, ("wikipedia", "wikidata", "encyclopedia", "handbook")),
+    (0.5, ("reuters", "bbc", "guardian", "nytimes", "news", "report", "analysis")),
+    (0.3, ("blog", r"medium\.com", r"dev\.to", "tutorial", "hackernews", r"hacker\s*news", "reddit", "forum")),
+    (0.1, ("unknown", "unverified", "rumor")),
+)
 
 
-def authority(url: Column, tiers: Sequence[tuple[str, float]] = AUTHORITY, default: float = 0.4) -> Column:
-    """The score of the first tier whose pattern the URL matches."""
+def authority(hints: Column, tiers=AUTHORITY, default: float = 0.4) -> Column:
+    """The score of the highest tier with a pattern in the description of a source (its URL, type, publisher and so on, joined)."""
     out = F.lit(default)
-    for pattern, score in reversed(tiers):
-        out = F.when(F.lower(url).rlike(pattern), F.lit(score)).otherwise(out)
+    for score, patterns in reversed(tiers):
+        out = F.when(F.lower(hints).rlike("|".join(patterns)), F.lit(score)).otherwise(out)
     return out
 
 
@@ -40,17 +49,26 @@ def completeness(fields: Sequence[str], key_fields: Sequence[str]) -> Column:
     return F.least(F.lit(1.0), share + F.least(F.lit(0.2), 0.03 * sum(map(filled, key_fields), F.lit(0))))
 
 
-def citation_score(count: Column) -> Column:
-    """Bands by citations: 1, 0.8, 0.6, 0.4 from 100, 50, 10, 1; 0.2 without any."""
-    return F.when(count >= 100, 1.0).when(count >= 50, 0.8).when(count >= 10, 0.6).when(count >= 1, 0.4).otherwise(0.2)
+#: More citations than this give this score.
+CITATIONS = ((100, 1.0), (50, 0.85), (20, 0.7), (5, 0.5), (0, 0.3))
+
+
+def citation_score(citations: Column, references: Column, corroborations: Column, sources: Column) -> Column:
+    """By citations, or by what references (0.1 each, 0.6 at most), corroborations (0.2, 0.8) or two sources and more (0.15, 0.7) give if that is more; 0.2 without any."""
+    base = F.lit(0.0)
+    for least, score in reversed(CITATIONS):
+        base = F.when(citations > least, F.lit(score)).otherwise(base)
+    best = F.greatest(base, F.least(F.lit(0.6), references * 0.1), F.least(F.lit(0.8), corroborations * 0.2), F.when(sources > 1, F.least(F.lit(0.7), sources * 0.15)).otherwise(0.0))
+    return F.when(best > 0, best).otherwise(0.2)
 
 
 def weighted(parts: dict[str, float]) -> Column:
     return sum((F.col(c) * w for c, w in parts.items()), F.lit(0.0))
 
 
-_AUTH = "CASE WHEN regexp_matches(lower(url), '\\.gov(/|$)|\\.edu(/|$)') THEN 1.0 WHEN regexp_matches(lower(url), '\\.org(/|$)') THEN 0.8 WHEN regexp_matches(lower(url), '/en/') THEN 0.7 WHEN regexp_matches(lower(url), '\\.com(/|$)') THEN 0.5 WHEN regexp_matches(lower(url), '\\.net(/|$)') THEN 0.3 ELSE 0.4 END"
-catalog.add("score_authority", f"SELECT page_id, ({_AUTH})::DOUBLE AS score FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", authority(F.col("url")).alias("score")))
+_AUTH = "CASE " + " ".join(f"WHEN regexp_matches(lower(url || ' ' || html), '{'|'.join(ps)}') THEN {score}" for score, ps in AUTHORITY) + " ELSE 0.4 END"
+_hints = lambda: F.concat_ws(" ", "url", "html")
+catalog.add("score_authority", f"SELECT page_id, ({_AUTH})::DOUBLE AS score FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", authority(_hints()).alias("score")))
 _FRESH = "CASE WHEN created IS NULL THEN 0.5 WHEN age <= 7 THEN 1.0 WHEN age <= 30 THEN 0.9 WHEN age <= 90 THEN 0.8 WHEN age <= 180 THEN 0.7 WHEN age <= 365 THEN 0.6 WHEN age <= 730 THEN 0.4 ELSE greatest(0.1, 0.4 - (age - 730) / 3650.0) END"
 catalog.add("score_freshness", f"WITH {ENTRIES}, a AS (SELECT id, created, (SELECT max(created) FROM entries) - created AS age FROM entries) SELECT id, ({_FRESH})::DOUBLE AS score FROM a")(
     lambda s, d: entries(s, d).join(F.broadcast(entries(s, d).agg(F.max("created").alias("as_of")))).select("id", freshness(F.col("created"), F.col("as_of")).alias("score"))
@@ -58,11 +76,14 @@ catalog.add("score_freshness", f"WITH {ENTRIES}, a AS (SELECT id, created, (SELE
 catalog.add("score_completeness", f"WITH {ENTRIES}, f AS (SELECT id, (CASE WHEN trim(title) <> '' THEN 1 ELSE 0 END) AS a, (CASE WHEN trim(summary) <> '' THEN 1 ELSE 0 END) AS b, CASE WHEN category <> '' THEN 1 ELSE 0 END AS c FROM entries) SELECT id, round(least(1.0, (a + b + c) / 3 + least(0.2, 0.03 * (a + c))), 6)::DOUBLE AS score FROM f")(
     lambda s, d: entries(s, d).select("id", F.round(completeness(["title", "summary", "category"], ["title", "category"]), 6).alias("score"))
 )
-catalog.add("score_citations", "SELECT p_partkey, CASE WHEN count(l_orderkey) >= 100 THEN 1.0 WHEN count(l_orderkey) >= 50 THEN 0.8 WHEN count(l_orderkey) >= 10 THEN 0.6 WHEN count(l_orderkey) >= 1 THEN 0.4 ELSE 0.2 END::DOUBLE AS score FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1")(
-    lambda s, d: table(s, d, "part").join(table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n")), "p_partkey", "left").select("p_partkey", citation_score(F.coalesce("n", F.lit(0))).alias("score"))
+catalog.add("score_citations", """WITH x AS (SELECT p_partkey, count(l_orderkey) AS n, count(DISTINCT l_returnflag) AS refs, count(DISTINCT l_linenumber) // 3 AS corr, count(DISTINCT l_suppkey) AS sources FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1),
+y AS (SELECT p_partkey, greatest(CASE WHEN n > 100 THEN 1.0 WHEN n > 50 THEN 0.85 WHEN n > 20 THEN 0.7 WHEN n > 5 THEN 0.5 WHEN n > 0 THEN 0.3 ELSE 0 END, least(0.6, refs * 0.1), least(0.8, corr * 0.2), CASE WHEN sources > 1 THEN least(0.7, sources * 0.15) ELSE 0 END) AS s FROM x)
+SELECT p_partkey, round(CASE WHEN s > 0 THEN s ELSE 0.2 END, 6)::DOUBLE AS score FROM y""")(
+    lambda s, d: table(s, d, "part").join(table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.count_distinct("l_returnflag").alias("refs"), F.floor(F.count_distinct("l_linenumber") / 3).alias("corr"), F.count_distinct("l_suppkey").alias("sources")), "p_partkey", "left").na.fill(0, ["n", "refs", "corr", "sources"])
+    .select("p_partkey", F.round(citation_score(F.col("n"), F.col("refs"), F.col("corr"), F.col("sources")), 6).alias("score"))
 )
 catalog.add("score_weighted_total", f"WITH a AS (SELECT page_id, ({_AUTH})::DOUBLE AS a, least(length(html) / 10000.0, 1.0)::DOUBLE AS b FROM pages) SELECT page_id, round(0.3 * a + 0.7 * b, 6) AS score FROM a")(
-    lambda s, d: table(s, d, "pages").select("page_id", authority(F.col("url")).alias("a"), F.least(F.length("html") / 10000.0, F.lit(1.0)).alias("b")).select("page_id", F.round(weighted({"a": 0.3, "b": 0.7}), 6).alias("score"))
+    lambda s, d: table(s, d, "pages").select("page_id", authority(_hints()).alias("a"), F.least(F.length("html") / 10000.0, F.lit(1.0)).alias("b")).select("page_id", F.round(weighted({"a": 0.3, "b": 0.7}), 6).alias("score"))
 )
 
 
@@ -223,7 +244,8 @@ catalog.add("pick_validation", "WITH p AS (SELECT l_orderkey, l_linenumber, CASE
     lambda s, d: table(s, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", "short").otherwise("long").alias("direction"), F.col("l_extendedprice").alias("entry"), (F.col("l_extendedprice") * (1 + F.col("l_discount") - F.col("l_tax"))).alias("target"))
     .groupBy("direction").agg(F.count_if((F.col("entry") <= 0) | (F.col("target") <= 0)).alias("bad_price"), F.count_if(((F.col("direction") == "long") & (F.col("target") <= F.col("entry"))) | ((F.col("direction") == "short") & (F.col("target") >= F.col("entry")))).alias("bad_order"))
 )
+# The billionth keeps means that lie on a rounding edge off it, whatever the order of the sum.
 _JAC = "CASE WHEN len(list_distinct(list_concat(a.tags, b.tags))) = 0 THEN 0 ELSE len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) END"
-catalog.add("path_quality", f"WITH {GRAPH} SELECT src, round(avg({_JAC}), 6) AS coherence, sum(weight)::BIGINT AS total_weight, count(*) FILTER (a.domain = b.domain) AS revisits FROM edges {_ENDS} GROUP BY src")(
-    lambda s, d: with_domains(edges(s, d), nodes(s, d)).groupBy("src").agg(F.round(F.avg(t.jaccard(F.col("src_tags"), F.col("dst_tags"))), 6).alias("coherence"), F.sum("weight").alias("total_weight"), F.count_if(F.col("src_domain") == F.col("dst_domain")).alias("revisits"))
+catalog.add("path_quality", f"WITH {GRAPH} SELECT src, round(avg({_JAC}) + 1e-9, 6) AS coherence, sum(weight)::BIGINT AS total_weight, count(*) FILTER (a.domain = b.domain) AS revisits FROM edges {_ENDS} GROUP BY src")(
+    lambda s, d: with_domains(edges(s, d), nodes(s, d)).groupBy("src").agg(F.round(F.avg(t.jaccard(F.col("src_tags"), F.col("dst_tags"))) + 1e-9, 6).alias("coherence"), F.sum("weight").alias("total_weight"), F.count_if(F.col("src_domain") == F.col("dst_domain")).alias("revisits"))
 )

@@ -226,10 +226,40 @@ def nearest(vectors: DataFrame, query: DataFrame, top: int = 10) -> DataFrame:
     return scored.orderBy("distance", "vec_id").limit(top)
 
 
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, top: int = 10, rows: int = 2_000, asked: int = 200) -> DataFrame:
+    """(query_id, vec_id, distance): the top nearest of vectors (vec_id, embedding) for each of queries (query_id, embedding), exactly.
+
+    Blocks of queries meet blocks of vectors; each pair of blocks gives its own top, of which the best are taken.
+    """
+
+    def blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+        count = max(1, -(-df.count() // size))
+        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(count)).alias("_b")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(name)).drop("_b")
+
+    def meet(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for x, y in zip(batch["x"], batch["y"]):
+                ids, who = np.array([r["id"] for r in x]), np.array([r["id"] for r in y])
+                v, q = np.stack([r["v"] for r in x]), np.stack([r["v"] for r in y])
+                for i, one in zip(who, q):
+                    d = np.sqrt(((v - one) ** 2).sum(axis=1)).round(6)
+                    near = np.lexsort((ids, d))[:top]
+                    yield pd.DataFrame({"query_id": i, "vec_id": ids[near], "distance": d[near]})
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, distance double"
+    pairs = blocks(vectors, "vec_id", rows, "x").crossJoin(blocks(queries, "query_id", asked, "y"))  # of blocks, not of rows
+    found = pairs.repartition(max(8, vectors.sparkSession.sparkContext.defaultParallelism)).mapInPandas(meet, kinds)
+    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).drop("r")
+
+
 catalog.add(
     "search_vector_knn",
-    "SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS distance FROM embeddings WHERE label >= 0 ORDER BY distance, vec_id LIMIT 10",
-)(lambda spark, d: nearest(table(spark, d, "embeddings").filter("label >= 0"), table(spark, d, "embeddings").filter("vec_id = 7").select(F.col("embedding").alias("query"))))
+    "SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.label >= 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) <= 10",
+)(lambda spark, d: nearest_of_each(table(spark, d, "embeddings").filter("label >= 0"), table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")))
 
 
 def fuse_ranks(first: DataFrame, second: DataFrame, k: int = 60, top: int = 10) -> DataFrame:

@@ -50,7 +50,14 @@ def emas(p: DataFrame, value: str, spans: tuple[int, ...]) -> DataFrame:
     return flat.select("ticker", "z.s.month", *[F.col(f"z.e{n}").alias(f"e{n}") for n in spans])
 
 
-catalog.add("ema_macd")(lambda s, d: emas(prices(s, d), "close", (12, 20, 26)).select("ticker", "month", F.round("e20", 6).alias("ema20"), F.round(F.col("e12") - F.col("e26"), 6).alias("macd")))
+@catalog.add("ema_macd")
+def _macd(s, d):
+    """EMA 20, MACD 12/26, its signal line of 9, and the crossings of the signal line and of zero."""
+    e = emas(prices(s, d), "close", (12, 20, 26)).withColumn("m", F.col("e12") - F.col("e26"))
+    x = e.join(emas(e, "m", (9,)), ["ticker", "month"]).withColumns({"gap": F.col("m") - F.col("e9")}).withColumns({"before": F.lag("gap").over(by()), "m0": F.lag("m").over(by())})
+    cross = F.when((F.col("before") <= 0) & (F.col("gap") > 0), "bullish").when((F.col("before") >= 0) & (F.col("gap") < 0), "bearish")
+    zero = F.when((F.col("m0") <= 0) & (F.col("m") > 0), "up").when((F.col("m0") >= 0) & (F.col("m") < 0), "down")
+    return x.select("ticker", "month", F.round("e20", 6).alias("ema20"), F.round("m", 6).alias("macd"), F.round("e9", 6).alias("signal"), cross.alias("cross"), zero.alias("zero_cross"))
 
 
 def rsi(p: DataFrame, n: int = 14) -> DataFrame:
@@ -60,12 +67,22 @@ def rsi(p: DataFrame, n: int = 14) -> DataFrame:
 
 
 _L = "OVER (PARTITION BY ticker ORDER BY month ROWS 13 PRECEDING)"
-catalog.add("rsi", f"WITH {PRICES}, x AS (SELECT ticker, month, close - lag(close) OVER w AS d FROM prices {_W}), y AS (SELECT ticker, month, count(d) {_L} AS n, sum(greatest(d, 0)) {_L} AS g, sum(greatest(-d, 0)) {_L} AS l FROM x) SELECT ticker, month, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 4) AS rsi FROM y WHERE n = 14")(
-    lambda s, d: rsi(prices(s, d)).select("ticker", "month", F.round("rsi", 4).alias("rsi"))
-)
-catalog.add("stochastic", f"WITH {PRICES}, x AS (SELECT ticker, month, close, min(low) {_L} AS lo, max(high) {_L} AS hi, count(*) {_L} AS n FROM prices) SELECT ticker, month, round(100 * (close - lo) / (hi - lo), 4) AS k FROM x WHERE n = 14 AND hi > lo")(
-    lambda s, d: prices(s, d).select("ticker", "month", "close", F.min("low").over(last(14)).alias("lo"), F.max("high").over(last(14)).alias("hi"), F.count("*").over(last(14)).alias("n")).filter("n = 14 AND hi > lo").select("ticker", "month", F.round(100 * (F.col("close") - F.col("lo")) / (F.col("hi") - F.col("lo")), 4).alias("k"))
+catalog.add("rsi", f"WITH {PRICES}, x AS (SELECT ticker, month, close - lag(close) OVER w AS d FROM prices {_W}), y AS (SELECT ticker, month, count(d) {_L} AS n, sum(greatest(d, 0)) {_L} AS g, sum(greatest(-d, 0)) {_L} AS l FROM x) SELECT ticker, month, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 4) AS rsi, CASE WHEN round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 4) > 70 THEN 'overbought' WHEN round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 4) < 30 THEN 'oversold' ELSE 'neutral' END AS level FROM y WHERE n = 14")(
+    lambda s, d: rsi(prices(s, d)).select("ticker", "month", F.round("rsi", 4).alias("rsi")).withColumn("level", F.when(F.col("rsi") > 70, "overbought").when(F.col("rsi") < 30, "oversold").otherwise("neutral"))
 )
+catalog.add("stochastic", f"WITH {PRICES}, x AS (SELECT ticker, month, close, min(low) {_L} AS lo, max(high) {_L} AS hi, count(*) {_L} AS n FROM prices), y AS (SELECT ticker, month, 100 * (close - lo) / (hi - lo) AS k FROM x WHERE n = 14 AND hi > lo), z AS (SELECT ticker, month, k, CASE WHEN count(*) OVER v = 3 THEN avg(k) OVER v END AS d FROM y WINDOW v AS (PARTITION BY ticker ORDER BY month ROWS 2 PRECEDING)), u AS (SELECT *, lag(k - d) OVER w AS b FROM z {_W}) SELECT ticker, month, round(k, 4) AS k, round(d, 4) AS d, CASE WHEN round(k, 4) > 80 THEN 'overbought' WHEN round(k, 4) < 20 THEN 'oversold' ELSE 'neutral' END AS level, CASE WHEN b < -1e-9 AND k - d > 1e-9 THEN 'up' WHEN b > 1e-9 AND k - d < -1e-9 THEN 'down' END AS cross FROM u")(lambda s, d: stochastic(prices(s, d)))
+
+
+def stochastic(p: DataFrame, n: int = 14, mean: int = 3) -> DataFrame:
+    """%K, its mean %D, overbought above 80 and oversold below 20, and where %K crosses %D."""
+    x = p.select("ticker", "month", "close", F.min("low").over(last(n)).alias("lo"), F.max("high").over(last(n)).alias("hi"), F.count("*").over(last(n)).alias("n")).filter((F.col("n") == n) & (F.col("hi") > F.col("lo")))
+    x = x.select("ticker", "month", (100 * (F.col("close") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("k"))
+    x = x.withColumn("d", F.when(F.count("*").over(last(mean)) == mean, F.avg("k").over(last(mean)))).withColumn("gap", F.col("k") - F.col("d")).withColumn("b", F.lag("gap").over(by()))
+    level = F.when(F.round("k", 4) > 80, "overbought").when(F.round("k", 4) < 20, "oversold").otherwise("neutral")
+    cross = F.when((F.col("b") < -1e-9) & (F.col("gap") > 1e-9), "up").when((F.col("b") > 1e-9) & (F.col("gap") < -1e-9), "down")
+    return x.select("ticker", "month", F.round("k", 4).alias("k"), F.round("d", 4).alias("d"), level.alias("level"), cross.alias("cross"))
+
+
 catalog.add("obv_breakouts", f"WITH {PRICES}, x AS (SELECT *, lag(close) OVER w AS p, max(high) OVER (PARTITION BY ticker ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS prior, avg(volume) OVER (PARTITION BY ticker ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS mean FROM prices {_W}) SELECT ticker, month, round(sum(CASE WHEN close > p THEN volume WHEN close < p THEN -volume ELSE 0 END) OVER w, 2) AS obv, coalesce(close > prior, false) AS breakout, coalesce(volume > 2 * mean, false) AS spike FROM x {_W}")(
     lambda s, d: prices(s, d).withColumns({"p": F.lag("close").over(by()), "prior": F.max("high").over(by().rowsBetween(-12, -1)), "mean": F.avg("volume").over(by().rowsBetween(-12, -1))})
     .select("ticker", "month", F.round(F.sum(F.when(F.col("close") > F.col("p"), F.col("volume")).when(F.col("close") < F.col("p"), -F.col("volume")).otherwise(0.0)).over(by().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("obv"), F.coalesce(F.col("close") > F.col("prior"), F.lit(False)).alias("breakout"), F.coalesce(F.col("volume") > 2 * F.col("mean"), F.lit(False)).alias("spike"))
@@ -88,6 +105,24 @@ catalog.add("factor_deciles", f"WITH {PRICES}, x AS (SELECT ticker, month, round
 catalog.add("pair_correlation", f"WITH {PRICES} SELECT a.ticker AS a, b.ticker AS b, round(corr(a.close, b.close), 6) AS corr, count(*) AS n FROM prices a JOIN prices b ON a.month = b.month AND a.ticker < b.ticker GROUP BY 1, 2")(
     lambda s, d: prices(s, d).alias("a").join(prices(s, d).alias("b"), (F.col("a.month") == F.col("b.month")) & (F.col("a.ticker") < F.col("b.ticker"))).groupBy(F.col("a.ticker").alias("a"), F.col("b.ticker").alias("b")).agg(F.round(F.corr("a.close", "b.close"), 6).alias("corr"), F.count("*").alias("n"))
 )
+_SPREAD = "OVER (PARTITION BY a, b ORDER BY month ROWS 13 PRECEDING)"
+catalog.add("pair_spread", f"WITH {PRICES}, x AS (SELECT p.ticker AS a, q.ticker AS b, p.month, p.close - q.close AS spread FROM prices p JOIN prices q ON p.month = q.month AND p.ticker < q.ticker), y AS (SELECT *, avg(spread) {_SPREAD} AS m, stddev_samp(spread) {_SPREAD} AS sd, count(*) {_SPREAD} AS n FROM x), z AS (SELECT a, b, month, round((spread - m) / sd, 4) + 0 AS z FROM y WHERE n = 14 AND sd > 0) SELECT *, CASE WHEN z > 2 THEN 'short' WHEN z < -2 THEN 'long' WHEN abs(z) < 0.5 THEN 'exit' ELSE 'hold' END AS signal FROM z")(lambda s, d: pair_spread(prices(s, d)))
+
+
+def pair_spread(p: DataFrame, n: int = 14, enter: float = 2.0, leave: float = 0.5) -> DataFrame:
+    """(a, b, month, z, signal): z-score of each pair's spread over n months; beyond `enter` a trade against it, within `leave` its end."""
+    x = p.alias("p").join(p.alias("q"), (F.col("p.month") == F.col("q.month")) & (F.col("p.ticker") < F.col("q.ticker"))).select(F.col("p.ticker").alias("a"), F.col("q.ticker").alias("b"), "p.month", (F.col("p.close") - F.col("q.close")).alias("spread"))
+    w = Window.partitionBy("a", "b").orderBy("month").rowsBetween(1 - n, 0)
+    y = x.withColumns({"m": F.avg("spread").over(w), "sd": F.stddev_samp("spread").over(w), "n": F.count("*").over(w)}).filter((F.col("n") == n) & (F.col("sd") > 0))
+    y = y.select("a", "b", "month", (F.round((F.col("spread") - F.col("m")) / F.col("sd"), 4) + 0.0).alias("z"))
+    return y.withColumn("signal", F.when(F.col("z") > enter, "short").when(F.col("z") < -enter, "long").when(F.abs("z") < leave, "exit").otherwise("hold"))
+
+
+_R = f"r AS (SELECT ticker, month, close / lag(close) OVER w - 1 AS r FROM prices {_W}), v AS (SELECT ticker, month, stddev_samp(r) {_L} * sqrt(12) AS vol, count(r) {_L} AS n FROM r)"
+catalog.add("volatility_target", f"WITH {PRICES}, {_R} SELECT ticker, month, round(vol, 6) AS vol, round(least(2.0, 0.1 / vol), 6) AS position FROM v WHERE n = 14 AND vol > 0")(
+    lambda s, d: prices(s, d).select("ticker", "month", (F.col("close") / F.lag("close").over(by()) - 1).alias("r")).select("ticker", "month", (F.stddev_samp("r").over(last(14)) * F.sqrt(F.lit(12.0))).alias("vol"), F.count("r").over(last(14)).alias("n"))
+    .filter("n = 14 AND vol > 0").select("ticker", "month", F.round("vol", 6).alias("vol"), F.round(F.least(F.lit(2.0), 0.1 / F.col("vol")), 6).alias("position"))
+)
 catalog.add("momentum_rank", f"WITH {PRICES}, x AS (SELECT ticker, month, lag(close, 1) OVER w / lag(close, 12) OVER w - 1 AS mom FROM prices {_W}) SELECT ticker, month, round(mom, 6) AS mom, round(percent_rank() OVER (PARTITION BY month ORDER BY mom), 6) AS rank FROM x WHERE mom IS NOT NULL")(
     lambda s, d: prices(s, d).select("ticker", "month", (F.lag("close", 1).over(by()) / F.lag("close", 12).over(by()) - 1).alias("m")).filter("m IS NOT NULL").select("ticker", "month", F.round("m", 6).alias("mom"), F.round(F.percent_rank().over(Window.partitionBy("month").orderBy("m")), 6).alias("rank"))
 )

@@ -40,8 +40,100 @@ def test_cyclic_core(spark):
 
 def test_cheapest(spark):
     e = edges(spark, [(0, 1, 1), (1, 2, 1), (0, 2, 5)])
-    got = graph.cheapest(e, spark.range(1), F.col("weight").cast("double")).collect()
-    assert {(r["node"], r["cost"]) for r in got} == {(0, 0.0), (1, 1.0), (2, 2.0)}
+    got = graph.cheapest(e, spark.range(1), [F.col("weight")]).collect()
+    assert {(r["node"], r["cost"]["c0"]) for r in got} == {(0, 0.0), (1, 1.0), (2, 2.0)}
+
+
+def test_cheapest_compares_costs_one_after_the_other(spark):
+    # two steps of tier 1 and much slack (2, 1800) before one of tier 3 and none
+    e = edges(spark, [(0, 1, 900), (1, 2, 900), (0, 2, 0)])
+    tier = F.when(F.col("weight") > 0, 1).otherwise(3)
+    got = {r["node"]: tuple(r["cost"]) for r in graph.cheapest(e, spark.range(1), [tier, F.col("weight")]).collect()}
+    assert got == {0: (0.0, 0.0), 1: (1.0, 900.0), 2: (2.0, 1800.0)}
+
+
+def test_traps_name_whole_cycles_and_no_dead_ends(spark):
+    # 0 -> 1 -> 2 -> 1 closes a cycle; 3 -> 4 ends
+    e = edges(spark, [(0, 1, 1), (1, 2, 1), (2, 1, 1), (3, 4, 1)])
+    assert {(r["node"], r["walks"]) for r in graph.traps(e).collect()} == {(1, 3), (2, 3)}
+
+
+def test_stop_paths_take_fewest_hops_then_most_weight(spark):
+    e = edges(spark, [(0, 1, 1), (0, 2, 5), (1, 3, 9), (2, 3, 4), (3, 0, 2)])
+    ids = spark.range(4)
+    got = {(r["src"], r["dst"]): (r["hops"], r["weight"]) for r in graph.stop_paths(e, ids.filter("id = 0"), ids).collect()}
+    assert got == {(0, 1): (1, 1), (0, 2): (1, 5), (0, 3): (2, 10)}
+
+
+def test_random_walks_may_leave_a_node_by_another_edge(spark):
+    e = edges(spark, [(0, k, 1) for k in range(1, 9)] + [(k, 0, 1) for k in range(1, 9)])
+    paths = [r["path"] for r in graph.random_walks(e, spark.range(9), 8).collect()]
+    assert all(len(p) == 9 for p in paths)
+    assert len({b for p in paths for a, b in zip(p, p[1:]) if a == 0}) > 3
+    assert sorted(paths) == sorted(r["path"] for r in graph.random_walks(e.repartition(3), spark.range(9), 8).collect())
+
+
+def test_nearest_goals(spark):
+    e = edges(spark, [(0, 1, 1), (1, 2, 1), (3, 0, 1), (4, 2, 1), (4, 5, 1)])
+    got = {r["start"]: (r["distance"], r["node"]) for r in graph.nearest_goals(e, spark.createDataFrame([(2,), (5,)], "id long")).collect()}
+    assert got == {2: (0, 2), 5: (0, 5), 1: (1, 2), 4: (1, 2), 0: (2, 2), 3: (3, 2)}
+
+
+def test_macd_signal(spark):
+    from tessera.operators import series
+
+    closes = [float(10 + (k % 7) * (-1) ** k) for k in range(40)]
+    p = spark.createDataFrame([("a", k, c) for k, c in enumerate(closes)], "ticker string, month int, close double")
+
+    def ema(xs, n):
+        out = [xs[0]]
+        for x in xs[1:]:
+            out.append(out[-1] + (x - out[-1]) * 2 / (n + 1))
+        return out
+
+    macd = [a - b for a, b in zip(ema(closes, 12), ema(closes, 26))]
+    e = series.emas(p, "close", (12, 26)).withColumn("m", F.col("e12") - F.col("e26"))
+    got = {r["month"]: r["e9"] for r in series.emas(e, "m", (9,)).collect()}
+    assert all(abs(got[k] - x) < 1e-9 for k, x in enumerate(ema(macd, 9)))
+
+
+def test_nearest_of_each_is_exact(spark):
+    import numpy as np
+
+    from tessera.operators.search import nearest_of_each
+
+    v = np.random.default_rng(1).normal(size=(60, 4)).round(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = nearest_of_each(df, df.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5, rows=7, asked=2).collect()
+    for q in (0, 20, 40):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1)).round(6)
+        want = np.lexsort((np.arange(60), d))[:5].tolist()
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: (r["distance"], r["vec_id"])) if r["query_id"] == q] == want
+
+
+def test_prefix_pairs_against_brute_force(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = {i: {int(x) for x in rng.integers(0, 14, rng.integers(1, 12))} for i in range(80)}
+    df = spark.createDataFrame([(i, sorted(map(str, x))) for i, x in sets.items()], "id long, items array<string>")
+    for level in (0.4, 0.75, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= level * len(sets[a] | sets[b]) - 1e-9}
+        assert {(r["a"], r["b"]) for r in linking.prefix_pairs(df, level).collect()} == want
+
+
+def test_read_records(spark, tmp_path):
+    from tessera.sources.records import read_records
+
+    (tmp_path / "a.json").write_text('[{"id": "1", "t": "x"}, {"id": "2"}]')
+    (tmp_path / "b.json").write_text('{"findings": [{"id": "3"}], "n": 1}')
+    (tmp_path / "c.jsonl").write_text('{"id": "4"}\n\nnot json\n{"id": "5", "t": "y"}\n')
+    (tmp_path / "d.json").write_text('{"id": "6"}')
+    (tmp_path / "e.json").write_text("")
+    got = read_records(spark, f"file://{tmp_path}", "id string, t string")
+    assert sorted((r["id"], r["t"]) for r in got.collect()) == [("1", "x"), ("2", None), ("3", None), ("4", None), ("5", "y"), ("6", None)]
 
 
 def test_greedy_leaders_follow_the_loop(spark):
@@ -117,3 +209,21 @@ def test_longest_chain_behind_many_prefixes(spark):
     # 5,200 shorter paths come before it in the order of ids
     e = edges(spark, [(0, 1, 1), *[(1, k, 1) for k in range(10, 5210)], (9000, 9001, 1), (9001, 9002, 1), (9002, 9003, 1)])
     assert [(r["length"], r["path"]) for r in graph.longest_chains(e, nodes(spark, 9004), 3).collect()] == [(4, [9000, 9001, 9002, 9003])]
+
+
+def test_page_parts(spark):
+    from tessera.operators.catalogue import page_parts
+
+    html = "<html><head><title> A &amp; B </title><script>var x = '<h1>no</h1>';</script></head><body><nav><a href='/skip'>s</a></nav><h1>One <b>two</b></h1><p>Text &lt;here&gt;</p><!-- <h2>gone</h2> --><a href='/x'>link</a><pre>code  1</pre></body></html>"
+    r = page_parts(spark.createDataFrame([(1, html), (2, "")], "page_id long, html string")).orderBy("page_id").collect()
+    assert (r[0]["title"], r[0]["headings"], r[0]["links"], r[0]["code_blocks"]) == ("A & B", ["One two"], ["/x"], ["code 1"])
+    assert r[0]["text"] == "One two Text <here> link code 1"
+    assert (r[1]["title"], r[1]["headings"], r[1]["text"]) == ("", [], "")
+
+
+def test_markdown_section(spark):
+    body = "# T\n## Notes\nfirst\nsecond\n## More notes here\nthird\n"
+    df = spark.createDataFrame([(body,)], "b string")
+    assert df.select(t.markdown_section(F.col("b"), "notes")).first()[0] == "first\nsecond"
+    assert df.select(t.markdown_section(F.col("b"), "here")).first()[0] == "third"
+    assert df.select(t.markdown_section(F.col("b"), "absent")).first()[0] is None
