@@ -69,3 +69,18 @@ def test_mix_takes_each_row_by_itself(spark, docs):
 def test_empty_documents(spark, docs):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    names = ["size", "taken", "score", "predicted", "held_out", "n_lines", "n_dropped", "_row", "_tie", "target"]
+    mine = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, mine, SF)
+        assert out.columns == mine.columns
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.limit(20).collect() for n in names)
+
+
+def test_a_cut_document_keeps_its_white_space(spark, docs):
+    mixed = p.mix_sources(spark, docs, SF)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert all((texts[r["doc_id"]] or "").startswith(r["text"] or "") for r in mixed.select("doc_id", "text").collect())
