@@ -315,3 +315,58 @@ def iteration_regressions(rows: DataFrame) -> DataFrame:
     """(user_id, it, issue) from quality q per iteration it."""
     r = rows.withColumn("before", F.lag("q").over(Window.partitionBy("user_id").orderBy("it"))).filter("before IS NOT NULL AND (q = 0 OR q < before - 0.5)")
     return r.select("user_id", "it", F.when((F.col("q") == 0) & (F.col("before") == 0), "still broken").when(F.col("q") == 0, "broken").otherwise("dropped").alias("issue"))
+
+
+# Routes by strength and domain, teams by size.
+
+
+def success_by_strength(h: DataFrame, e: DataFrame) -> DataFrame:
+    """(strength, hops, success_rate) of route hops (src, dst, outcome) by the strength of their edges; 'unknown' where there is no edge."""
+    strengths = e.select("src", "dst", "strength")
+    return h.join(strengths, ["src", "dst"], "left").groupBy(F.coalesce("strength", F.lit("unknown")).alias("strength")).agg(F.count("*").alias("hops"), F.round(F.avg((F.col("outcome") == "success").cast("double")), 6).alias("success_rate"))
+
+
+def hop_edges(h: DataFrame, strong: float = 1.05, medium: float = 0.95) -> DataFrame:
+    """(src, dst, strength): edges between stops, strong and medium by how many hops they carry next to the mean edge; edges of a tenth of the mean or less are left out."""
+    n = h.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    # A broadcast of one row.
+    x = n.join(F.broadcast(n.agg(F.avg("n").alias("mean")))).filter(F.col("n") > F.col("mean") / 10)
+    return x.select("src", "dst", F.when(F.col("n") > strong * F.col("mean"), "strong").when(F.col("n") > medium * F.col("mean"), "medium").otherwise("weak").alias("strength"))
+
+
+catalog.add("route_strength_success", f"""WITH {HOPS}, n AS (SELECT src, dst, count(*) AS n FROM hops GROUP BY 1, 2), e AS (SELECT src, dst, CASE WHEN n > 1.05 * m THEN 'strong' WHEN n > 0.95 * m THEN 'medium' ELSE 'weak' END AS strength FROM n, (SELECT avg(n) AS m FROM n) WHERE n > m / 10)
+SELECT coalesce(strength, 'unknown') AS strength, count(*) AS hops, round(avg((outcome = 'success')::INT), 6) AS success_rate FROM hops LEFT JOIN e ON hops.src = e.src AND hops.dst = e.dst GROUP BY 1""")(lambda s, d: (lambda h: success_by_strength(h, hop_edges(h)))(hops(routes(s, d))))
+
+
+def reliability_by_domain(h: DataFrame, e: DataFrame, default: float = 0.8) -> DataFrame:
+    """(domain, edges, untried, reliability): mean success of the edges (src, dst, domain) by the hops over them that succeeded or failed; `default` for edges never tried."""
+    tried = h.filter(F.col("outcome").isin("success", "failure")).groupBy("src", "dst").agg(F.avg((F.col("outcome") == "success").cast("double")).alias("p"))
+    x = e.join(tried, ["src", "dst"], "left")
+    return x.groupBy("domain").agg(F.count("*").alias("edges"), F.count_if(F.col("p").isNull()).alias("untried"), F.round(F.avg(F.coalesce("p", F.lit(default))), 6).alias("reliability"))
+
+
+catalog.add("route_domain_reliability", f"""WITH {HOPS}, e AS (SELECT DISTINCT src, dst, src AS domain FROM hops), t AS (SELECT src, dst, avg((outcome = 'success')::INT) AS p FROM hops WHERE outcome IN ('success', 'failure') GROUP BY 1, 2)
+SELECT domain, count(*) AS edges, count(*) FILTER (p IS NULL) AS untried, round(avg(coalesce(p, 0.8)), 6) AS reliability FROM e LEFT JOIN t ON e.src = t.src AND e.dst = t.dst GROUP BY 1""")(
+    lambda s, d: (lambda h: reliability_by_domain(h, h.select("src", "dst", F.col("src").alias("domain")).distinct()))(hops(routes(s, d)))
+)
+
+
+def weak_teams(teams: DataFrame, most: int = 15, least: float = 0.5) -> DataFrame:
+    """(team, size, efficiency, issue, blockers): teams with a poor outcome, or of more than `most` members whose efficiency lies below `least`."""
+    issue = F.when(F.col("outcome") == "poor", "poor outcome").when((F.col("size") > most) & (F.col("efficiency") < least), "oversized")
+    return teams.select("team", "size", F.round("efficiency", 6).alias("efficiency"), issue.alias("issue"), F.size("blockers").alias("blockers")).filter("issue IS NOT NULL")
+
+
+def _teams(s, d) -> DataFrame:
+    """A channel's day as a team: its users, the share of their purchases and clicks, the kinds of errors' users as blockers."""
+    m = messages(s, d)
+    good = F.avg(F.col("type").isin("purchase", "click").cast("double"))
+    x = m.groupBy(F.concat_ws("/", "channel", F.to_date("ts").cast("string")).alias("team")).agg(F.count_distinct("agent_id").alias("size"), good.alias("efficiency"), F.array_sort(F.collect_set(F.when(F.col("type") == "error", F.concat(F.lit("p"), F.col("priority").cast("string"))))).alias("blockers"))
+    return x.withColumn("outcome", F.when(F.col("efficiency") < 0.3, "poor").otherwise("fair"))
+
+
+_TEAMS = f"{MESSAGES}, t AS (SELECT channel || '/' || ts::DATE::VARCHAR AS team, count(DISTINCT agent_id) AS size, avg((type IN ('purchase', 'click'))::INT) AS eff, coalesce(list(DISTINCT 'p' || priority::VARCHAR) FILTER (type = 'error'), []) AS blockers FROM messages GROUP BY 1)"
+catalog.add("team_weak_links", f"WITH {_TEAMS} SELECT team, size, round(eff, 6) AS efficiency, CASE WHEN eff < 0.3 THEN 'poor outcome' ELSE 'oversized' END AS issue, len(blockers)::INT AS blockers FROM t WHERE eff < 0.3 OR (size > 15 AND eff < 0.5)")(lambda s, d: weak_teams(_teams(s, d)))
+catalog.add("team_blocker_counts", f"WITH {_TEAMS}, b AS (SELECT unnest(blockers) AS blocker, eff FROM t) SELECT blocker, count(*) AS teams, round(avg(eff), 6) AS efficiency FROM b GROUP BY 1")(
+    lambda s, d: _teams(s, d).select(F.explode("blockers").alias("blocker"), "efficiency").groupBy("blocker").agg(F.count("*").alias("teams"), F.round(F.avg("efficiency"), 6).alias("efficiency"))
+)

@@ -546,3 +546,95 @@ def tuning_scores(e: DataFrame, n: DataFrame, target, tunings: dict[str, tuple[f
 
 
 catalog.add("graph_tuning_scores")(lambda s, d: tuning_scores(edges(s, d), nodes(s, d), 5, {"weight": (1.0, 0.0, 0.0), "strength": (0.2, 3.0, 0.2), "tags": (0.2, 0.2, 1.0), "even": (1.0, 1.0, 1.0), "mixed": (1.0, 2.0, 1.0)}))
+
+
+# Failure-aware paths, distances between domains, cycles and topics.
+
+
+def failure_aware(e: DataFrame, starts: DataFrame, default: float = 0.8, risky: float = 0.5) -> DataFrame:
+    """(start, node, cost, reliability, risky_hops): cheapest paths where a hop costs 1 / max(weight, 0.1) * 1 / max(success, 0.05), the most reliable of equals.
+
+    Reliability is the product of the success of the path's hops, `default` where an edge has none; a hop below `risky` is a risky one. Costs and
+    logarithms are summed as whole millionths, so equal paths are equal whatever the order of their hops.
+    """
+    p = F.coalesce("success", F.lit(default))
+    million = lambda c: F.round(c * 1_000_000).cast("double")
+    costs = [million(1 / F.greatest(F.col("weight"), F.lit(0.1)) / F.greatest(p, F.lit(0.05))), million(-F.log(F.greatest(p, F.lit(0.05)))), (p < risky).cast("int")]
+    x = cheapest(e, starts, costs)
+    return x.select("start", "node", F.round(F.col("cost.c0") / 1_000_000, 6).alias("cost"), F.round(F.exp(-F.col("cost.c1") / 1_000_000), 6).alias("reliability"), F.col("cost.c2").cast("int").alias("risky_hops"))
+
+
+def _with_success(s, d) -> DataFrame:
+    """Edges with a success of 0.25 if a line of theirs came back, 0.95 if one was kept, else none."""
+    return edges(s, d).withColumn("success", F.when(F.array_contains("reasons", "flag R"), 0.25).when(F.array_contains("reasons", "flag A"), 0.95))
+
+
+_P = "CASE WHEN list_contains(reasons, 'flag R') THEN 0.25 WHEN list_contains(reasons, 'flag A') THEN 0.95 ELSE 0.8 END::DOUBLE"
+_FA = f"[c[1] + round(1000000 * (1 / greatest(weight, 0.1) / {_P})), c[2] + round(-1000000 * ln({_P})), c[3] + ({_P} < 0.5)::INT]"
+catalog.add("graph_failure_aware", f"WITH RECURSIVE {GRAPH}, {_WALKS.format(zero='[0, 0, 0]::DOUBLE[]', plus=_FA)} SELECT start, node, round(min(c)[1] / 1000000, 6) AS cost, round(exp(-min(c)[2] / 1000000), 6) AS reliability, min(c)[3]::INT AS risky_hops FROM r GROUP BY 1, 2")(
+    lambda s, d: failure_aware(_with_success(s, d), nodes(s, d).filter("id % 500 = 0"))
+)
+
+
+def neighbour_sides(e: DataFrame, a, b) -> DataFrame:
+    """(node, side, weight): out-neighbours of two nodes, as both, only_a or only_b, with the weights added."""
+    x = e.filter(F.col("src").isin(a, b)).groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("n"), F.min("src").alias("m"), F.sum("weight").alias("weight"))
+    return x.select("node", F.when(F.col("n") == 2, "both").when(F.col("m") == a, "only_a").otherwise("only_b").alias("side"), "weight")
+
+
+catalog.add("graph_neighbour_sides", f"WITH {GRAPH} SELECT dst AS node, CASE WHEN count(DISTINCT src) = 2 THEN 'both' WHEN min(src) = 0 THEN 'only_a' ELSE 'only_b' END AS side, sum(weight)::BIGINT AS weight FROM edges WHERE src IN (0, 1) GROUP BY dst")(lambda s, d: neighbour_sides(edges(s, d), 0, 1))
+
+
+def domain_distances(e: DataFrame, n: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """(a, b, pairs, mean): mean hops from the starts in domain a to the nodes of domain b that lie within depth hops."""
+    of = n.select("id", "domain")
+    x = reach(e, starts, depth).filter("distance > 0").join(of.select(F.col("id").alias("start"), F.col("domain").alias("a")), "start").join(of.select(F.col("id").alias("node"), F.col("domain").alias("b")), "node")
+    return x.groupBy("a", "b").agg(F.count("*").alias("pairs"), F.round(F.avg("distance"), 6).alias("mean"))
+
+
+_BFS = "r AS (SELECT id AS start, id AS node, 0 AS h FROM nodes WHERE id % 100 = 0 UNION SELECT start, dst, h + 1 FROM r JOIN edges ON src = node WHERE h < 3), m AS (SELECT start, node, min(h) AS h FROM r GROUP BY 1, 2)"
+catalog.add("graph_domain_distances", f"WITH RECURSIVE {GRAPH}, {_BFS} SELECT a.domain AS a, b.domain AS b, count(*) AS pairs, round(avg(h), 6) AS mean FROM m JOIN nodes a ON start = a.id JOIN nodes b ON node = b.id WHERE h > 0 GROUP BY 1, 2")(
+    lambda s, d: domain_distances(edges(s, d), nodes(s, d), nodes(s, d).filter("id % 100 = 0"))
+)
+
+
+def shortest_cycles(e: DataFrame, starts: DataFrame, most: int = 4) -> DataFrame:
+    """(start, length): hops of the shortest cycle through each start, of those with one of at most `most` hops."""
+    back = e.select(F.col("src").alias("node"), F.col("dst").alias("start"))
+    return reach(e, starts, most - 1).join(back, ["start", "node"], "left_semi").groupBy("start").agg((F.min("distance") + 1).alias("length"))
+
+
+catalog.add("graph_shortest_cycles", f"WITH RECURSIVE {GRAPH}, {_BFS} SELECT start, min(h) + 1 AS length FROM m JOIN edges ON src = node AND dst = start GROUP BY 1")(lambda s, d: shortest_cycles(edges(s, d), nodes(s, d).filter("id % 100 = 0")))
+
+
+def unsupported_edges(e: DataFrame, n: DataFrame, least: int = 7) -> DataFrame:
+    """(src, dst, issue): edges of weight `least` or more without a common tag, and reasons that the other direction's edge doesn't give."""
+    other = e.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("reasons").alias("back"))
+    x = with_domains(e, n).join(other, ["src", "dst"], "left")
+    issues = [F.when((F.col("weight") >= least) & ~F.arrays_overlap("src_tags", "dst_tags"), "no common tag"), F.when(F.size(F.array_except("reasons", "back")) > 0, "one-sided reason")]
+    return x.select("src", "dst", F.explode(F.array_compact(F.array(*issues))).alias("issue"))
+
+
+catalog.add("graph_unsupported_edges", f"WITH {GRAPH}, x AS (SELECT e.src, e.dst, e.weight, a.tags AS p, b.tags AS q, e.reasons AS r, o.reasons AS back FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id LEFT JOIN edges o ON o.src = e.dst AND o.dst = e.src) SELECT src, dst, 'no common tag' AS issue FROM x WHERE weight >= 7 AND NOT list_has_any(p, q) UNION ALL SELECT src, dst, 'one-sided reason' FROM x WHERE back IS NOT NULL AND NOT list_has_all(back, r)")(
+    lambda s, d: unsupported_edges(edges(s, d), nodes(s, d))
+)
+
+
+def topic_clusters(rows: DataFrame, hub_share: float = 0.01) -> DataFrame:
+    """(id, topic): rows (id, words) that share a keyword, directly or through others, in one topic named by its smallest id.
+
+    Keywords in more than hub_share of all rows (but at least in three) are hubs and join nothing. A keyword ties its rows to the smallest of them, so the edges are no more than the postings.
+    """
+    post = rows.select("id", F.explode(F.array_distinct("words")).alias("word"))
+    df = post.groupBy("word").agg(F.count("*").alias("df"), F.min("id").alias("first"))
+    # A broadcast of one row.
+    bound = rows.agg(F.greatest(F.count("*") * hub_share, F.lit(2.0)).alias("most"))
+    firsts = df.join(F.broadcast(bound)).filter((F.col("df") > 1) & (F.col("df") <= F.col("most"))).select("word", "first")
+    star = post.join(firsts, "word").filter("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst")).distinct()
+    return components(star, rows.select("id")).withColumnRenamed("component", "topic")
+
+
+@catalog.add("topic_clusters")
+def _topics(s, d):
+    rows = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), t.keywords(F.col("text"), 4).alias("words"))
+    return topic_clusters(rows)

@@ -249,3 +249,128 @@ _JAC = "CASE WHEN len(list_distinct(list_concat(a.tags, b.tags))) = 0 THEN 0 ELS
 catalog.add("path_quality", f"WITH {GRAPH} SELECT src, round(avg({_JAC}) + 1e-9, 6) AS coherence, sum(weight)::BIGINT AS total_weight, count(*) FILTER (a.domain = b.domain) AS revisits FROM edges {_ENDS} GROUP BY src")(
     lambda s, d: with_domains(edges(s, d), nodes(s, d)).groupBy("src").agg(F.round(F.avg(t.jaccard(F.col("src_tags"), F.col("dst_tags"))) + 1e-9, 6).alias("coherence"), F.sum("weight").alias("total_weight"), F.count_if(F.col("src_domain") == F.col("dst_domain")).alias("revisits"))
 )
+
+
+# Verdicts, stale entries, classes of edges by their reasons.
+
+
+def health_verdict(scores: DataFrame, weights: dict[str, float], group: str) -> DataFrame:
+    """(group, overall, health, passed, warned, failed): FAIL or WARN if a metric has that level, and the mean of the values (0 to 1) by weight of the metrics that have one.
+
+    scores: group, name, value, level (PASS, WARN, FAIL or SKIP).
+    """
+    weight = F.create_map(*[x for n, w in weights.items() for x in (F.lit(n), F.lit(w))])[F.col("name")]
+    x = scores.withColumn("w", F.when((F.col("level") != "SKIP") & F.col("value").isNotNull(), F.coalesce(weight, F.lit(0.0))))
+    n = lambda level: F.count_if(F.col("level") == level)
+    return x.groupBy(group).agg(
+        F.when(n("FAIL") > 0, "FAIL").when(n("WARN") > 0, "WARN").otherwise("PASS").alias("overall"), F.round(F.coalesce(F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0.0)), F.lit(0.0)) + 1e-9, 3).alias("health"),
+        n("PASS").alias("passed"), n("WARN").alias("warned"), n("FAIL").alias("failed"),
+    )
+
+
+#: Weights of the metrics of a network's health.
+HEALTH_WEIGHTS = {"connectivity": 0.25, "strength_coverage": 0.20, "route_success": 0.20, "path_efficiency": 0.15, "tag_coherence": 0.10, "orphan_rate": 0.10}
+
+
+def domain_metrics(e: DataFrame, n: DataFrame) -> DataFrame:
+    """(domain, name, value, level) of the edges that leave each domain: shares of nodes with edges, of strong edges, of two reasons, of other domains reached, tag coherence, and of nodes that nothing reaches."""
+    x = with_domains(e, n)
+    out = x.groupBy(F.col("src_domain").alias("domain")).agg(
+        F.count_distinct("src").alias("sources"), F.avg((F.col("strength") == "strong").cast("double")).alias("strength_coverage"), F.avg((F.size("reasons") >= 2).cast("double")).alias("route_success"),
+        F.avg((F.col("src_domain") != F.col("dst_domain")).cast("double")).alias("path_efficiency"), F.least(F.avg(t.jaccard(F.col("src_tags"), F.col("dst_tags"))) / 0.5, F.lit(1.0)).alias("tag_coherence"),
+    )
+    reached = n.join(e.select(F.col("dst").alias("id")).distinct().withColumn("hit", F.lit(1)), "id", "left").groupBy("domain").agg(F.count("*").alias("nodes"), F.count("hit").alias("hits"))
+    j = reached.join(out, "domain", "left").withColumns({"connectivity": F.coalesce("sources", F.lit(0)) / F.col("nodes"), "orphan_rate": F.col("hits") / F.col("nodes")})
+    long = j.select("domain", F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.col(m).cast("double").alias("value")) for m in HEALTH_WEIGHTS])).alias("m")).select("domain", "m.name", "m.value")
+    v = F.round("value", 9)
+    return long.withColumn("level", F.when(v.isNull(), "SKIP").when(v < 0.2, "FAIL").when(v < 0.5, "WARN").otherwise("PASS"))
+
+
+catalog.add("health_verdict", f"""WITH {GRAPH}, x AS (SELECT a.domain AS domain, src, strength, reasons, b.domain AS other, {{jac}} AS j FROM edges {_ENDS}),
+o AS (SELECT domain, count(DISTINCT src) AS sources, avg((strength = 'strong')::INT) AS sc, avg((len(reasons) >= 2)::INT) AS rs, avg((domain <> other)::INT) AS pe, least(avg(j) / 0.5, 1.0) AS tc FROM x GROUP BY 1),
+r AS (SELECT domain, count(*) AS nodes, count(*) FILTER (id IN (SELECT dst FROM edges)) AS hits FROM nodes GROUP BY 1),
+l AS (SELECT r.domain, unnest([coalesce(sources, 0) / nodes, sc, rs, pe, tc, hits / nodes]) AS v, unnest([0.25, 0.2, 0.2, 0.15, 0.1, 0.1]) AS w FROM r LEFT JOIN o ON r.domain = o.domain),
+g AS (SELECT *, CASE WHEN v IS NULL THEN 'SKIP' WHEN round(v, 9) < 0.2 THEN 'FAIL' WHEN round(v, 9) < 0.5 THEN 'WARN' ELSE 'PASS' END AS level FROM l)
+SELECT domain, CASE WHEN count(*) FILTER (level = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (level = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS overall, round(coalesce(sum(w::DOUBLE * v) / sum(w::DOUBLE) FILTER (v IS NOT NULL), 0) + 1e-9, 3) AS health,
+ count(*) FILTER (level = 'PASS') AS passed, count(*) FILTER (level = 'WARN') AS warned, count(*) FILTER (level = 'FAIL') AS failed FROM g GROUP BY domain""".replace("{jac}", _JAC))(
+    lambda s, d: health_verdict(domain_metrics(edges(s, d), nodes(s, d)), HEALTH_WEIGHTS, "domain")
+)
+
+
+def reasoned_class(weight: Column, reasons: Column, pair: Column, upgrades: Sequence[str], bridge: str) -> Column:
+    """Class of an edge by weight, reason types and domain pair ('A|B', sorted): primary, supporting, related or tangential.
+
+    Primary from weight 7, supporting from 5, related from 2; at 4 an explicit reference, or category and tags together, support; at 1 a tag
+    bridge, an explicit reference or the pair `bridge` relate. An explicit reference lifts what is not related or primary by one
+    class in the pairs `upgrades`.
+    """
+    has = lambda r: F.array_contains(reasons, r)
+    both = has("category_affinity") & has("shared_tags")
+    tier = F.when(weight >= 7, 3).when(weight >= 5, 2).when(weight == 4, F.when(both | has("explicit_reference"), 2).otherwise(1)).when(weight >= 2, 1)
+    tier = tier.when((weight == 1) & (has("tag_bridge") | has("explicit_reference") | (pair == bridge)), 1).otherwise(0)
+    tier = tier + F.when(pair.isin(*upgrades) & has("explicit_reference") & tier.isin(0, 2), 1).otherwise(0)
+    return F.element_at(F.array(*map(F.lit, ("tangential", "related", "supporting", "primary"))), (tier + 1).cast("int"))
+
+
+#: How the tables' line flags stand for reason types.
+_TYPES = (("flag A", "explicit_reference"), ("flag N", "shared_tags"), ("flag R", "category_affinity"))
+_UPGRADES, _BRIDGE = ("Brand#1|Brand#2", "Brand#3|Brand#4"), "Brand#5|Brand#6"
+
+
+def _reasoned(s, d) -> DataFrame:
+    types = F.array_compact(F.array(*[F.when(F.array_contains("reasons", a), b) for a, b in _TYPES]))
+    pair = F.array_join(F.array_sort(F.array("src_domain", "dst_domain")), "|")
+    return with_domains(edges(s, d), nodes(s, d)).withColumn("class", reasoned_class(F.col("weight"), types, pair, _UPGRADES, _BRIDGE)).groupBy(pair.alias("pair"), "class").agg(F.count("*").alias("n"))
+
+
+catalog.add("edge_reason_classes", f"""WITH {GRAPH}, x AS (SELECT weight, list_contains(reasons, 'flag A') AS e, list_contains(reasons, 'flag N') AS s, list_contains(reasons, 'flag R') AS c, least(a.domain, b.domain) || '|' || greatest(a.domain, b.domain) AS pair FROM edges {_ENDS}),
+y AS (SELECT *, CASE WHEN weight >= 7 THEN 3 WHEN weight >= 5 THEN 2 WHEN weight = 4 THEN CASE WHEN e OR (s AND c) THEN 2 ELSE 1 END WHEN weight >= 2 THEN 1 WHEN weight = 1 AND (e OR pair = '{_BRIDGE}') THEN 1 ELSE 0 END AS tier FROM x)
+SELECT pair, ['tangential', 'related', 'supporting', 'primary'][tier + CASE WHEN e AND pair IN {_UPGRADES} AND tier IN (0, 2) THEN 1 ELSE 0 END + 1] AS class, count(*) AS n FROM y GROUP BY 1, 2""")(_reasoned)
+
+
+def stale_entries(e: DataFrame, as_of: Column, days: int, faults: str, fixes: str) -> DataFrame:
+    """(id, issue): entries left in draft for more than `days` days, and those whose text speaks of a fault and of no fix."""
+    text = F.lower(F.coalesce("body", F.lit("")))
+    issues = [F.when((F.col("status") == "draft") & (F.datediff(as_of, F.col("created")) > days), "stale draft"), F.when(text.rlike(faults) & ~text.rlike(fixes), "open fault")]
+    return e.select("id", F.explode(F.array_compact(F.array(*issues))).alias("issue"))
+
+
+_FAULTS, _FIXES = r"\b(bug|broken|error|fail)", r"\b(fix|solved|resolved|worked)"
+catalog.add("stale_entries", f"WITH {ENTRIES}, x AS (SELECT id, status = 'draft' AND DATE '2024-12-31' - created > 180 AS s, regexp_matches(lower(coalesce(body, '')), '{_FAULTS}') AND NOT regexp_matches(lower(coalesce(body, '')), '{_FIXES}') AS f FROM entries) SELECT id, 'stale draft' AS issue FROM x WHERE s UNION ALL SELECT id, 'open fault' FROM x WHERE f")(
+    lambda s, d: stale_entries(entries(s, d), F.lit("2024-12-31").cast("date"), 180, _FAULTS, _FIXES)
+)
+catalog.add("pick_issues", "WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS direction, l_extendedprice AS entry, l_extendedprice * (1 + l_discount - l_tax) AS target FROM lineitem) SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN l_returnflag NOT IN ('A', 'R') THEN 'method' END, CASE WHEN entry <= 0 OR target <= 0 THEN 'price' END, CASE WHEN (direction = 'long' AND target <= entry) OR (direction = 'short' AND target >= entry) THEN 'order' END], lambda x: x IS NOT NULL)) AS issue FROM p")(
+    lambda s, d: pick_issues(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("method"), F.when(F.col("l_returnflag") == "R", "short").otherwise("long").alias("direction"), F.col("l_extendedprice").alias("entry"), (F.col("l_extendedprice") * (1 + F.col("l_discount") - F.col("l_tax"))).alias("target")), ["l_orderkey", "l_linenumber"], ["A", "R"])
+)
+
+
+def pick_issues(picks: DataFrame, key: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    """A row per fault of a pick: a method that isn't known, a price that isn't positive, a target on the wrong side of the entry."""
+    wrong = ((F.col("direction") == "long") & (F.col("target") <= F.col("entry"))) | ((F.col("direction") == "short") & (F.col("target") >= F.col("entry")))
+    issues = [F.when(~F.col("method").isin(*methods), "method"), F.when((F.col("entry") <= 0) | (F.col("target") <= 0), "price"), F.when(wrong, "order")]
+    return picks.select(*key, F.explode(F.array_compact(F.array(*issues))).alias("issue"))
+
+
+def name_hints(rows: DataFrame, key: str, name: str, known: Sequence[str], most: int = 3) -> DataFrame:
+    """(key, name, hint): names that aren't known, with the nearest known one within `most` edits, the first by name of equals."""
+    near = F.array_min(F.array(*[F.struct(F.levenshtein(F.col(name), F.lit(k)).alias("d"), F.lit(k).alias("k")) for k in sorted(known)]))
+    x = rows.filter(F.col(name).isNotNull() & ~F.col(name).isin(*known)).withColumn("_n", near)
+    return x.select(key, name, F.when(F.col("_n.d") <= most, F.col("_n.k")).alias("hint"))
+
+
+catalog.add("name_hints", "WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN substr(p_type, 2) WHEN p_partkey % 7 = 0 THEN p_type || 'x' ELSE p_type END AS name FROM part), k AS (SELECT unnest(['ECONOMY', 'PROMO', 'STANDARD', 'LARGE', 'SMALL', 'MEDIUM']) AS k), h AS (SELECT p_partkey, name, min((levenshtein(name, k), k)) AS b FROM x, k WHERE name NOT IN (SELECT k FROM k) GROUP BY 1, 2) SELECT p_partkey, name, CASE WHEN b[1] <= 3 THEN b[2] END AS hint FROM h")(
+    lambda s, d: name_hints(table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.expr("substr(p_type, 2)")).when(F.col("p_partkey") % 7 == 0, F.concat("p_type", F.lit("x"))).otherwise(F.col("p_type")).alias("name")), "p_partkey", "name", ["ECONOMY", "PROMO", "STANDARD", "LARGE", "SMALL", "MEDIUM"])
+)
+
+
+def result_richness() -> Column:
+    """0 to 100 from results (1 each, 30 at most), sources (2, 20), rich texts (2, 20), corroborated ones (3, 10), citations (1 per hundred, 5) and active methods (3, 15)."""
+    cap = lambda c, per, most: F.least(F.col(c) * per, F.lit(most))
+    return F.least(cap("results", 1, 30) + cap("sources", 2, 20) + cap("rich", 2, 20) + cap("corroborated", 3, 10) + F.least(F.floor(F.col("citations") / 100), F.lit(5)) + cap("methods", 3, 15), F.lit(100))
+
+
+catalog.add("result_richness", "WITH d AS (SELECT doc_id, source, lang, text, n_chars, count(*) OVER (PARTITION BY sha256(text)) > 1 AS c FROM documents), g AS (SELECT lang, count(*) AS r, count(DISTINCT source) AS s, count(*) FILTER (length(text) > 50) AS t, count(*) FILTER (c) AS c, sum(n_chars) AS n FROM d GROUP BY lang) SELECT lang, least(least(r, 30) + least(s * 2, 20) + least(t * 2, 20) + least(c * 3, 10) + least(n // 100, 5) + least(s * 3, 15), 100)::BIGINT AS score FROM g")(
+    lambda s, d: (lambda x: x.groupBy("lang").agg(F.count("*").alias("results"), F.count_distinct("source").alias("sources"), F.count_distinct("source").alias("methods"), F.count_if(F.length("text") > 50).alias("rich"), F.count_if("repeated").alias("corroborated"), F.sum("n_chars").alias("citations")).select("lang", result_richness().cast("long").alias("score")))(
+        (lambda docs: docs.join(docs.groupBy("h").agg((F.count("*") > 1).alias("repeated")), "h"))(table(s, d, "documents").select("lang", "source", "text", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("h")))
+    )
+)

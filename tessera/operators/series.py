@@ -159,3 +159,77 @@ def pick_outcomes(picks: DataFrame, p: DataFrame) -> DataFrame:
 catalog.add("pick_outcomes", f"WITH {PRICES}, k AS (SELECT ticker, month, close * 1.9 AS target, close * 0.03 AS stop FROM prices), j AS (SELECT k.ticker, k.month, p.month AS hit_month, CASE WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' END AS hit FROM k JOIN prices p ON k.ticker = p.ticker AND p.month > k.month) SELECT ticker, month, arg_min(hit, hit_month) AS hit, min(hit_month) AS hit_month FROM j WHERE hit IS NOT NULL GROUP BY 1, 2")(
     lambda s, d: pick_outcomes(prices(s, d).select("ticker", "month", (F.col("close") * 1.9).alias("target"), (F.col("close") * 0.03).alias("stop")), prices(s, d))
 )
+
+
+# Growth, extremes and returns.
+
+
+def growth(p: DataFrame, value: str) -> DataFrame:
+    """(ticker, month, mom, yoy, signal): growth on the row before and on the one a year before; 'accelerating' if the first is above the second's monthly share."""
+    x = p.select("ticker", "month", (F.col(value) / F.nullif(F.lag(value, 1).over(by()), F.lit(0.0)) - 1).alias("mom"), (F.col(value) / F.nullif(F.lag(value, 12).over(by()), F.lit(0.0)) - 1).alias("yoy")).filter("mom IS NOT NULL AND yoy IS NOT NULL")
+    x = x.select("ticker", "month", F.round("mom", 6).alias("mom"), F.round("yoy", 6).alias("yoy"))
+    return x.withColumn("signal", F.when((F.col("yoy") > 0) & (F.col("mom") * 12 > F.col("yoy")), "accelerating").when(F.col("yoy") > 0, "growing").otherwise("shrinking"))
+
+
+catalog.add("sales_growth", f"WITH {PRICES}, x AS (SELECT ticker, month, round(volume / nullif(lag(volume, 1) OVER w, 0) - 1, 6) AS mom, round(volume / nullif(lag(volume, 12) OVER w, 0) - 1, 6) AS yoy FROM prices {_W}) SELECT *, CASE WHEN yoy > 0 AND mom * 12 > yoy THEN 'accelerating' WHEN yoy > 0 THEN 'growing' ELSE 'shrinking' END AS signal FROM x WHERE mom IS NOT NULL AND yoy IS NOT NULL")(
+    lambda s, d: growth(prices(s, d), "volume")
+)
+
+
+def leverage_screen(x: DataFrame, most: float = 2.0) -> DataFrame:
+    """(id, leverage, margin, flag): debt by equity and margin of each row (id, debt, equity, revenue, cost); highly levered beyond `most`, thin below the median margin."""
+    y = x.filter("equity > 0 AND revenue > 0").select("id", F.round(F.col("debt") / F.col("equity"), 6).alias("leverage"), F.round((F.col("revenue") - F.col("cost")) / F.col("revenue"), 6).alias("margin"))
+    # A broadcast of one row.
+    flag = F.when(F.col("leverage") > most, "levered").when(F.col("margin") < F.col("mid"), "thin").otherwise("sound")
+    return y.join(F.broadcast(y.agg(F.median("margin").alias("mid")))).select("id", "leverage", "margin", flag.alias("flag"))
+
+
+catalog.add("leverage_screen", """WITH x AS (SELECT o_custkey AS id, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS debt, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS equity, sum(o_totalprice) AS revenue, sum(o_totalprice) FILTER (o_orderstatus <> 'F') AS cost FROM orders GROUP BY 1),
+y AS (SELECT id, round(debt / equity, 6) AS leverage, round((revenue - cost) / revenue, 6) AS margin FROM x WHERE equity > 0 AND revenue > 0) SELECT *, CASE WHEN leverage > 2 THEN 'levered' WHEN margin < (SELECT median(margin) FROM y) THEN 'thin' ELSE 'sound' END AS flag FROM y""")(
+    lambda s, d: leverage_screen((lambda o: o.groupBy(F.col("o_custkey").alias("id")).agg(*[F.sum(F.when(c, F.col("o_totalprice"))).alias(n) for n, c in (("debt", F.col("o_orderstatus") == "O"), ("equity", F.col("o_orderstatus") == "F"), ("revenue", F.lit(True)), ("cost", F.col("o_orderstatus") != "F"))]))(table(s, d, "orders")))
+)
+
+
+def sentiment_extremes(days: DataFrame, high: float = 1.5) -> DataFrame:
+    """(day, share, z, level): the bullish share of each day's bullish and bearish rows, its z-score in its month, and whether that is an extreme, which a contrarian reads the other way."""
+    month = Window.partitionBy(F.trunc("day", "month"))
+    x = days.filter("bull + bear > 0").withColumn("share", F.col("bull") / (F.col("bull") + F.col("bear")))
+    z = (F.col("share") - F.avg("share").over(month)) / F.nullif(F.stddev_samp("share").over(month), F.lit(0.0))
+    x = x.select("day", F.round("share", 6).alias("share"), (F.round(z, 4) + 0.0).alias("z"))
+    return x.withColumn("level", F.when(F.col("z") > high, "greed").when(F.col("z") < -high, "fear").otherwise("neutral"))
+
+
+catalog.add("sentiment_extremes", """WITH d AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'purchase') AS bull, count(*) FILTER (event_type = 'error') AS bear FROM events GROUP BY 1), x AS (SELECT day, bull / (bull + bear) AS share FROM d WHERE bull + bear > 0),
+z AS (SELECT day, round(share, 6) AS share, round((share - avg(share) OVER m) / nullif(stddev_samp(share) OVER m, 0), 4) + 0 AS z FROM x WINDOW m AS (PARTITION BY date_trunc('month', day))) SELECT *, CASE WHEN z > 1.5 THEN 'greed' WHEN z < -1.5 THEN 'fear' ELSE 'neutral' END AS level FROM z""")(
+    lambda s, d: sentiment_extremes(table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "purchase").alias("bull"), F.count_if(F.col("event_type") == "error").alias("bear")))
+)
+
+
+def pick_returns(picks: DataFrame, p: DataFrame) -> DataFrame:
+    """Per method: picks, those open (no hit), wins, the share of wins among closed picks and their mean return.
+
+    picks: ticker, month, method, direction (long or short), entry, target, stop. A pick closes at its target or stop, whichever comes first; a short one gains by a fall.
+    """
+    long = F.col("k.direction") == "long"
+    at_stop, at_target = F.when(long, F.col("p.low") <= F.col("k.stop")).otherwise(F.col("p.high") >= F.col("k.stop")), F.when(long, F.col("p.high") >= F.col("k.target")).otherwise(F.col("p.low") <= F.col("k.target"))
+    hit = F.when(at_stop, "stop").when(at_target, "target")
+    j = picks.alias("k").join(p.alias("p"), (F.col("k.ticker") == F.col("p.ticker")) & (F.col("p.month") > F.col("k.month"))).select("k.ticker", "k.month", "p.month", hit.alias("hit")).toDF("ticker", "month", "hit_month", "hit").filter("hit IS NOT NULL")
+    first = j.groupBy("ticker", "month").agg(F.min_by("hit", "hit_month").alias("hit"))
+    x = picks.join(first, ["ticker", "month"], "left").withColumn("out", F.when(F.col("hit") == "stop", F.col("stop")).when(F.col("hit") == "target", F.col("target")))
+    x = x.withColumn("gain", F.when(F.col("direction") == "long", F.col("out") / F.col("entry") - 1).otherwise(1 - F.col("out") / F.col("entry")))
+    return x.groupBy("method").agg(F.count("*").alias("picks"), F.count_if(F.col("hit").isNull()).alias("open"), F.count_if(F.col("hit") == "target").alias("wins"), F.round(F.count_if(F.col("hit") == "target") / F.nullif(F.count("hit"), F.lit(0)), 6).alias("win_rate"), F.round(F.avg("gain"), 6).alias("mean_return"))
+
+
+catalog.add("pick_returns", f"""WITH {PRICES}, k AS (SELECT ticker, month, CASE WHEN volume % 3 < 1 THEN 'technical' WHEN volume % 3 < 2 THEN 'fundamental' ELSE 'sentiment' END AS method, CASE WHEN volume % 2 < 1 THEN 'long' ELSE 'short' END AS direction, close AS entry,
+ CASE WHEN volume % 2 < 1 THEN close * 1.9 ELSE close * 0.05 END AS target, CASE WHEN volume % 2 < 1 THEN close * 0.03 ELSE close * 1.95 END AS stop FROM prices),
+j AS (SELECT k.ticker, k.month, p.month AS hit_month, CASE WHEN direction = 'long' THEN CASE WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' END ELSE CASE WHEN high >= stop THEN 'stop' WHEN low <= target THEN 'target' END END AS hit FROM k JOIN prices p ON k.ticker = p.ticker AND p.month > k.month),
+f AS (SELECT ticker, month, arg_min(hit, hit_month) AS hit FROM j WHERE hit IS NOT NULL GROUP BY 1, 2), x AS (SELECT k.*, hit, CASE hit WHEN 'stop' THEN stop WHEN 'target' THEN target END AS o FROM k LEFT JOIN f ON k.ticker = f.ticker AND k.month = f.month)
+SELECT method, count(*) AS picks, count(*) FILTER (hit IS NULL) AS open, count(*) FILTER (hit = 'target') AS wins, round(count(*) FILTER (hit = 'target') / nullif(count(hit), 0), 6) AS win_rate, round(avg(CASE WHEN direction = 'long' THEN o / entry - 1 ELSE 1 - o / entry END), 6) AS mean_return FROM x GROUP BY method""")(
+    lambda s, d: pick_returns(
+        prices(s, d).select(
+            "ticker", "month", F.when(F.col("volume") % 3 < 1, "technical").when(F.col("volume") % 3 < 2, "fundamental").otherwise("sentiment").alias("method"), F.when(F.col("volume") % 2 < 1, "long").otherwise("short").alias("direction"), F.col("close").alias("entry"),
+            F.when(F.col("volume") % 2 < 1, F.col("close") * 1.9).otherwise(F.col("close") * 0.05).alias("target"), F.when(F.col("volume") % 2 < 1, F.col("close") * 0.03).otherwise(F.col("close") * 1.95).alias("stop"),
+        ),
+        prices(s, d),
+    )
+)

@@ -213,3 +213,95 @@ def read_log(spark, path: str, schema: str) -> DataFrame:
 def first_sightings(m: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A stream without repeats of an id that come within the delay, and without later rows."""
     return m.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+
+
+# Timers, acknowledgements and health over a whole log.
+
+
+def next_after(rows: DataFrame, key: str, wanted: Column, from_: Column, least: int = 1) -> DataFrame:
+    """rows with next_at (microseconds): the first later time, by at least `least` microseconds, of a row of the key that is wanted; null where from_ is not set.
+
+    One sort per key, latest first, so that each row sees the running minimum of what comes after it.
+    """
+    w = Window.partitionBy(key).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -least)
+    return rows.withColumn("next_at", F.when(from_, F.min(F.when(wanted, F.col("at"))).over(w)))
+
+
+def timer_log(m: DataFrame, timeouts: dict[str, int], cancel: str, ack: str) -> DataFrame:
+    """(agent_id, id, type, expires, status) of every timer that a row of a type in timeouts (seconds) starts, as of the last row of the log.
+
+    A timer is cancelled by a later cancel row of its agent before it expires, and has else fired if it expired; a fired one is
+    acknowledged by an ack row at or after its end. All others are active. No later row of the agent is needed to fire one.
+    """
+    start = F.col("type").isin(*timeouts)
+    seconds = F.lit(0)
+    for kind, n in timeouts.items():
+        seconds = F.when(F.col("type") == kind, F.lit(n)).otherwise(seconds)
+    rows = next_after(m.select("agent_id", "id", "type", F.unix_micros("ts").alias("at")), "agent_id", F.col("type") == cancel, start)
+    begun = rows.filter(start).withColumn("expires", F.col("at") + seconds.cast("long") * 1_000_000).withColumn("cancelled", F.coalesce(F.col("next_at") < F.col("expires"), F.lit(False)))
+    ends = begun.select("agent_id", "id", "type", F.col("expires").alias("at"), F.lit(True).alias("timer"), "cancelled").unionByName(rows.filter(F.col("type") == ack).select("agent_id", "id", "type", "at", F.lit(False).alias("timer"), F.lit(False).alias("cancelled")))
+    ended = next_after(ends, "agent_id", ~F.col("timer"), F.col("timer"), least=0).filter("timer")
+    # A broadcast of one row.
+    now = m.agg(F.unix_micros(F.max("ts")).alias("now"))
+    status = F.when(F.col("cancelled"), "cancelled").when(F.col("at") > F.col("now"), "active").when(F.col("next_at").isNotNull(), "acknowledged").otherwise("fired")
+    return ended.join(F.broadcast(now)).select("agent_id", "id", "type", F.timestamp_micros("at").cast("timestamp_ntz").alias("expires"), status.alias("status"))
+
+
+_TIMERS = f"""{MESSAGES}, t AS (SELECT agent_id, id, type, ts, ts + CASE type WHEN 'signup' THEN INTERVAL 12 HOUR ELSE INTERVAL 24 HOUR END AS expires FROM messages WHERE type IN ('signup', 'error')),
+c AS (SELECT t.id, min(m.ts) AS cancel FROM t JOIN messages m ON m.agent_id = t.agent_id AND m.type = 'purchase' AND m.ts > t.ts GROUP BY t.id),
+k AS (SELECT t.id, min(m.ts) AS ack FROM t JOIN messages m ON m.agent_id = t.agent_id AND m.type = 'click' AND m.ts >= t.expires GROUP BY t.id),
+l AS (SELECT t.agent_id, t.id, t.type, t.expires, CASE WHEN coalesce(cancel < expires, false) THEN 'cancelled' WHEN expires > {_ASOF} THEN 'active' WHEN ack IS NOT NULL THEN 'acknowledged' ELSE 'fired' END AS status FROM t LEFT JOIN c ON t.id = c.id LEFT JOIN k ON t.id = k.id)"""
+_timers = lambda s, d: timer_log(messages(s, d), {"signup": 43_200, "error": 86_400}, "purchase", "click")
+catalog.add("bus_timer_log", f"WITH {_TIMERS} SELECT * FROM l")(_timers)
+catalog.add("bus_timer_summary", f"WITH {_TIMERS} SELECT status, type, count(*) AS n FROM l GROUP BY 1, 2")(lambda s, d: _timers(s, d).groupBy("status", "type").agg(F.count("*").alias("n")))
+
+
+def ack_statistics(m: DataFrame, sent: str, ack: str, wait: int, retries: int = 3) -> DataFrame:
+    """Per team: messages sent, acknowledged by their agent within (1 + retries) waits of `wait` seconds, still pending, failed; the retries that they took and the mean wait.
+
+    A message is sent again after each wait without an acknowledgement, `retries` times at most.
+    """
+    rows = next_after(m.select("agent_id", "team", "type", F.unix_micros("ts").alias("at")), "agent_id", F.col("type") == ack, F.col("type") == sent)
+    now = m.agg(F.unix_micros(F.max("ts")).alias("now"))
+    x = rows.filter(F.col("type") == sent).join(F.broadcast(now))
+    took = (F.col("next_at") - F.col("at")) / 1_000_000
+    x = x.withColumn("took", F.when(took <= wait * (1 + retries), took)).withColumn("age", (F.col("now") - F.col("at")) / 1_000_000)
+    x = x.withColumn("tries", F.least(F.lit(retries), F.floor(F.coalesce("took", "age") / wait)).cast("int"))
+    lost = F.col("took").isNull() & (F.col("age") > wait * (1 + retries))
+    return x.groupBy("team").agg(
+        F.count("*").alias("sent"), F.count("took").alias("acknowledged"), F.count_if(lost).alias("failed"), F.count_if(F.col("took").isNull() & ~lost).alias("pending"),
+        F.sum("tries").alias("retries"), F.round(F.avg("took"), 4).alias("mean_seconds"),
+    )
+
+
+catalog.add("bus_ack_statistics", f"""WITH {MESSAGES}, a AS (SELECT s.id, s.team, s.ts, min(a.ts) AS ack FROM messages s LEFT JOIN messages a ON a.agent_id = s.agent_id AND a.type = 'purchase' AND a.ts > s.ts WHERE s.type = 'click' GROUP BY ALL),
+b AS (SELECT team, (epoch_us(ack) - epoch_us(ts)) / 1000000 AS took, (epoch_us({_ASOF}) - epoch_us(ts)) / 1000000 AS age FROM a),
+x AS (SELECT team, CASE WHEN took <= 172800 THEN took END AS took, age FROM b)
+SELECT team, count(*) AS sent, count(took) AS acknowledged, count(*) FILTER (took IS NULL AND age > 172800) AS failed, count(*) FILTER (took IS NULL AND age <= 172800) AS pending,
+ sum(least(3, floor(coalesce(took, age) / 43200)))::BIGINT AS retries, round(avg(took), 4) AS mean_seconds FROM x GROUP BY team""")(lambda s, d: ack_statistics(messages(s, d), "click", "purchase", 43_200))
+
+
+def window_percentiles(m: DataFrame, span: str, seconds: int) -> DataFrame:
+    """Per channel and window: messages per second, 50th, 95th and 99th percentile of value, the share of retries (priority 3) and the level that these give."""
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    retry = F.avg((F.col("priority") == 3).cast("double"))
+    x = m.groupBy("channel", F.window("ts", span).alias("w")).agg(F.round(F.count("*") / seconds, 6).alias("per_second"), p.alias("p"), F.round(retry, 6).alias("retry_share"))
+    level = F.when(F.col("retry_share") > 0.6, "critical").when(F.col("retry_share") > 0.4, "warning").otherwise("ok")
+    return x.select("channel", F.col("w.start").cast("timestamp_ntz").alias("start"), "per_second", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "retry_share", level.alias("level"))
+
+
+catalog.add("bus_window_percentiles", f"WITH {MESSAGES}, x AS (SELECT channel, date_trunc('hour', ts) AS start, round(count(*) / 3600, 6) AS per_second, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg((priority = 3)::INT), 6) AS retry_share FROM messages GROUP BY 1, 2) SELECT *, CASE WHEN retry_share > 0.6 THEN 'critical' WHEN retry_share > 0.4 THEN 'warning' ELSE 'ok' END AS level FROM x")(
+    lambda s, d: window_percentiles(messages(s, d), "1 hour", 3600)
+)
+
+
+def agent_health(m: DataFrame, done: str, dead: str, stale_after: int, dead_after: int) -> DataFrame:
+    """(agent_id, health): done or dead by an agent's last status, dead or stale by the age of its last row in seconds, else ok."""
+    x = m.groupBy("agent_id").agg(F.max_by("type", F.struct("ts", "id")).alias("status"), F.max("ts").alias("seen")).join(as_of(m))
+    age = F.unix_micros("as_of") - F.unix_micros("seen")
+    return x.select("agent_id", F.when(F.col("status") == done, "done").when((F.col("status") == dead) | (age > dead_after * 1_000_000), "dead").when(age > stale_after * 1_000_000, "stale").otherwise("ok").alias("health"))
+
+
+catalog.add("bus_agent_health", f"WITH {MESSAGES}, x AS (SELECT agent_id, arg_max(type, (ts, id)) AS status, epoch_us({_ASOF}) - epoch_us(max(ts)) AS age FROM messages GROUP BY agent_id) SELECT agent_id, CASE WHEN status = 'purchase' THEN 'done' WHEN status = 'error' OR age > 86400000000 THEN 'dead' WHEN age > 21600000000 THEN 'stale' ELSE 'ok' END AS health FROM x")(
+    lambda s, d: agent_health(messages(s, d), "purchase", "error", 21_600, 86_400)
+)

@@ -227,3 +227,33 @@ def test_markdown_section(spark):
     assert df.select(t.markdown_section(F.col("b"), "notes")).first()[0] == "first\nsecond"
     assert df.select(t.markdown_section(F.col("b"), "here")).first()[0] == "third"
     assert df.select(t.markdown_section(F.col("b"), "absent")).first()[0] is None
+
+
+def test_topics_join_rows_through_rare_words(spark):
+    rows = spark.createDataFrame(
+        [(1, ["bolt", "hub"]), (2, ["bolt", "gear", "hub"]), (3, ["gear", "gear"]), (4, ["hub"]), (5, []), (6, None), (7, ["lone", "hub"]), (8, ["hub"])], "id long, words array<string>"
+    )
+    got = {r["id"]: r["topic"] for r in graph.topic_clusters(rows, hub_share=0.3).collect()}
+    # "hub" stands in five of eight rows and joins nothing
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
+def test_timers_fire_without_a_later_row(spark):
+    rows = [(1, 1, "start", 0), (1, 2, "stop", 30), (2, 3, "start", 0), (3, 4, "start", 10), (3, 5, "seen", 70), (4, 6, "start", 90), (5, 7, "start", 0), (5, 8, "stop", 60), (6, 9, "other", 100)]
+    m = spark.createDataFrame(rows, "agent_id long, id long, type string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    got = {r["id"]: r["status"] for r in monitors.timer_log(m, {"start": 60}, "stop", "seen").collect()}
+    # a stop at the very end comes too late
+    assert got == {1: "cancelled", 3: "fired", 4: "acknowledged", 6: "active", 7: "fired"}
+
+
+def test_unanswered_messages_are_retried_then_lost(spark):
+    rows = [(1, "t", "sent", 0), (1, "t", "ack", 25), (2, "t", "sent", 0), (3, "t", "sent", 95), (4, "t", "sent", 0), (4, "t", "ack", 90), (5, "t", "other", 100)]
+    m = spark.createDataFrame(rows, "agent_id long, team string, type string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    r = monitors.ack_statistics(m, "sent", "ack", 10, retries=3).first()
+    assert (r["sent"], r["acknowledged"], r["failed"], r["pending"], r["retries"], r["mean_seconds"]) == (4, 1, 2, 1, 8, 25.0)
+
+
+def test_path_reliability_is_the_product_of_its_hops(spark):
+    e = spark.createDataFrame([(0, 1, 10, 0.9), (1, 2, 10, 0.4), (0, 2, 1, 0.9), (2, 3, 5, None)], "src long, dst long, weight int, success double")
+    got = {r["node"]: (r["cost"], r["reliability"], r["risky_hops"]) for r in graph.failure_aware(e, spark.range(1)).collect()}
+    assert got == {0: (0.0, 1.0, 0), 1: (0.111111, 0.9, 0), 2: (0.361111, 0.36, 1), 3: (0.611111, 0.288, 1)}
