@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, jaccard, licenses, linededup, lm, mixing, packing, quality, sharding, toxicity
+from tessera.llm import bpe, fingerprints, jaccard, licenses, linededup, lm, mixing, packing, phrases, quality, ranked, sharding, toxicity
 from tessera.plans import Catalog, table
 
 
@@ -20,4 +20,7 @@ def build() -> Catalog:
     found.add("op8_jaccard_join")(lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")))
     found.add("op9_quality")(lambda spark, d: quality.quality_rules(table(spark, d, "documents")))
     found.add("op10_packing")(lambda spark, d: packing.pack_documents(table(spark, d, "documents")))
+    found.add("op11_bpe")(lambda spark, d: bpe.codec_digest(table(spark, d, "documents")))
+    found.add("op12_phrases", phrases.PHRASES_SQL)(lambda spark, d: phrases.mine_phrases(table(spark, d, "documents")))
+    found.add("op13_ranked_search", ranked.RANKED_SQL)(lambda spark, d: ranked.search_documents(table(spark, d, "documents"), table(spark, d, "benchmark")))
     return found
