@@ -6,18 +6,23 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
-def kept(df: DataFrame, name: str = "round") -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read back; only a local master may leave that unset, and gets a folder of our own."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tessera_loops", None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; only a local master may leave that unset, and gets a folder of our own."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tessera_loops", None)
+    if not found:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = sc._tessera_loops = "file://" + tempfile.mkdtemp(prefix="tessera-loops-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = sc._tessera_loops = "file://" + tempfile.mkdtemp(prefix="tessera-loops-")
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame, name: str = "round") -> DataFrame:
+    """df written as Parquet to the shared folder and read back."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,9 @@ FAMILIES = (
     "tessera.operators.quality",
     "tessera.operators.series",
     "tessera.streaming.monitors",
+    "tessera.streaming.timeouts",
     "tessera.sources.export",
+    "tessera.sources.log",
 )
 
 
