@@ -12,6 +12,7 @@ FAMILIES = (
     "tessera.operators.aggregates",
     "tessera.operators.linking",
     "tessera.operators.graph",
+    "tessera.operators.paths",
     "tessera.operators.quality",
     "tessera.operators.series",
     "tessera.streaming.monitors",
