@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEPT_IN_WORKERS, parallelism, python_path, release, slices, written
+from tessera.llm.common import KEPT_IN_WORKERS, parallelism, python_path, release, slices, trim, written
 
 LEAST, SHARE, TOP = 30, 80, 2000
 #: Bits of the largest filter of frequent phrases (16 MB), and bits for each phrase where fewer will do.
 FILTER_BITS, BITS_EACH = 1 << 27, 24
 #: Words that a task counts at a time; parts that one prefix may be dealt to; words of the corpus for each part.
-WORDS_AT_ONCE, SPLIT, WORDS_PER_PART = 2_000_000, 8, 2_000_000
+WORDS_AT_ONCE, SPLIT, WORDS_PER_PART = 2_000_000, 8, 1_000_000
 #: Bytes of text that are turned into Python words at a time, if they are of more than one document.
-BYTES_AT_ONCE = 1 << 23
+BYTES_AT_ONCE = 1 << 22
 
 #: A-Z become lower case, separators of pieces full stops, tabs spaces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9 + b" ")
@@ -106,6 +106,19 @@ def frequent_filter(hashes: DataFrame, most_bits: int = FILTER_BITS) -> tuple[st
     return hashlib.md5(bits).hexdigest(), bits
 
 
+class Numbers(dict):
+    """Words of one language by number; a new word takes the next number of all languages."""
+
+    def __init__(self, counts: Counts) -> None:
+        super().__init__({b".": 0})
+        self.counts = counts
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.counts.known
+        self.counts.known += 1
+        return found
+
+
 class Counts:
     """Texts as runs of word numbers, 0 between pieces, until take()."""
 
@@ -113,31 +126,29 @@ class Counts:
         self.seed, self.numbers, self.known, self.runs, self.count = seed, {}, 1, [], 0
 
     def add(self, lang: bytes, texts: list[bytes]) -> None:
-        numbers = self.numbers.setdefault(lang, {b".": 0})
-        tokens = [*filter(None, b"\n".join(texts).translate(_FOLD).replace(b".", b" . ").split(b" "))]
-        new = set(tokens).difference(numbers)
-        numbers.update(zip(new, range(self.known, self.known + len(new))))
-        self.known += len(new)
-        self.runs.append(np.array([*map(numbers.__getitem__, tokens), 0], np.int32))
+        if lang not in self.numbers:
+            self.numbers[lang] = Numbers(self)
+        # No other ASCII white space than the space is left, so split() cuts at spaces alone.
+        tokens = b"\n".join([*texts, b""]).translate(_FOLD).replace(b".", b" . ").split()
+        self.runs.append(np.fromiter(map(self.numbers[lang].__getitem__, tokens), np.int32, len(tokens)))
         self.count += len(tokens)
 
-    def take(self) -> tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]:
-        """(language, word) by number, their hashes, and all runs end to end; then starts anew."""
+    def take(self, named: bool) -> tuple[dict[bytes, Numbers], np.ndarray, np.ndarray]:
+        """The languages' words by number (if named), the words' hashes by number, and all runs end to end; then starts anew."""
         import xxhash
 
-        words = [(b"", b".")] * self.known
+        of, seed, hashes = xxhash.xxh3_64_intdigest, self.seed, np.zeros(self.known, np.int64)
         for lang, numbers in self.numbers.items():
-            for word, k in numbers.items():
-                if k:
-                    words[k] = (lang, word)
-        of = xxhash.xxh3_64_intdigest
-        hashes = np.array([0, *(of(lang + b"\0" + word, self.seed) >> 1 or 1 for lang, word in words[1:])], np.int64)
-        runs = np.concatenate([np.zeros(1, np.int32), *self.runs, np.zeros(3, np.int32)])
-        self.__init__(self.seed)
+            key = lang + b"\0"
+            own = np.fromiter((of(key + word, seed) for word in numbers), np.uint64, len(numbers)) >> np.uint64(1)
+            hashes[np.fromiter(numbers.values(), np.int64, len(numbers))] = np.maximum(own.astype(np.int64), 1)
+        hashes[0] = 0
+        words, runs = self.numbers if named else {}, np.concatenate([np.zeros(1, np.int32), *self.runs, np.zeros(3, np.int32)])
+        self.__init__(seed)
         return words, hashes, runs
 
 
-def _counted(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]]:
+def _counted(batches: Iterator[pa.RecordBatch], seed: int, named: bool = False) -> Iterator[tuple[dict[bytes, Numbers], np.ndarray, np.ndarray]]:
     counts = Counts(seed)
     for batch in slices(batches, 128):
         by: dict[bytes, list[bytes]] = {}
@@ -149,9 +160,11 @@ def _counted(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[lis
         for lang, texts in by.items():
             counts.add(lang, texts)
         if counts.count >= WORDS_AT_ONCE:
-            yield counts.take()
+            yield counts.take(named)
+            trim()
     if counts.count:
-        yield counts.take()
+        yield counts.take(named)
+    trim()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -162,11 +175,13 @@ def count_words(docs: DataFrame, seed: int = 0) -> DataFrame:
     """id, lang, word, f of all words; clash is true where two words share an id."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, hashes, runs in _counted(batches, seed):
-            counts = np.bincount(runs, minlength=len(words)).astype(np.int64)
-            for at in range(1, len(words), 50_000):
-                langs, own = zip(*words[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + 50_000]), pa.array(langs, pa.binary()), pa.array(own, pa.binary()), pa.array(counts[at : at + 50_000])], ["id", "lang", "word", "f"])
+        for words, hashes, runs in _counted(batches, seed, named=True):
+            counts = np.bincount(runs, minlength=len(hashes)).astype(np.int64)
+            for lang, numbers in words.items():
+                own, at = [*numbers][1:], np.fromiter(numbers.values(), np.int64, len(numbers))[1:]  # without the break, which comes first
+                for low in range(0, len(own), 50_000):
+                    some, where = own[low : low + 50_000], at[low : low + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[where]), pa.array([lang] * len(some), pa.binary()), pa.array(some, pa.binary()), pa.array(counts[where])], ["id", "lang", "word", "f"])
 
     rows = _texts(docs).mapInArrow(counted, "id long, lang binary, word binary, f long")
     rows = rows.repartition("id").groupBy("id", "lang", "word").agg(F.sum("f").alias("f"))  # one shuffle serves the sum and the window
@@ -188,6 +203,17 @@ def _stripe_rows(prefixes: list[np.ndarray], nexts: np.ndarray, counts: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([int(part[rows[0]])], pa.int64()), pa.array([len(prefixes)], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], ["part", "width", "prefixes", "nexts", "counts"])
 
 
+def _next_rows(hashes: np.ndarray, runs: np.ndarray, frequent: Frequent, parts: int) -> Iterator[pa.RecordBatch]:
+    good = frequent.has(hashes)
+    good[0] = False
+    ok = good[runs]
+    totals = np.bincount(runs[ok], minlength=len(hashes))
+    own = np.flatnonzero(totals)
+    pairs, counts = np.unique(runs[:-1][ok[:-1] & ok[1:]].astype(np.int64) * len(hashes) + runs[1:][ok[:-1] & ok[1:]], return_counts=True)
+    first, then = pairs // len(hashes), pairs % len(hashes)
+    yield from _stripe_rows([hashes[np.concatenate([own, first])]], np.concatenate([np.zeros(len(own), np.int64), hashes[then]]), np.concatenate([totals[own], counts]), parts)
+
+
 def _next_words(docs: DataFrame, seed: int, words: tuple[str, bytes], parts: int) -> DataFrame:
     """Stripes of single frequent words, in parts; under 0 the word's own count."""
     sent = docs.sparkSession.sparkContext.broadcast(words)  # FILTER_BITS at most
@@ -195,18 +221,37 @@ def _next_words(docs: DataFrame, seed: int, words: tuple[str, bytes], parts: int
     def striped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _received(sent)
         for _, hashes, runs in _counted(batches, seed):
-            good = frequent.has(hashes)
-            good[0] = False
-            ok = good[runs]
-            totals = np.bincount(runs[ok], minlength=len(hashes))
-            own = np.flatnonzero(totals)
-            pairs, counts = np.unique(runs[:-1][ok[:-1] & ok[1:]].astype(np.int64) * len(hashes) + runs[1:][ok[:-1] & ok[1:]], return_counts=True)
-            first, then = pairs // len(hashes), pairs % len(hashes)
-            yield from _stripe_rows([hashes[np.concatenate([own, first])]], np.concatenate([np.zeros(len(own), np.int64), hashes[then]]), np.concatenate([totals[own], counts]), parts)
+            yield from _next_rows(hashes, runs, frequent, parts)
 
     return _texts(docs).mapInArrow(striped, _STRIPES)
 
 
+def _longer_rows(hashes: np.ndarray, runs: np.ndarray, frequent_words: Frequent, frequent_pairs: Frequent, parts: int) -> Iterator[pa.RecordBatch]:
+    good, size = frequent_words.has(hashes), len(hashes)
+    good[0] = False
+    ok = good[runs]
+    at = np.flatnonzero(ok[:-1] & ok[1:])
+    found, pair = np.unique(runs[at].astype(np.int64) * size + runs[at + 1], return_inverse=True)
+    first, second = found // size, found % size
+    kept = frequent_pairs.has(_mixed(hashes[first], hashes[second]))
+    linked = np.zeros(len(runs) + 2, bool)  # does a frequent pair begin here?
+    linked[at] = kept[pair]
+    pair_at = np.full(len(runs), -1, np.int64)
+    pair_at[at] = pair
+    start = np.flatnonzero(linked)
+    totals = np.bincount(pair_at[start], minlength=len(found))
+    own = np.flatnonzero(totals)
+    start = start[linked[start + 1]]
+    triples, triple, counts = np.unique(pair_at[start] * size + runs[start + 2], return_inverse=True, return_counts=True)
+    head, third = triples // size, triples % size
+    pick = np.concatenate([own, head])
+    yield from _stripe_rows([hashes[first[pick]], hashes[second[pick]]], np.concatenate([np.zeros(len(own), np.int64), hashes[third]]), np.concatenate([totals[own], counts]), parts)
+    on = linked[start + 2]
+    fours, four_counts = np.unique(triple[on].astype(np.int64) * size + runs[start[on] + 3], return_counts=True)
+    pick = np.concatenate([np.arange(len(triples)), fours // size])
+    yield from _stripe_rows([hashes[first[head[pick]]], hashes[second[head[pick]]], hashes[third[pick]]], np.concatenate([np.zeros(len(triples), np.int64), hashes[fours % size]]), np.concatenate([counts, four_counts]), parts)
+
+
 def _longer_stripes(docs: DataFrame, seed: int, words: tuple[str, bytes], pairs: tuple[str, bytes], parts: int) -> DataFrame:
     """Stripes of prefixes of two and three words, all of whose neighbours are frequent pairs, in parts; under 0 the prefix's own count."""
     sent_words, sent_pairs = (docs.sparkSession.sparkContext.broadcast(x) for x in (words, pairs))
@@ -214,29 +259,7 @@ def _longer_stripes(docs: DataFrame, seed: int, words: tuple[str, bytes], pairs:
     def striped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, frequent_pairs = _received(sent_words), _received(sent_pairs)
         for _, hashes, runs in _counted(batches, seed):
-            good, size = frequent_words.has(hashes), len(hashes)
-            good[0] = False
-            ok = good[runs]
-            at = np.flatnonzero(ok[:-1] & ok[1:])
-            found, pair = np.unique(runs[at].astype(np.int64) * size + runs[at + 1], return_inverse=True)
-            first, second = found // size, found % size
-            kept = frequent_pairs.has(_mixed(hashes[first], hashes[second]))
-            linked = np.zeros(len(runs) + 2, bool)  # does a frequent pair begin here?
-            linked[at] = kept[pair]
-            pair_at = np.full(len(runs), -1, np.int64)
-            pair_at[at] = pair
-            start = np.flatnonzero(linked)
-            totals = np.bincount(pair_at[start], minlength=len(found))
-            own = np.flatnonzero(totals)
-            start = start[linked[start + 1]]
-            triples, triple, counts = np.unique(pair_at[start] * size + runs[start + 2], return_inverse=True, return_counts=True)
-            head, third = triples // size, triples % size
-            pick = np.concatenate([own, head])
-            yield from _stripe_rows([hashes[first[pick]], hashes[second[pick]]], np.concatenate([np.zeros(len(own), np.int64), hashes[third]]), np.concatenate([totals[own], counts]), parts)
-            on = linked[start + 2]
-            fours, four_counts = np.unique(triple[on].astype(np.int64) * size + runs[start[on] + 3], return_counts=True)
-            pick = np.concatenate([np.arange(len(triples)), fours // size])
-            yield from _stripe_rows([hashes[first[head[pick]]], hashes[second[head[pick]]], hashes[third[pick]]], np.concatenate([np.zeros(len(triples), np.int64), hashes[fours % size]]), np.concatenate([counts, four_counts]), parts)
+            yield from _longer_rows(hashes, runs, frequent_words, frequent_pairs, parts)
 
     return _texts(docs).mapInArrow(striped, _STRIPES)
 
@@ -245,6 +268,7 @@ def merged_stripes(stripes: DataFrame, least: int) -> DataFrame:
     """Stripes added elementwise: prefix, nexts and counts (arrays of the entries of at least `least`), total (null where another part of the stripe has it, or below `least`), best (the largest entry, or null)."""
 
     def merged(rows: pa.Table) -> pa.Table:
+        trim()
         width = rows.column("width")[0].as_py()
         prefixes, nexts, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("prefixes", "nexts", "counts"))
         prefixes = prefixes.reshape(-1, width)
