@@ -59,14 +59,14 @@ def test_codec_on_the_table(spark):
     assert got == want
 
 
-def test_every_code_point():
+def test_code_points():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), bpe.Codec(path)
     points = [chr(x) for x in range(1, 0x110000) if not 0xD800 <= x < 0xE000]
-    texts = ["".join(points[k : k + 2000]) for k in range(0, len(points), 2000)] + [" ".join(points[k : k + 2000]) for k in range(0, 0x3000, 2000)]
+    texts = ["".join(points[k : k + 2000]) for k in (*range(0, 40_000, 2000), *range(40_000, len(points), 34_000))] + [" ".join(points[k : k + 2000]) for k in range(0, 0x3000, 2000)]
     for text, ids in zip(texts, own.encode_all([t.encode() for t in texts])):
         assert library.encode(text, add_special_tokens=False).ids == ids.tolist()
 
@@ -122,9 +122,8 @@ def phrase_rows():
     return [*rows, (200, None, "en"), (201, "", None), (202, "of the " * 40_000, "en"), (203, "z" * 100_000, "de"), (None, "the old the old", None)]
 
 
-@pytest.mark.parametrize("least, top", [(3, 2000), (6, 7)])
-def test_phrases_by_brute_force(spark, least, top):
-    rows = phrase_rows()
+def test_phrases_by_brute_force(spark):
+    rows, least, top = phrase_rows(), 6, 7
     got = phrases.mine_phrases(frame(spark, rows), least=least, top=top).collect()
     columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(brute_phrases(rows, least, 80, top))
@@ -145,16 +144,11 @@ def test_clashes_are_seen(spark):
 
 
 def test_filter_has_what_was_put_in(spark):
-    import hypothesis.strategies as st
-    from hypothesis import given, settings
-
-    @settings(max_examples=5, deadline=None)
-    @given(st.sets(st.integers(1, 2**63 - 1), min_size=1, max_size=200))
-    def holds(hashes):
-        _, bits = phrases.frequent_filter(spark.createDataFrame([(h,) for h in hashes], "id long"), 1 << 18)
-        assert len(bits) <= 1 << 15 and phrases.Frequent(np.frombuffer(bits, np.uint8)).has(np.array(sorted(hashes), np.int64)).all()
-
-    holds()
+    hashes = np.unique(np.random.default_rng(1).integers(1, 2**63 - 1, 3000))
+    _, bits = phrases.frequent_filter(spark.createDataFrame([(int(h),) for h in hashes], "id long"), 1 << 18)
+    found = phrases.Frequent(np.frombuffer(bits, np.uint8))
+    others = np.random.default_rng(2).integers(1, 2**63 - 1, 3000)
+    assert len(bits) <= 1 << 15 and found.has(hashes).all() and found.has(others).mean() < 0.05
 
 
 # --- ranked search ---------------------------------------------------------------------------------
