@@ -185,7 +185,7 @@ def search_rows():
     return docs, items
 
 
-@pytest.mark.parametrize("least, k, query_bytes", [(2048, 10, 1 << 22), (70, 3, 300)])
+@pytest.mark.parametrize("least, k, query_bytes", [(2048, 10, 1 << 22), (70, 3, 70_000)])
 def test_search_by_brute_force(spark, monkeypatch, least, k, query_bytes):
     docs, items = search_rows()
     monkeypatch.setattr(ranked, "SEGMENT_DOCS", least)
