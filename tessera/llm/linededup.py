@@ -2,12 +2,18 @@
 
 A line's key is the line without ASCII white space at its ends, A-Z in lower
 case; keys of at least `min_chars` code points count. `LineIndex` keeps every
-reference (key, doc_id) as a row of a log of insertions and deletions; the sum
-of a reference's entries says whether it stands. Keys that `min_docs` documents
-or more hold are active, and each shard of the active keys has a cuckoo filter of
-16-bit fingerprints, written beside the log. Inserting or deleting documents appends to
-the log, finds the keys that became active or ceased to be, and inserts them into
-their shards' filters or deletes them from these.
+standing reference (key, doc_id) with its number, the keys that `min_docs`
+documents or more hold, which are active, and a cuckoo filter of 16-bit
+fingerprints of these, all three by shards of the keys. Inserting or deleting
+documents finds the shards that their keys touch, adds to or takes from the
+references of these shards alone, and inserts the keys that became active into
+their filters or deletes those that ceased to be. The files of a change stand in
+a manifest that is written last: a change that fails leaves the index as it was,
+and another session opens the index by its folder and goes on. One session at a
+time may change it. Files that no manifest entry of use names are the cluster's to clear.
+
+A deletion takes no more than stands: references that the index does not hold
+are left out, so a later insertion of that document counts.
 
 A pass over documents asks the filters first: a line that no filter
 knows can't be active, so only the others meet the exact table. Filters of up to `broadcast_keys` keys in all are sent
@@ -16,8 +22,8 @@ pass sees the counts and the largest holder as though they had never come.
 
 Keys are held as 128-bit BLAKE2b digests. Defined cases: null and empty texts
 are one empty line; several rows of one doc_id count as one document; a null
-doc_id counts as a document that sorts before all others; an empty table gives
-an empty result; columns other than doc_id and text pass through, and columns
+doc_id counts as a document that sorts before all others (rows without id are told apart by their texts
+when lines are taken out); an empty table gives an empty result; columns other than doc_id and text pass through, and columns
 named n_lines or n_dropped are replaced.
 """
 
@@ -26,23 +32,25 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import id_text, parallelism, python_path, release, shared_folder, slices, written
 
-#: Active keys per shard; of this size a filter takes about 0.6 MB.
-SHARD_KEYS = 200_000
+#: References per shard. A shard has a fifth as many active keys at most, with a filter of 2.4 bytes each.
+SHARD_REFS = 5_000_000
 #: Filters of at most so many keys (2.4 bytes each) are sent to every worker; and at most so many (document, key) pairs.
 BROADCAST_KEYS, BROADCAST_PAIRS = 32_000_000, 1_000_000
-#: Keys that more documents hold are joined by a broadcast of their own, so that no task gets all rows of one.
-HOT_DOCS = 100_000
+#: Keys that more documents hold are joined apart, so that no task gets all rows of one: by a broadcast of up to so many, else by salts.
+HOT_DOCS, BROADCAST_HOT = 100_000, 1_000_000
 
 
 def digest(key: bytes) -> bytes:
@@ -131,70 +139,155 @@ def heads(digests: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<u8")[::2]
 
 
+def _mark(i, text: bytes) -> str | None:
+    """What tells rows without an id apart: equal texts have the same lines."""
+    return hashlib.sha256(text).hexdigest() if i is None else None
+
+
+def _asked_schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("mark", T.StringType())])
+
+
+def _asked(batch: pa.RecordBatch, keys_of) -> pa.RecordBatch:
+    keys, ids, marks = [], [], []
+    for i, text in id_text(batch):
+        if found := keys_of(text):
+            keys += found
+            ids += [i] * len(found)
+            marks += [_mark(i, text)] * len(found)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, batch.schema.field(0).type), pa.array(marks, pa.string())], ["key", "doc_id", "mark"])
+
+
 def references(docs: DataFrame, min_chars: int = 40) -> DataFrame:
-    """(key, doc_id): each counting line of each document, once per document row."""
+    """(key, doc_id, mark): each counting line of each document, once per document row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in slices(batches):
-            keys, ids = [], []
-            for i, text in id_text(batch):
-                found = {k for line in text.split(b"\n") if (k := line_key(line, min_chars))}
-                keys += found
-                ids += [i] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, batch.schema.field(0).type)], ["key", "doc_id"])
+            yield _asked(batch, lambda text: {k for line in text.split(b"\n") if (k := line_key(line, min_chars))})
 
     python_path(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc_id", kind)]))
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(read, _asked_schema(docs))
+
+
+class Part(NamedTuple):
+    """A shard of the index: how much it holds, and the written tables that hold it."""
+
+    shard: int
+    n_refs: int
+    n_active: int
+    refs: str
+    active: str
+    filters: str | None
+
+
+MANIFEST = "change long, shards int, min_docs int, min_chars int, kind string, parts array<struct<shard int, n_refs long, n_active long, refs string, active string, filters string>>"
 
 
 class LineIndex:
-    """The references of a set of documents and the filters of their active keys, in a folder that all executors share."""
+    """The references of a set of documents and the filters of their active keys, in a folder that all executors share.
+
+    A folder that holds an index is opened as it stands after its last whole change; its rules must be the same.
+    """
 
-    def __init__(self, spark, folder: str, min_docs: int = 5, min_chars: int = 40, shard_keys: int = SHARD_KEYS) -> None:
-        self.spark, self.folder, self.min_docs, self.min_chars, self.shard_keys = spark, folder.rstrip("/"), min_docs, min_chars, shard_keys
-        self.shards, self.changes = 1, 0
-        self.active: DataFrame | None = None  # key, n_docs, max_doc
-        self.filters: DataFrame | None = None  # shard, filter
-        self.n_active = 0
+    def __init__(self, spark, folder: str, min_docs: int = 5, min_chars: int = 40, shard_refs: int = SHARD_REFS) -> None:
+        self.spark, self.folder, self.min_docs, self.min_chars, self.shard_refs = spark, folder.rstrip("/"), min_docs, min_chars, shard_refs
+        self.shards, self.changes, self.kind = 1, 0, "bigint"
+        self.parts: dict[int, Part] = {}
+        if last := self._last():
+            if (last["min_docs"], last["min_chars"]) != (min_docs, min_chars):
+                raise ValueError(f"the index in {folder} counts lines of {last['min_chars']} characters in {last['min_docs']} documents")
+            self.changes, self.shards, self.kind = last["change"], last["shards"], last["kind"]
+            self.parts = {p["shard"]: Part(*p) for p in last["parts"]}
+
+    def _last(self) -> Row | None:
+        try:
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").orderBy(F.desc("change")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def insert(self, docs: DataFrame) -> None:
         self._change(docs, 1)
 
     def delete(self, docs: DataFrame) -> None:
-        """Take documents out again; they must be given as they were inserted."""
+        """Take documents out again; they must be given as they were inserted, and what the index does not hold is left out."""
         self._change(docs, -1)
 
-    def counts(self) -> DataFrame:
-        """(key, n_docs, max_doc) of all standing references."""
-        log = self.spark.read.parquet(*[f"{self.folder}/log-{k}" for k in range(1, self.changes + 1)])
-        standing = log.groupBy("key", "doc_id").agg(F.sum("change").alias("n")).filter("n > 0")
-        return standing.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-
-    def _write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}-{self.changes}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _change(self, docs: DataFrame, change: int) -> None:
-        self.changes += 1
-        self._write(references(docs, self.min_chars).withColumn("change", F.lit(change)), "log")
-        before, self.active = self.active, self._write(self.counts().filter(F.col("n_docs") >= self.min_docs), "active")
-        self.n_active = self.active.count()
-        shards = max(1, -(-self.n_active // self.shard_keys))
-        filters = None
-        if before is not None and shards <= 2 * self.shards:
-            new = self.active.join(before, "key", "left_anti").select("key", F.lit(1).alias("change"))
-            gone = before.join(self.active, "key", "left_anti").select("key", F.lit(-1).alias("change"))
-            filters = self._write(updated_filters(self.filters, new.unionByName(gone), self.shards), "filters")
-            if filters.filter("filter IS NULL").limit(1).count():  # one is full
-                filters = None
-        if filters is None:
-            self.shards = shards
-            empty = self.spark.createDataFrame([], "shard int, filter binary")
-            filters = self._write(updated_filters(empty, self.active.select("key", F.lit(1).alias("change")), shards), "new-filters")
-        self.filters = filters
+    @property
+    def active(self) -> DataFrame:
+        """(shard, key, n_docs, max_doc) of the keys that enough documents hold."""
+        return self._held("active", f"shard int, key binary, n_docs bigint, max_doc {self.kind}")
+
+    @property
+    def n_active(self) -> int:
+        return sum(p.n_active for p in self.parts.values())
+
+    @property
+    def filters(self) -> DataFrame:
+        """(shard, filter)"""
+        return self._held("filters", "shard int, filter binary")
+
+    def _held(self, what: str, schema: str, shards: Collection[int] | None = None) -> DataFrame:
+        """A table of the index as it stands, of all shards or of some; the others' files are not opened."""
+        at = [p for p in self.parts.values() if (shards is None or p.shard in shards) and (p.filters if what == "filters" else p.n_active if what == "active" else p.n_refs)]
+        if not at:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{getattr(p, what)}/dir={p.shard}" for p in at])
+
+    def _save(self, df: DataFrame, name: str) -> DataFrame:
+        df.withColumn("dir", F.col("shard")).write.partitionBy("dir").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}").select(df.columns)
+
+    def _change(self, docs: DataFrame, sign: int) -> None:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        if self.parts and kind != self.kind:
+            raise ValueError(f"the index holds ids of type {self.kind}, not {kind}")
+        self.kind, change = kind, self.changes + 1
+        own = f"{change}-{uuid.uuid4().hex}"
+        path = f"{self.folder}/change-{own}"
+        references(docs, self.min_chars).select("key", "doc_id", F.lit(sign).cast("long").alias("n")).write.parquet(path)
+        refs_schema = f"key binary, doc_id {kind}, n bigint"
+        delta = self.spark.read.schema(refs_schema).parquet(path)
+
+        shards = self.shards
+        wanted = -(-(sum(p.n_refs for p in self.parts.values()) + delta.count()) // self.shard_refs)
+        anew = sign > 0 and (wanted > 2 * shards or not self.parts)  # all shards are dealt anew
+        if anew:
+            shards, touched = max(1, wanted), None
+        else:
+            touched = {r[0] for r in delta.select(_shard("key", shards)).distinct().collect()}
+        both = self._held("refs", refs_schema, touched).unionByName(delta).withColumn("shard", _shard("key", shards))
+        # A change has one sign, so a sum of 0 or less means that nothing is left of a reference.
+        refs = both.groupBy("shard", "key", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
+        if shards > 1:  # few files a shard, and a hot key's shard in several tasks
+            salts = -(-8 * parallelism(self.spark) // shards)
+            refs = refs.repartition("shard", F.pmod(F.xxhash64("key", "doc_id"), F.lit(salts)))
+        refs = self._save(refs, f"refs-{own}")
+        active = refs.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).filter(F.col("n_docs") >= self.min_docs)
+        active = self._save(active.repartition("shard") if shards > 1 else active, f"active-{own}")
+
+        none = self.spark.createDataFrame([], "shard int, filter binary")
+        if anew:
+            before, filters = active.limit(0), none
+        else:
+            before, filters = self._held("active", f"shard int, key binary, n_docs bigint, max_doc {kind}", touched), self._held("filters", "shard int, filter binary", touched)
+        new = active.join(before, "key", "left_anti").select("key", F.lit(1).alias("change"))
+        gone = before.join(active, "key", "left_anti").select("key", F.lit(-1).alias("change"))
+        filters = self._save(updated_filters(filters, new.unionByName(gone), shards), f"filters-{own}")
+        full = {r["shard"]: r["full"] for r in filters.select("shard", F.col("filter").isNull().alias("full")).collect()}
+        names = dict.fromkeys(full, f"filters-{own}")
+        if crowded := [s for s, f in full.items() if f]:
+            self._save(updated_filters(none, active.filter(F.col("shard").isin(crowded)).select("key", F.lit(1).alias("change")), shards), f"larger-filters-{own}")
+            names |= dict.fromkeys(crowded, f"larger-filters-{own}")
+
+        n_refs, n_active = ({r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()} for df in (refs, active))
+        parts = {} if anew else {s: p for s, p in self.parts.items() if s not in touched}
+        parts |= {s: Part(s, n, n_active.get(s, 0), f"refs-{own}", f"active-{own}", names.get(s)) for s, n in n_refs.items()}
+        row = (change, shards, self.min_docs, self.min_chars, kind, [tuple(p) for p in parts.values()])
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.changes, self.shards, self.parts = change, shards, parts
 
 
 def _shard(key, shards: int):
@@ -236,9 +329,8 @@ def maybe(keys: list[bytes], filters: dict[int, CuckooFilter], shards: int) -> l
 
 
 def known_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCAST_KEYS, salts: int = 16) -> DataFrame:
-    """(key, doc_id): the lines of docs, once per row, that the filters know: all active ones and few others."""
-    kind = docs.schema["doc_id"].dataType
-    found = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc_id", kind)])
+    """(key, doc_id, mark): the lines of docs, once per row, that the filters know: all active ones and few others."""
+    kind, found = docs.schema["doc_id"].dataType, _asked_schema(docs)
     if index.n_active <= broadcast_keys:
         filters = {r["shard"]: bytes(r["filter"]) for r in index.filters.collect()}  # 2.4 bytes per key
         sent, shards, min_chars = docs.sparkSession.sparkContext.broadcast(filters), index.shards, index.min_chars
@@ -247,12 +339,7 @@ def known_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCA
             release()
             held = {s: CuckooFilter.from_bytes(f) for s, f in sent.value.items()}
             for batch in slices(batches):
-                keys, ids = [], []
-                for i, text in id_text(batch):
-                    hit = maybe(list({k for line in text.split(b"\n") if (k := line_key(line, min_chars))}), held, shards)
-                    keys += hit
-                    ids += [i] * len(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, batch.schema.field(0).type)], ["key", "doc_id"])
+                yield _asked(batch, lambda text: maybe(list({k for line in text.split(b"\n") if (k := line_key(line, min_chars))}), held, shards))
 
         python_path(docs.sparkSession)
         return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(ask, found)
@@ -270,23 +357,26 @@ def known_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCA
                 part = batch.slice(low, high - low)
                 if part.num_rows and held is not None:
                     hit = pa.array(held.contains(heads(part.column("key").to_pylist())))
-                    yield pa.RecordBatch.from_arrays([part.column("key").filter(hit), part.column("doc_id").filter(hit)], ["key", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([part.column(c).filter(hit) for c in ("key", "doc_id", "mark")], ["key", "doc_id", "mark"])
 
-    lines = references(docs, index.min_chars).withColumns({"shard": _shard("key", index.shards), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), "filter": F.lit(None).cast("binary")})
-    tables = index.filters.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "key": F.lit(None).cast("binary"), "doc_id": F.lit(None).cast(kind)})
+    lines = references(docs, index.min_chars).withColumns({"shard": _shard("key", index.shards), "salt": F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int"), "filter": F.lit(None).cast("binary")})
+    tables = index.filters.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "key": F.lit(None).cast("binary"), "doc_id": F.lit(None).cast(kind), "mark": F.lit(None).cast("string")})
     dealt = lines.unionByName(tables).repartition(parallelism(docs.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
-    return dealt.select("key", "doc_id", "filter").mapInArrow(ask_shard, found)
+    return dealt.select("key", "doc_id", "mark", "filter").mapInArrow(ask_shard, found)
 
 
-def lines_to_drop(asked: DataFrame, active: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """(doc_id, keys): the active keys among (key, doc_id) whose lines go, as another document is their largest holder."""
+def lines_to_drop(asked: DataFrame, active: DataFrame, hot_docs: int = HOT_DOCS, broadcast_hot: int = BROADCAST_HOT, salts: int = 64) -> DataFrame:
+    """(doc_id, mark, keys): the active keys among (key, doc_id, mark) whose lines go, as another document is their largest holder."""
     goes = "max_doc IS NOT NULL AND (doc_id IS NULL OR doc_id < max_doc)"
-    hot = active.filter(F.col("n_docs") > hot_docs).select("key", "max_doc")
-    # Keys of more than hot_docs documents: a hundred-thousandth of all references at most.
-    by_hot = asked.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
-    rest = by_hot.filter("hot IS NULL").select("key", "doc_id").join(active.filter(F.col("n_docs") <= hot_docs).select("key", "max_doc"), "key")
-    gone = by_hot.filter("hot").select("key", "doc_id", "max_doc").unionByName(rest.select("key", "doc_id", "max_doc")).filter(goes)
-    return gone.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    hot = active.filter(F.col("n_docs") > hot_docs).select("key", "max_doc", F.lit(True).alias("hot"))
+    if hot.limit(broadcast_hot + 1).count() <= broadcast_hot:
+        by_hot = asked.join(F.broadcast(hot), "key", "left")
+    else:
+        dealt = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        by_hot = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int")).join(dealt, ["key", "salt"], "left")
+    rest = by_hot.filter("hot IS NULL").select("key", "doc_id", "mark").join(active.filter(F.col("n_docs") <= hot_docs).select("key", "max_doc"), "key")
+    gone = by_hot.filter("hot").select("key", "doc_id", "mark", "max_doc").unionByName(rest.select("key", "doc_id", "mark", "max_doc")).filter(goes)
+    return gone.groupBy("doc_id", "mark").agg(F.collect_set("key").alias("keys"))
 
 
 def _strip(text: bytes, min_chars: int, gone: frozenset[bytes]) -> tuple[bytes, int, int]:
@@ -318,7 +408,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCAS
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     gone = written(lines_to_drop(known_lines(docs, index, broadcast_keys), index.active), "gone-lines")
-    gone = gone.select(F.col("doc_id").alias("_who"), F.col("keys").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_who"), F.col("mark").alias("_mark"), F.col("keys").alias("_gone"))
     if gone.agg(F.coalesce(F.sum(F.size("_gone") + 1), F.lit(0))).first()[0] <= broadcast_pairs:
         gone = F.broadcast(gone)
 
@@ -331,7 +421,8 @@ def drop_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCAS
             columns[at] = pa.array([t if n else old for (t, _, n), old in zip(done, texts)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in done], pa.int64()), pa.array([n for _, _, n in done], pa.int64())], [f.name for f in schema.fields])
 
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_who")), "left").select(*names, "_gone").mapInArrow(apply, schema)
+    mark = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_who")) & mark.eqNullSafe(F.col("_mark")), "left").select(*names, "_gone").mapInArrow(apply, schema)
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -140,11 +140,13 @@ def test_hot_lines_are_joined_apart(spark, docs, tmp_path):
     asked = linededup.known_lines(docs, index)
     part = lambda hot: sorted((r["doc_id"], sorted(map(bytes, r["keys"]))) for r in linededup.lines_to_drop(asked, index.active, hot).collect())
     assert part(0) == part(6) == part(10**9) and len(part(0)) >= 6
+    salted = linededup.lines_to_drop(asked, index.active, 0, broadcast_hot=0, salts=3)
+    assert sorted((r["doc_id"], sorted(map(bytes, r["keys"]))) for r in salted.collect()) == part(0)
 
 
 @pytest.mark.parametrize("keys", [linededup.BROADCAST_KEYS, 0])
 def test_deleted_documents_are_forgotten(spark, docs, rows, keys, tmp_path):
-    index = linededup.LineIndex(spark, f"file://{tmp_path}/lines", min_docs=4, shard_keys=1)
+    index = linededup.LineIndex(spark, f"file://{tmp_path}/lines", min_docs=4, shard_refs=5)
     others = [f"{k} is a line that only four documents of this kind hold" for k in range(6)]
     more = spark.createDataFrame([(1000 + n, "\n".join(others)) for n in range(4)], "doc_id long, text string")
     everything = docs.select("doc_id", "text").unionByName(more)
@@ -168,6 +170,63 @@ def test_deleted_documents_are_forgotten(spark, docs, rows, keys, tmp_path):
     assert digests(linededup.drop_lines(left.filter(~F.col("doc_id").isin(some)), index, keys)) == lines_by_hand([r for r in all_rows if r[0] != 1003 and r[0] not in some], 4)
 
 
+def _held(index):
+    return {(bytes(r["key"]), r["n_docs"], r["max_doc"]) for r in index.active.collect()}
+
+
+def test_unknown_deletions_leave_no_debt(spark, tmp_path):
+    line = "a line of more than forty characters that five documents hold"
+    made = lambda *ids: spark.createDataFrame([(i, line) for i in ids], "doc_id long, text string")
+    index = linededup.LineIndex(spark, f"file://{tmp_path}/lines")
+    index.delete(made(4))  # an empty index
+    index.insert(made(0, 1, 2, 3))
+    index.delete(made(4))
+    assert _held(index) == set()
+    index.insert(made(4))
+    key = linededup.line_key(line.encode(), 40)
+    assert _held(index) == {(key, 5, 4)}
+    index.delete(made(4, 4, 4))  # more often than it stands
+    assert _held(index) == set()
+    index.insert(made(4))
+    assert _held(index) == {(key, 5, 4)}
+
+
+def test_index_is_opened_again_and_changes_touched_shards_alone(spark, tmp_path):
+    folder, lines = f"file://{tmp_path}/lines", [f"line {k:03d} that all five documents of the first half hold" for k in range(60)]
+    first = spark.createDataFrame([(i, "\n".join(lines)) for i in range(5)], "doc_id long, text string")
+    index = linededup.LineIndex(spark, folder, shard_refs=20)
+    index.insert(first)
+    assert index.shards == 15 and index.n_active == 60
+    other = spark.newSession()
+    again = linededup.LineIndex(other, folder, shard_refs=20)
+    assert (again.changes, again.shards, again.parts) == (1, 15, index.parts) and _held(again) == _held(index)
+    # One line of a new document touches one shard; only that one's files are read and written.
+    more = other.createDataFrame([(9, lines[7])], "doc_id long, text string")
+    key = linededup.line_key(lines[7].encode(), 40)
+    own = zlib.crc32(key) % 15
+    again.insert(more)
+    assert {s for s, p in again.parts.items() if p != index.parts[s]} == {own}
+    assert all(f"dir={own}/" in f for f in again._held("refs", "key binary", {own}).inputFiles())
+    assert (key, 6, 9) in _held(again) and len(_held(again)) == 60
+    again.delete(more)
+    assert _held(linededup.LineIndex(spark, folder)) == _held(index)
+    with pytest.raises(ValueError):
+        linededup.LineIndex(spark, folder, min_docs=4)
+    # Twice as many references deal the shards anew.
+    third = linededup.LineIndex(spark, folder, shard_refs=5)
+    third.insert(spark.createDataFrame([(20, "\n".join(lines))], "doc_id long, text string"))
+    assert third.shards == 72 and {(n, m) for _, n, m in _held(third)} == {(6, 20)} and len(_held(third)) == 60
+
+
+@pytest.mark.parametrize("keys", [linededup.BROADCAST_KEYS, 0])
+def test_rows_without_id_lose_lines_by_their_texts(spark, keys):
+    line = "a line of more than forty characters that many documents hold"
+    made = [(i, f"{line}\nown {i}") for i in range(5)] + [(None, f"{line}\nnameless {k}") for k in range(3)] + [(None, f"{line}\nnameless 0"), (None, None), (None, "short")]
+    got = linededup.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), broadcast_keys=keys, broadcast_pairs=0 if keys == 0 else 100)
+    want = [(i, f"own {i}", 1) for i in range(4)] + [(4, f"{line}\nown 4", 0)] + [(None, f"nameless {k}", 1) for k in (0, 0, 1, 2)] + [(None, "", 0), (None, "short", 0)]
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["n_dropped"]) for r in got.collect()) == sorted((str(i), x, n) for i, x, n in want)
+
+
 def test_cuckoo_filter_has_no_false_negatives():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     f = linededup.CuckooFilter.of(keys)
