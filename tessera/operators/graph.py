@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.operators.overlap import BLOCK, shared_tag_pairs
 from tessera.operators.quality import with_domains
 from tessera.plans import Catalog, table
 from tessera.plans.bind import GRAPH, edges, nodes
@@ -213,16 +214,13 @@ catalog.add("graph_shared_neighbours", f"WITH {GRAPH} SELECT a.dst AS node, a.we
 )
 
 
-def shared_pairs(e: DataFrame, n: DataFrame, salts: int = 8) -> DataFrame:
-    """(domain, a, b, shared): pairs of nodes of one domain by common out-neighbours; targets are salted against hubs."""
-    x = e.join(n.select(F.col("id").alias("src"), "domain"), "src").select("domain", "src", "dst")
-    left = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = x.withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(salts)).cast("int"))
-    p = left.alias("a").join(right.alias("b"), (F.col("a.dst") == F.col("b.dst")) & (F.col("a.domain") == F.col("b.domain")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.src") < F.col("b.src")))
-    return p.groupBy(F.col("a.domain").alias("domain"), F.col("a.src").alias("a"), F.col("b.src").alias("b")).agg(F.count("*").alias("shared"))
+def shared_pairs(e: DataFrame, n: DataFrame, least: int = 2, block: int = BLOCK) -> DataFrame:
+    """(domain, a, b, shared): pairs of nodes of one domain with at least `least` common out-neighbours."""
+    tags = e.join(n.select(F.col("id").alias("src"), "domain"), "src").select(F.struct("domain", F.col("src").alias("id")).alias("entry_id"), F.struct("domain", F.col("dst").alias("id")).alias("tag"))
+    return shared_tag_pairs(tags, least, block).select("a.domain", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "shared")
 
 
-catalog.add("graph_most_shared_pairs", f"WITH {GRAPH}, x AS (SELECT src, dst, domain FROM edges JOIN nodes ON src = id) SELECT a.domain, a.src AS a, b.src AS b, count(*) AS shared FROM x a JOIN x b ON a.dst = b.dst AND a.domain = b.domain AND a.src < b.src GROUP BY 1, 2, 3 HAVING count(*) >= 2")(lambda s, d: shared_pairs(edges(s, d), nodes(s, d)).filter("shared >= 2"))
+catalog.add("graph_most_shared_pairs", f"WITH {GRAPH}, x AS (SELECT src, dst, domain FROM edges JOIN nodes ON src = id) SELECT a.domain, a.src AS a, b.src AS b, count(*) AS shared FROM x a JOIN x b ON a.dst = b.dst AND a.domain = b.domain AND a.src < b.src GROUP BY 1, 2, 3 HAVING count(*) >= 2")(lambda s, d: shared_pairs(edges(s, d), nodes(s, d)))
 
 
 def components(e: DataFrame, n: DataFrame) -> DataFrame:
