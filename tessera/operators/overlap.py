@@ -24,11 +24,14 @@ def tiles(left: DataFrame, right: DataFrame, size: Column, by: str, block: int =
 
 
 def tag_sets(tags: DataFrame) -> DataFrame:
-    """(id, n, tags, items): each entry's n tags by ascending frequency, and the same with their frequencies as (df, tag)."""
+    """(id, n, tags, items): each entry's n tags as numbers by ascending frequency, and the same with their frequencies as (df, tag); written once.
+
+    Numbers stand for tags of any type, since sets of numbers meet much faster.
+    """
     tags = tags.select(F.col("entry_id").alias("id"), "tag").filter("id IS NOT NULL AND tag IS NOT NULL")
-    rows = tags.join(tags.groupBy("tag").agg(F.count("*").alias("df")), "tag")
-    sets = rows.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "tag"))).alias("items"))
-    return sets.select("id", F.size("items").alias("n"), F.col("items.tag").alias("tags"), "items")
+    numbers = kept(tags.groupBy("tag").agg(F.count("*").alias("df")).withColumn("number", F.monotonically_increasing_id()), "tag-numbers")
+    sets = tags.join(numbers, "tag").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", F.col("number").alias("tag")))).alias("items"))
+    return kept(sets.select("id", F.size("items").alias("n"), F.col("items.tag").alias("tags"), "items"), "tag-sets")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, least: int, once: bool = False, block: int = BLOCK) -> DataFrame:
@@ -51,7 +54,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, least: int, once: bool = Fa
 
 def shared_tag_pairs(tags: DataFrame, least: int = 2, block: int = BLOCK) -> DataFrame:
     """(a, b, shared): pairs of entries, a < b, with at least `least` common tags."""
-    sets = kept(tag_sets(tags), "tag-sets")
+    sets = tag_sets(tags)
     return overlap_pairs(sets, sets, least, once=True, block=block)
 
 
@@ -62,7 +65,7 @@ def most_related(tags: DataFrame, top: int = 5, block: int = BLOCK) -> DataFrame
     whoever has, can't have a better one below the threshold. What is then missing shares one tag, so it stands among the top + 1 smallest ids of
     one of the tags: the others of the ids before it are the entry itself and partners that rank before it.
     """
-    sets = kept(tag_sets(tags), "tag-sets")
+    sets = tag_sets(tags)
     largest = sets.agg(F.max("n")).first()[0] or 0
     levels, least = [2], 8
     while least <= largest:
@@ -82,9 +85,12 @@ def most_related(tags: DataFrame, top: int = 5, block: int = BLOCK) -> DataFrame
         open_ = open_.join(settled, open_["id"] == settled["a"], "left_anti")
         if k + 1 < len(levels):
             open_ = kept(open_, "open-sets")
-    first = Window.partitionBy("tag").orderBy("b")
-    heads = sets.select(F.col("id").alias("b"), F.explode("tags").alias("tag")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top + 1).select("tag", "b")
-    ones = open_.select(F.col("id").alias("a"), F.explode("tags").alias("tag")).join(heads, "tag").filter("a <> b").select("a", "b").distinct()
-    ones = ones.join(done.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
-    return done.unionByName(ones).withColumn("rank", rank).filter(F.col("rank") <= top)
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    best = done.withColumn("r", best).filter(F.col("r") <= top).groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "b"))).alias("best"))
+    first = F.row_number().over(Window.partitionBy("tag").orderBy("id"))
+    heads = sets.select("id", F.explode("tags").alias("tag")).withColumn("r", first).filter(F.col("r") <= top + 1).groupBy("tag").agg(F.collect_list("id").alias("heads"))
+    ones = open_.select(F.col("id").alias("a"), F.explode("tags").alias("tag")).join(heads, "tag").groupBy("a").agg(F.flatten(F.collect_list("heads")).alias("heads"))
+    both = ones.join(best, "a", "full_outer").select("a", F.coalesce("best", F.array().cast(best.schema["best"].dataType)).alias("best"), F.coalesce("heads", F.array().cast(ones.schema["heads"].dataType)).alias("heads"))
+    rest = F.array_sort(F.array_except("heads", F.concat(F.array("a"), F.col("best.b"))))
+    partners = F.concat("best", F.transform(rest, lambda x: F.struct(F.lit(-1).cast("long").alias("s"), x.alias("b"))))
+    return both.select("a", F.posexplode(F.slice(partners, 1, top)).alias("rank", "p")).select("a", F.col("p.b").alias("b"), (-F.col("p.s")).alias("shared"), (F.col("rank") + 1).alias("rank"))
