@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.operators.ranks import counted_values, with_summary
 from tessera.plans import Catalog, table
 from tessera.plans.bind import BASKETS, ENTRIES, GRAPH, MESSAGES, ROUTES, baskets, edges, entries, messages, nodes, routes
 
@@ -97,11 +98,10 @@ catalog.add("load_report", f"WITH {MESSAGES}, l AS (SELECT team, count(*) AS loa
 
 
 def exact_percentiles(rows: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """Values at 0-based index floor(n * p / 100), clamped, with count, min, max and mean."""
-    w = Window.partitionBy(group)
-    r = rows.select(group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value))).alias(f"p{p}")
-    return r.groupBy(group).agg(F.count("*").alias("n"), *map(at, percents), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+    """Values at 0-based index floor(n * p / 100), clamped, with count, min, max and mean, of the rows with a value."""
+    at = {f"p{p}": F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) for p in percents}
+    found = with_summary(counted_values(rows, group, value), group, value, at)
+    return found.select(group, "n", *at, "least", "most", F.round("mean", 6).alias("mean"))
 
 
 _PCT = ", ".join(f"max(value) FILTER (i = least(n * {p} // 100, n - 1)) AS p{p}" for p in (50, 95, 99))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators.overlap import BLOCK, shared_tag_pairs
 from tessera.operators.quality import with_domains
+from tessera.operators.ranks import counted_values, with_summary
 from tessera.plans import Catalog, table
 from tessera.plans.bind import GRAPH, edges, nodes
 from tessera.plans.loop import kept, settled
@@ -397,9 +398,7 @@ def domain_chain(e: DataFrame, n: DataFrame, chain: list[str]) -> DataFrame:
 _ENDS = "JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id"
 _JAC = "len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags)))"
 catalog.add("graph_tag_coherence", f"WITH {GRAPH}, j AS (SELECT strength, {_JAC} AS j, row_number() OVER (PARTITION BY strength ORDER BY {_JAC}) AS r, count(*) OVER (PARTITION BY strength) AS n FROM edges {_ENDS}) SELECT strength, round(avg(j), 6) AS mean, round(max(j) FILTER (r = n // 2 + 1), 6) AS median, round(avg((j = 0)::INT), 6) AS zero FROM j GROUP BY strength")(
-    lambda s, d: (lambda x: x.withColumns({"r": F.row_number().over(Window.partitionBy("strength").orderBy("j")), "n": F.count("*").over(Window.partitionBy("strength"))}).groupBy("strength").agg(F.round(F.avg("j"), 6).alias("mean"), F.round(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("j"))), 6).alias("median"), F.round(F.avg((F.col("j") == 0).cast("double")), 6).alias("zero")))(
-        with_domains(edges(s, d), nodes(s, d)).select("strength", t.jaccard(F.col("src_tags"), F.col("dst_tags")).alias("j"))
-    )
+    lambda s, d: with_summary(counted_values(with_domains(edges(s, d), nodes(s, d)).select("strength", t.jaccard(F.col("src_tags"), F.col("dst_tags")).alias("j")), "strength", "j"), "strength", "j", {"median": F.floor(F.col("n") / 2)}).select("strength", *[F.round(c, 6).alias(c) for c in ("mean", "median", "zero")])
 )
 catalog.add("graph_domain_gaps", f"WITH {GRAPH}, l AS (SELECT a.domain AS d1, b.domain AS d2, count(DISTINCT src) AS n FROM edges {_ENDS} GROUP BY 1, 2), s AS (SELECT domain, count(*) AS size FROM nodes GROUP BY 1) SELECT x.domain AS d1, y.domain AS d2, round(coalesce(n, 0) / x.size, 6) AS coverage FROM s x CROSS JOIN s y LEFT JOIN l ON l.d1 = x.domain AND l.d2 = y.domain WHERE coalesce(n, 0) / x.size < 0.3")(
     lambda s, d: (lambda size, link: size.select(F.col("domain").alias("d1"), "size", F.explode("all").alias("d2")).join(link, ["d1", "d2"], "left").select("d1", "d2", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("c")).filter("c < 0.3").select("d1", "d2", F.round("c", 6).alias("coverage")))(
@@ -430,23 +429,6 @@ catalog.add("graph_from_links", "WITH l AS (SELECT page_id, unnest(regexp_extrac
 )
 
 
-def broken_pairs(e: DataFrame, pairs: DataFrame, removed: DataFrame, hops: int = 3) -> DataFrame:
-    """(scenario, broken, longer): per removed edge (scenario, src, dst) how many pairs lose all paths of at most hops, or need more hops."""
-    base = fewest_hops(e, pairs, hops).filter("hops IS NOT NULL")
-    scenario = removed.select("scenario", F.col("src").alias("rs"), F.col("dst").alias("rd"))
-    state = kept(scenario.join(pairs.select("src").distinct()).select("scenario", "rs", "rd", F.col("src").alias("start"), F.col("src").alias("node"), F.lit(0).alias("h")))
-    for k in range(1, hops + 1):
-        front = state.filter(F.col("h") == k - 1)
-        new = front.join(e.select("src", "dst"), F.col("node") == F.col("src")).filter(~((F.col("src") == F.col("rs")) & (F.col("dst") == F.col("rd")))).select("scenario", "rs", "rd", "start", F.col("dst").alias("node"), F.lit(k).alias("h")).distinct()
-        state = kept(state.unionByName(new.join(state.select("scenario", "start", "node"), ["scenario", "start", "node"], "left_anti").select(*state.columns)))
-    after = state.select("scenario", F.col("start").alias("src"), F.col("node").alias("dst"), "h")
-    j = scenario.select("scenario").join(base).join(after, ["scenario", "src", "dst"], "left")
-    return j.groupBy("scenario").agg(F.count_if(F.col("h").isNull()).alias("broken"), F.count_if(F.col("h") > F.col("hops")).alias("longer"), F.round(100 * (1 - (F.count_if(F.col("h").isNull()) + 0.5 * F.count_if(F.col("h") > F.col("hops"))) / F.count("*")), 4).alias("resilience"))
-
-
-catalog.add("graph_failure_injection")(
-    lambda s, d: (lambda e: broken_pairs(e, nodes(s, d).join(e.groupBy(F.col("src").alias("id")).agg(F.max("dst").alias("to")), "id").filter("id % 100 = 0").select(F.col("id").alias("src"), F.col("to").alias("dst")), e.orderBy(F.desc("weight"), "src", "dst").limit(5).select(F.concat_ws("-", "src", "dst").alias("scenario"), "src", "dst"), 2))(edges(s, d).filter("weight >= 5"))
-)
 catalog.add("graph_pair_reachability", f"WITH RECURSIVE {GRAPH}, {_HOPS.format(most=3, factor=13, plus=2)} SELECT hops, count(*) AS pairs FROM p LEFT JOIN m ON start = src AND node = dst GROUP BY 1")(
     lambda s, d: fewest_hops(edges(s, d), _asked(s, d, 13, 2), 3).groupBy("hops").agg(F.count("*").alias("pairs"))
 )

@@ -8,10 +8,12 @@ from tessera.plans import Catalog
 
 FAMILIES = (
     "tessera.operators.search",
+    "tessera.operators.positions",
     "tessera.operators.catalogue",
     "tessera.operators.aggregates",
     "tessera.operators.linking",
     "tessera.operators.graph",
+    "tessera.operators.failures",
     "tessera.operators.paths",
     "tessera.operators.quality",
     "tessera.operators.series",
