@@ -12,6 +12,7 @@ FAMILIES = (
     "tessera.operators.catalogue",
     "tessera.operators.aggregates",
     "tessera.operators.linking",
+    "tessera.operators.sequences",
     "tessera.operators.graph",
     "tessera.operators.failures",
     "tessera.operators.paths",
