@@ -16,6 +16,7 @@ FAMILIES = (
     "tessera.operators.graph",
     "tessera.operators.failures",
     "tessera.operators.paths",
+    "tessera.operators.walks",
     "tessera.operators.quality",
     "tessera.operators.series",
     "tessera.streaming.monitors",
