@@ -34,11 +34,12 @@ def _starts(s, d, n: int = 1) -> DataFrame:
 
 
 _REACH2 = "r1 AS (SELECT dst AS node, arg_max(src, (weight, -src)) AS via, max(weight) AS weight FROM e WHERE src = 0 AND dst <> 0 GROUP BY dst), r2 AS (SELECT dst AS node, arg_max(src, (weight, -src)) AS via, max(weight) AS weight FROM e WHERE src IN (SELECT node FROM r1) AND dst <> 0 AND dst NOT IN (SELECT node FROM r1) GROUP BY dst)"
+_REACH3 = f"{_REACH2}, r3 AS (SELECT dst AS node, arg_max(src, (weight, -src)) AS via, max(weight) AS weight FROM e WHERE src IN (SELECT node FROM r2) AND dst <> 0 AND dst NOT IN (SELECT node FROM r1) AND dst NOT IN (SELECT node FROM r2) GROUP BY dst)"
 catalog.add("graph_neighbours", f"WITH {GRAPH}, e AS (SELECT * FROM edges WHERE weight >= 3), {_REACH2} SELECT node, 1 AS distance, weight, via FROM r1 UNION ALL SELECT node, 2, weight, via FROM r2")(
     lambda s, d: reach(edges(s, d).filter("weight >= 3"), _starts(s, d), 2).filter("distance > 0").select("node", "distance", "weight", "via")
 )
-catalog.add("graph_impact", f"WITH {GRAPH}, e AS (SELECT dst AS src, src AS dst, weight FROM edges), {_REACH2}, r AS (SELECT node, 1 AS distance, weight FROM r1 UNION ALL SELECT node, 2, weight FROM r2) SELECT domain, distance, count(*) AS n, count(*) FILTER (distance = 1 AND weight >= 7) AS critical FROM r JOIN nodes ON node = id GROUP BY 1, 2")(
-    lambda s, d: reach(edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), _starts(s, d), 2).filter("distance > 0").join(nodes(s, d), F.col("node") == F.col("id")).groupBy("domain", "distance").agg(F.count("*").alias("n"), F.count_if((F.col("distance") == 1) & (F.col("weight") >= 7)).alias("critical"))
+catalog.add("graph_impact", f"WITH {GRAPH}, e AS (SELECT dst AS src, src AS dst, weight FROM edges), {_REACH3}, r AS (SELECT node, 1 AS distance, weight FROM r1 UNION ALL SELECT node, 2, weight FROM r2 UNION ALL SELECT node, 3, weight FROM r3) SELECT domain, distance, count(*) AS n, count(*) FILTER (distance = 1 AND weight >= 7) AS critical FROM r JOIN nodes ON node = id GROUP BY 1, 2")(
+    lambda s, d: reach(edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), _starts(s, d), 3).filter("distance > 0").join(nodes(s, d), F.col("node") == F.col("id")).groupBy("domain", "distance").agg(F.count("*").alias("n"), F.count_if((F.col("distance") == 1) & (F.col("weight") >= 7)).alias("critical"))
 )
 
 
@@ -339,16 +340,20 @@ def clustering(e: DataFrame) -> DataFrame:
 
 
 catalog.add("graph_clustering", f"WITH {GRAPH}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE weight >= 6), bi AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u), d AS (SELECT x AS id, count(*) AS degree FROM bi GROUP BY 1), tr AS (SELECT p.x AS id, count(*) AS t FROM bi p JOIN bi q ON p.x = q.x AND p.y < q.y JOIN u ON u.a = p.y AND u.b = q.y GROUP BY 1) SELECT d.id, degree, round(CASE WHEN degree >= 2 THEN 2.0 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM d LEFT JOIN tr ON d.id = tr.id")(lambda s, d: clustering(edges(s, d).filter("weight >= 6")))
-catalog.add("graph_fanout_reach", f"WITH {GRAPH}, e AS (SELECT src, dst FROM edges WHERE weight >= 8), a AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), b AS (SELECT DISTINCT a.src, e.dst FROM a JOIN e ON a.dst = e.src WHERE a.src <> e.dst) SELECT src, count(*) FILTER (h = 1) AS one, count(DISTINCT dst) AS two FROM (SELECT src, dst, 1 AS h FROM a UNION ALL SELECT src, dst, 2 FROM b) GROUP BY src")(
+catalog.add("graph_fanout_reach", f"WITH {GRAPH}, e AS (SELECT DISTINCT src, dst FROM edges WHERE weight >= 8 AND src <> dst), b AS (SELECT DISTINCT a.src, e.dst FROM e a JOIN e ON a.dst = e.src WHERE a.src <> e.dst), c AS (SELECT DISTINCT b.src, e.dst FROM b JOIN e ON b.dst = e.src WHERE b.src <> e.dst), r AS (SELECT src, dst, min(h) AS h FROM (SELECT src, dst, 1 AS h FROM e UNION ALL SELECT src, dst, 2 FROM b UNION ALL SELECT src, dst, 3 FROM c) GROUP BY 1, 2) SELECT src, count(*) FILTER (h = 1) AS one, count(*) FILTER (h <= 2) AS two, count(*) AS three FROM r GROUP BY src")(
     lambda s, d: fanout(edges(s, d).filter("weight >= 8"))
 )
 
 
 def fanout(e: DataFrame) -> DataFrame:
-    """(src, one, two): distinct nodes within one and two hops, itself left out."""
-    a = e.select("src", "dst").distinct().withColumn("h", F.lit(1))
-    b = a.alias("a").join(e.select("src", "dst").alias("e"), F.col("a.dst") == F.col("e.src")).filter(F.col("a.src") != F.col("e.dst")).select(F.col("a.src").alias("src"), F.col("e.dst").alias("dst")).distinct().withColumn("h", F.lit(2))
-    return a.unionByName(b).groupBy("src").agg(F.count_if(F.col("h") == 1).alias("one"), F.count_distinct("dst").alias("two"))
+    """(src, one, two, three): distinct nodes within one, two and three hops of each node with edges, itself left out; each hop goes on from the new nodes alone."""
+    e = kept(e.select("src", "dst").filter("src <> dst").distinct())
+    seen = front = e.withColumn("h", F.lit(1))
+    for k in (2, 3):
+        ahead = front.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").filter("src <> dst").select("src", "dst").distinct()
+        front = kept(ahead.join(seen, ["src", "dst"], "left_anti").withColumn("h", F.lit(k)))
+        seen = seen.unionByName(front)
+    return seen.groupBy("src").agg(*[F.count_if(F.col("h") <= k).alias(name) for k, name in enumerate(("one", "two", "three"), 1)])
 
 
 def cyclic_core(e: DataFrame, n: DataFrame, most: int = 200) -> DataFrame:

@@ -33,6 +33,12 @@ def test_best_paths_are_simple(spark):
     assert got == {1: ([0, 2], 5.0), 2: ([0, 1, 2], 10.0)}
 
 
+def test_fanout_counts_each_node_once(spark):
+    # 0 -> 1 -> 2 -> 3 -> 4, a way back to 0, a short cut, a loop and a repeated edge
+    e = edges(spark, [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (1, 0, 1), (0, 2, 1), (2, 2, 1), (0, 1, 1)])
+    assert {tuple(r) for r in graph.fanout(e).collect()} == {(0, 2, 3, 4), (1, 2, 3, 4), (2, 1, 2, 2), (3, 1, 1, 1)}
+
+
 def test_cyclic_core(spark):
     e = edges(spark, [(0, 1, 1), (1, 2, 1), (2, 1, 1), (2, 3, 1)])
     assert {r["id"] for r in graph.cyclic_core(e, nodes(spark, 4)).collect()} == {1, 2}
