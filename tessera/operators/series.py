@@ -133,10 +133,15 @@ catalog.add("drawdown_sharpe", f"WITH {PRICES}, x AS (SELECT ticker, month, clos
     lambda s, d: prices(s, d).select("ticker", "close", (F.col("close") / F.lag("close").over(by()) - 1).alias("r"), F.max("close").over(by().rowsBetween(Window.unboundedPreceding, 0)).alias("peak")).groupBy("ticker").agg(F.round(F.min(F.col("close") / F.col("peak") - 1), 6).alias("drawdown"), F.round(F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(12.0)), 6).alias("sharpe"), F.round(F.avg((F.col("r") > 0).cast("double")), 6).alias("win_rate"))
 )
 catalog.add("ratio_screen", "WITH x AS (SELECT s_suppkey, s_nationkey, s_acctbal, sum(l_extendedprice) AS sales FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2, 3), m AS (SELECT s_nationkey, median(sales / s_acctbal) AS med FROM x WHERE s_acctbal > 0 GROUP BY 1) SELECT s_suppkey, round(sales / s_acctbal, 4) AS ratio FROM x JOIN m USING (s_nationkey) WHERE s_acctbal > 0 AND sales / s_acctbal < med")(
-    lambda s, d: ratio_screen(table(s, d, "supplier").join(table(s, d, "lineitem"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("s_suppkey", "s_nationkey", "s_acctbal").agg(F.sum("l_extendedprice").alias("sales")).filter("s_acctbal > 0"))
+    lambda s, d: ratio_screen(table(s, d, "supplier").join(table(s, d, "lineitem"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("s_suppkey", "s_nationkey", "s_acctbal").agg(exact_sum("l_extendedprice").alias("sales")).filter("s_acctbal > 0"))
 )
 
 
+def exact_sum(c: str) -> Column:
+    """Sum of doubles as decimals (to the tenth place), so equal rows have equal sums whatever their order, and none lies below a median of its like."""
+    return F.sum(F.col(c).cast("decimal(38,10)")).cast("double")
+
+
 def ratio_screen(x: DataFrame) -> DataFrame:
     """Rows whose ratio lies below their group's median."""
     x = x.withColumn("r", F.col("sales") / F.col("s_acctbal"))
