@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import failures, graph
+from tessera.operators import failures, graph, paths
 
 
 @pytest.fixture
@@ -89,3 +89,19 @@ def test_against_single_searches(spark, seed, most):
         if lengths:
             want[s] = min(lengths)
     assert cycles == want
+
+
+def test_bounds_stop_at_the_starts(spark, monkeypatch):
+    rows, kept = {}, paths.kept
+
+    def counted(df, name="round"):
+        out = kept(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "kept", counted)
+    # 1,000 nodes are three hops away from the target, one of them is a start.
+    e = _tree(spark).filter("dst <= 1110").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    got = paths.best_simple_paths(e, spark.createDataFrame([(1110,)], "id long"), spark.createDataFrame([(0,)], "id long"), F.col("weight"), 3).collect()
+    assert [(r["src"], r["dst"], r["score"], r["path"]) for r in got] == [(1110, 0, 3.0, [1110, 110, 10, 0])]
+    assert max(rows["bounds"]) < 200
