@@ -105,3 +105,14 @@ def test_bounds_stop_at_the_starts(spark, monkeypatch):
     got = paths.best_simple_paths(e, spark.createDataFrame([(1110,)], "id long"), spark.createDataFrame([(0,)], "id long"), F.col("weight"), 3).collect()
     assert [(r["src"], r["dst"], r["score"], r["path"]) for r in got] == [(1110, 0, 3.0, [1110, 110, 10, 0])]
     assert max(rows["bounds"]) < 200
+
+
+def test_tag_cohesion_makes_rows_of_common_tags_alone(spark):
+    # ends with 30 tags each and one in common; a null tag is common to none
+    n = spark.createDataFrame([(i, [f"{i}-{k}" for k in range(29)] + ["all"]) for i in range(4)] + [(4, [None]), (5, [])], "id long, tags array<string>")
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 4), (0, 5), (0, 9)], "src long, dst long")
+    found = graph.tag_cohesion(e, n)
+    got = {r["tag"]: (r["n"], r["cohesion"]) for r in found.collect()}
+    assert got["all"] == (4, round(4 / 12, 8)) and got["0-0"] == (1, None) and len(got) == 4 * 29 + 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2  # the nodes' tags once, and the edges' common ones
