@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import linking, search, sequences
+from tessera.operators import catalogue, linking, search, sequences
 
 
 @pytest.mark.parametrize("witnesses, parts", [(1, (4, 1)), (3, (1,))])
@@ -74,3 +74,11 @@ def test_groups_of_blocks_meet_all_pairs(spark, monkeypatch, group):
     texts = {i: "".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for i in range(40)}
     want = sorted((a, b, r) for a, b in itertools.combinations(texts, 2) if (r := SequenceMatcher(None, texts[a], texts[b]).ratio()) >= 0.7)
     assert sorted(map(tuple, sequences.sequence_ratio_pairs(spark.createDataFrame(list(texts.items()), "id long, text string"), 0.7).collect())) == want
+
+
+def test_texts_are_rebuilt_after_one_shuffle(spark):
+    rows = [(1, {"a": [0, 2], "b": [1]}), (2, {}), (3, {"c": []}), (4, {"x": [1]}), (4, {"y": [0]}), (5, None)]
+    got = catalogue.rebuild_text(spark.createDataFrame(rows, "id long, positions map<string,array<int>>"), "id").collect()
+    assert sorted(map(tuple, got)) == [(1, "a b a"), (4, "y x")]
+    plan = catalogue.catalog.queries["source_inverted_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
