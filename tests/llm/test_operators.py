@@ -300,6 +300,22 @@ def kernel_by_hand(a, b, order, decay):
     return sum(p * q for x, p in parts(a) for y, q in parts(b) if x == y)
 
 
+def test_toxicity_landmarks_are_not_a_languages_own():
+    """A language with more toxic labels than another one: only its toxic stem is a mark, not fragments that stand by chance in more of its toxic documents."""
+    rng = np.random.default_rng(3)
+
+    def document(syllables, stem, usual):
+        words = {f"^{''.join(syllables[i] for i in rng.integers(0, len(syllables), 3))}$" for _ in range(int(rng.integers(20, 60)))}
+        return words | {f"^{u}$" for u in usual if rng.random() < 0.9} | ({f"^{stem}{syllables[i]}$" for i in rng.integers(0, len(syllables), 2)} if stem else set())
+
+    one, two = ["ba", "lo", "ri", "mu", "te", "no", "ka", "si"], [a + b for a in "cdfghjkl" for b in "aeiou"]
+    bad = [document(one, "wretchq", ["thon", "ofa"]) for _ in range(30)] + [document(two, "snarfl", ["loso", "uela"]) for _ in range(90)]
+    good = [document(one, "", ["thon", "ofa"]) for _ in range(300)] + [document(two, "", ["loso", "uela"]) for _ in range(45)]
+    marks = toxicity.pick_landmarks(bad, good, 24)
+    assert any("wretchq" in m for m in marks) and any("snarfl" in m for m in marks)
+    assert all("wretchq" in m or "snarfl" in m for m in marks)
+
+
 def test_toxicity_scores_by_hand():
     """Kernels, margins and scores of a fitted model, from their definitions."""
     rng = np.random.default_rng(9)
