@@ -58,6 +58,39 @@ def test_cheapest_compares_costs_one_after_the_other(spark):
     assert got == {0: (0.0, 0.0), 1: (1.0, 900.0), 2: (2.0, 1800.0)}
 
 
+def test_cheapest_from_many_starts_and_by_many_edges(spark, monkeypatch):
+    """More starts than a row holds, more edges than one of their rows, and rows of a node beyond a batch, against a plain search."""
+    import heapq
+    import random
+
+    from tessera.operators import costs
+
+    monkeypatch.setattr(costs, "WIDTH", 4)
+    monkeypatch.setattr(costs, "EDGES", 3)
+    monkeypatch.setattr(costs, "AT_ONCE", 64)
+    rng = random.Random(1)
+    rows = [(f"n{rng.randint(0, 39)}", f"n{rng.randint(0, 39)}", rng.randint(0, 3), rng.randint(0, 9)) for _ in range(110)] + [("n1", f"n{k}", 3, 1) for k in range(30)] + [(None, "n1", 1, 1), ("n1", None, 1, 1), ("n2", "n3", None, 0)]
+    starts = [f"n{k}" for k in range(11)] + ["alone", "n3", None]
+    want = {}
+    for s in set(starts) - {None}:
+        best, heap = {}, [((0.0, 0.0), s)]
+        while heap:
+            c, node = heapq.heappop(heap)
+            if node not in best:
+                best[node] = c
+                for a, b, x, y in rows:
+                    if a == node and b is not None and x is not None:
+                        heapq.heappush(heap, ((c[0] + x, c[1] + y), b))
+        want |= {(s, node): c for node, c in best.items()}
+    e = spark.createDataFrame(rows, "src string, dst string, a int, b int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = graph.cheapest(e, spark.createDataFrame([(s,) for s in starts], "id string"), [F.col("a"), F.col("b")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {(r["start"], r["node"]): tuple(r["cost"]) for r in got} == want
+
+
 def test_traps_name_whole_cycles_and_no_dead_ends(spark):
     # 0 -> 1 -> 2 -> 1 closes a cycle; 3 -> 4 ends
     e = edges(spark, [(0, 1, 1), (1, 2, 1), (2, 1, 1), (3, 4, 1)])
