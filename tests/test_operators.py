@@ -91,6 +91,16 @@ def test_cheapest_from_many_starts_and_by_many_edges(spark, monkeypatch):
     assert len(got) == len(want) and {(r["start"], r["node"]): tuple(r["cost"]) for r in got} == want
 
 
+def test_unsupported_edges_carry_tags_for_heavy_edges_alone(spark):
+    e = spark.createDataFrame([(0, 1, 9, ["x"]), (1, 0, 2, ["x", "y"]), (0, 2, 6, ["x"]), (0, 3, 9, ["x"]), (3, 0, 1, None), (2, 9, 9, ["x"]), (9, 2, 9, ["y"]), (1, 3, 8, ["x"])], "src long, dst long, weight int, reasons array<string>")
+    n = spark.createDataFrame([(0, "d", ["a"]), (1, "d", ["b"]), (2, "d", ["c"]), (3, "d", None)], "id long, domain string, tags array<string>")
+    found = graph.unsupported_edges(e, n)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, "no common tag"), (1, 0, "one-sided reason")]
+    # No step of the plan carries both.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("tags" not in line for line in plan.splitlines() if "reasons" in line)
+
+
 def test_traps_name_whole_cycles_and_no_dead_ends(spark):
     # 0 -> 1 -> 2 -> 1 closes a cycle; 3 -> 4 ends
     e = edges(spark, [(0, 1, 1), (1, 2, 1), (2, 1, 1), (3, 4, 1)])
