@@ -91,6 +91,19 @@ def test_cheapest_from_many_starts_and_by_many_edges(spark, monkeypatch):
     assert len(got) == len(want) and {(r["start"], r["node"]): tuple(r["cost"]) for r in got} == want
 
 
+def test_components_of_long_chains_and_of_edges_beyond_the_nodes(spark):
+    """A chain in mixed order is settled in a few rounds; ends that are no nodes join nothing."""
+    import random
+
+    order = list(range(120))
+    random.Random(3).shuffle(order)
+    rows = [(order[k], order[k + 1], 1) for k in range(119) if k != 70] + [(5, 500, 1), (500, 200, 1), (201, 201, 1), (202, 201, 1), (None, 3, 1)]
+    e = spark.createDataFrame(rows, "src long, dst long, weight int")
+    n = spark.createDataFrame([(i,) for i in [*range(120), 200, 201, 202]], "id long")
+    want = {i: min(part) for part in (order[:71], order[71:]) for i in part} | {200: 200, 201: 201, 202: 201}
+    assert {r["id"]: r["component"] for r in graph.components(e, n, most=8).collect()} == want
+
+
 def test_unsupported_edges_carry_tags_for_heavy_edges_alone(spark):
     e = spark.createDataFrame([(0, 1, 9, ["x"]), (1, 0, 2, ["x", "y"]), (0, 2, 6, ["x"]), (0, 3, 9, ["x"]), (3, 0, 1, None), (2, 9, 9, ["x"]), (9, 2, 9, ["y"]), (1, 3, 8, ["x"])], "src long, dst long, weight int, reasons array<string>")
     n = spark.createDataFrame([(0, "d", ["a"]), (1, "d", ["b"]), (2, "d", ["c"]), (3, "d", None)], "id long, domain string, tags array<string>")
