@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import costs, lots
+from tessera.operators import costs, graph, lots
 
 
 def test_costs_along_a_chain_of_more_edges_than_rounds(spark):
@@ -37,3 +37,23 @@ def test_costs_in_lots_and_by_rounds(spark, monkeypatch, most_edges, share, cell
     e = spark.createDataFrame(rows, "src long, dst long, a int, b int")
     got = costs.cheapest(e, spark.createDataFrame([(s,) for s in starts], "id long"), [F.col("a"), F.col("b")]).collect()
     assert len(got) == len(want) and {(r["start"], r["node"]): tuple(r["cost"]) for r in got} == want
+
+
+@pytest.mark.parametrize("most_edges", [4_000_000, 0])
+def test_eccentricities_of_all_nodes_however_far(spark, monkeypatch, most_edges):
+    monkeypatch.setattr(lots, "LOT_EDGES", most_edges)
+    near = {k: set() for k in range(14)}
+    chain = [(k, k + 1) for k in range(9)] + [(1, 0), (4, 4), (11, 12), (12, 13)]
+    for a, b in chain:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for s in near:
+        seen, front, k = {s: 0}, {s}, 0
+        while front:
+            k += 1
+            front = {b for a in front for b in near[a]} - set(seen)
+            seen |= dict.fromkeys(front, k)
+        want[s] = (max(seen.values()), len(seen), round(sum(seen.values()) / len(seen), 6))
+    got = graph.eccentricities(spark.createDataFrame([*chain, (None, 3)], "src long, dst long"), spark.range(14)).collect()
+    assert len(got) == 14 and {r["start"]: (r["eccentricity"], r["reached"], r["mean"]) for r in got} == want
