@@ -57,3 +57,24 @@ def test_eccentricities_of_all_nodes_however_far(spark, monkeypatch, most_edges)
         want[s] = (max(seen.values()), len(seen), round(sum(seen.values()) / len(seen), 6))
     got = graph.eccentricities(spark.createDataFrame([*chain, (None, 3)], "src long, dst long"), spark.range(14)).collect()
     assert len(got) == 14 and {r["start"]: (r["eccentricity"], r["reached"], r["mean"]) for r in got} == want
+
+
+def test_visiting_orders_take_no_job_for_each_stop(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TOURS", 7)
+    rng = random.Random(2)
+    pairs = {(a, b): (rng.randint(1, 3), rng.randint(0, 4)) for a in range(40) for b in range(40) if a != b and rng.random() < 0.3}
+    plans = [("p", k) for k in range(30)] + [("q", k) for k in range(30, 40)] + [("one", 50), (None, 60)]
+    want = {}
+    for plan, start in plans:
+        tour, hops, weight = [start], 0, 0
+        while steps := [(pairs[tour[-1], b][0], -pairs[tour[-1], b][1], b) for p, b in plans if p == plan and (tour[-1], b) in pairs and b not in tour]:
+            h, w, b = min(steps)
+            tour, hops, weight = [*tour, b], hops + h, weight - w
+        want[plan, start] = (tour, hops, weight)
+    spark.sparkContext.setJobGroup("tours", "tours")
+    try:
+        got = graph.visiting_orders(spark.createDataFrame([(a, b, *x) for (a, b), x in pairs.items()], "src long, dst long, hops int, weight long"), spark.createDataFrame(plans, "plan string, stop long")).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("tours")) < 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == len(want) and {(r["plan"], r["start"]): (r["tour"], r["hops"], r["weight"]) for r in got} == want
