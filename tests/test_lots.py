@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import costs, graph, lots
+from tessera.operators import costs, graph, lots, paths
 
 
 def test_costs_along_a_chain_of_more_edges_than_rounds(spark):
@@ -78,3 +78,38 @@ def test_visiting_orders_take_no_job_for_each_stop(spark, monkeypatch):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(got) == len(want) and {(r["plan"], r["start"]): (r["tour"], r["hops"], r["weight"]) for r in got} == want
+
+
+@pytest.mark.parametrize("most_edges, cells", [(4_000_000, 1 << 20), (40, 24)])
+def test_best_simple_paths_in_lots_and_by_rounds(spark, monkeypatch, most_edges, cells):
+    """Eight hops, where the best walks go round cycles and so the first paths don't reach their bounds."""
+    monkeypatch.setattr(lots, "LOT_EDGES", most_edges)
+    monkeypatch.setattr(lots, "SHARE", 20)
+    monkeypatch.setattr(paths, "CELLS", cells)
+    monkeypatch.setattr(paths, "AT_ONCE", cells)
+    rng = random.Random(6)
+    rows = [*{(a, b): (a, b, rng.randint(0, 9)) for c, n, m in [(0, 9, 22), (100, 9, 22), (500, 12, 110)] for _ in range(m) for a, b in [(c + rng.randrange(n), c + rng.randrange(n))]}.values(), (0, 1, 9), (1, 0, 9), (2, 0, None), (None, 3, 9)]
+    some = [0, 1, 2, 5, 101, 105, 999] + [500, 507]
+    near = {}
+    for a, b, w in rows:
+        if w is not None and a is not None:
+            near.setdefault(a, {})[b] = max(w, near.get(a, {}).get(b, 0))
+    want = {}
+
+    def walk(path, score):
+        if len(path) > 1 and path[-1] in some:
+            want[path[0], path[-1]] = max(score, want.get((path[0], path[-1]), -1))
+        if len(path) <= 8:
+            for b, w in near.get(path[-1], {}).items():
+                if b not in path:
+                    walk([*path, b], score + w)
+
+    for s in some:
+        if s < 500:
+            walk([s], 0)
+    e = spark.createDataFrame(rows, "src long, dst long, weight int")
+    ends = spark.createDataFrame([(k,) for k in some], "id long")
+    got = paths.best_simple_paths(e, ends.filter("id < 500"), ends, F.col("weight"), 8, beam=1).collect()
+    assert len(got) == len(want) and {(r["src"], r["dst"]): r["score"] for r in got} == want
+    for r in got:
+        assert r["path"][0] == r["src"] and r["path"][-1] == r["dst"] and len(set(r["path"])) == r["hops"] + 1 and sum(near[a][b] for a, b in zip(r["path"], r["path"][1:])) == r["score"]
