@@ -113,3 +113,39 @@ def test_best_simple_paths_in_lots_and_by_rounds(spark, monkeypatch, most_edges,
     assert len(got) == len(want) and {(r["src"], r["dst"]): r["score"] for r in got} == want
     for r in got:
         assert r["path"][0] == r["src"] and r["path"][-1] == r["dst"] and len(set(r["path"])) == r["hops"] + 1 and sum(near[a][b] for a, b in zip(r["path"], r["path"][1:])) == r["score"]
+
+
+def test_adaptive_paths_of_three_hops_take_few_jobs(spark):
+    """Equal to all paths by a plain loop, with bare nodes, null weights and repeated edges; bounds and rounds took more."""
+    rng = random.Random(9)
+    rows = [*((rng.randrange(12), rng.randrange(12), rng.randint(0, 9), rng.choice(["strong", "medium", "weak"])) for _ in range(45)), (1, 2, None, "weak"), (None, 2, 5, "weak")]
+    tags = {k: rng.sample("abcde", rng.randint(0, 4)) for k in range(12)}
+    bonus = {"strong": 3.0, "medium": 1.5, "weak": 0.0}
+
+    def like(a, b):
+        x, y = set(tags[a]), set(tags[b])
+        return 5.0 if not x and not y else 2.0 if not x or not y else 10 * len(x & y) / len(x | y)
+
+    want = {}
+
+    def walk(path, steps, targets):
+        if len(path) > 1 and path[-1] in targets:
+            for name, (aw, ab, al) in paths.TUNINGS.items():
+                score = sum(aw * w + ab * bonus[s] for w, s in steps) + sum(al * like(v, path[-1]) for v in path[1:])
+                want[name, path[0], path[-1]] = max(score, want.get((name, path[0], path[-1]), -1.0))
+        if len(path) <= 3:
+            for a, b, w, s in rows:
+                if a == path[-1] and w is not None and b not in path:
+                    walk([*path, b], [*steps, (w, s)], targets)
+
+    for start in (0, 1, 2, 3, 4):
+        walk([start], [], {2, 3, 4, 5, 6})
+    e = spark.createDataFrame(rows, "src long, dst long, weight int, strength string")
+    n = spark.createDataFrame(list(tags.items()), "id long, tags array<string>")
+    spark.sparkContext.setJobGroup("short", "short")
+    try:
+        got = paths.adaptive_paths(e, n, spark.range(5), spark.range(2, 7), hops=3).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("short")) < 45
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == len(want) and all(abs(want[r["tuning"], r["src"], r["dst"]] - r["score"]) < 1e-4 for r in got)
