@@ -82,3 +82,13 @@ def test_texts_are_rebuilt_after_one_shuffle(spark):
     assert sorted(map(tuple, got)) == [(1, "a b a"), (4, "y x")]
     plan = catalogue.catalog.queries["source_inverted_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_cosine_pairs_deal_no_vector_to_every_block(spark, monkeypatch):
+    """Vectors lie where they are written, and what is returned are the pairs alone, without a shuffle of vectors by pairs of blocks."""
+    monkeypatch.setattr(linking, "VECTOR_ROWS", 3)
+    monkeypatch.setattr(linking, "LEAST_BLOCKS", 3)
+    docs = spark.createDataFrame([(k, [f"w{k % 4}", f"v{k % 2}"]) for k in range(8)], "id long, words array<string>")
+    pairs = linking.cosine_pairs(docs, 0.65)
+    assert "Exchange" not in pairs._jdf.queryExecution().toString()
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(k, k + 4) for k in range(4)}
